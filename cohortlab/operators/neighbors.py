@@ -220,7 +220,7 @@ def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int
     left = asked.select("id", "x", "cell", F.pmod(F.xxhash64("id"), nq).alias("qb"),
                         F.explode(F.sequence(F.lit(0), nc - 1)).alias("cb"))
     right = points.select("id", "x", "cell", F.pmod(F.xxhash64("id"), nc).cast("int").alias("cb"),
-                          F.explode(F.sequence(F.lit(0), nq - 1)).cast("bigint").alias("qb"))
+                          F.explode(F.sequence(F.lit(0).cast("bigint"), (nq - 1).cast("bigint"))).alias("qb"))
     keys = ["cell", "qb", "cb"]
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:

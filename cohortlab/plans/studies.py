@@ -135,11 +135,12 @@ def _variant_row(report, run, settings, name, key, before, outside) -> DataFrame
     cohorts = cells.join(infos, "scope").select(F.struct(
         "position", "scope", "train_rows_before_sampling", "train_rows_after_sampling", "test_rows",
         "feature_selection", "sampling", "model_info", "metrics",
-    ).alias("c")).agg(F.array_sort(F.collect_list("c")).alias("cohorts"))  # three rows
+    ).alias("c")).agg(F.collect_list("c").alias("cohorts"))  # three rows
+    in_order = F.array_sort("cohorts", lambda a, b: a["position"] - b["position"])
     overall = cells.filter(F.col("scope") == OVERALL).select(
         F.col("metrics").alias("overall_metrics"), "test_rows", F.lit(1).alias("one")
     )
-    return cohorts.withColumn("one", F.lit(1)).join(overall, "one").select(
+    return cohorts.select(in_order.alias("cohorts"), F.lit(1).alias("one")).join(overall, "one").select(
         F.lit(name).alias("variant"),
         F.lit(settings.use_smote).alias("use_smote"),
         F.lit(settings.top_k).alias("top_k"),

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "cohor
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
