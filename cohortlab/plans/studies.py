@@ -27,7 +27,7 @@ from cohortlab.plans.pipeline import (
     specialists,
 )
 from cohortlab.session import stage
-from cohortlab.spec import OVERALL
+from cohortlab.spec import OVERALL, TableSpec
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,11 @@ class StrategyComparison:
     unavailable: Mapping[str, str]
 
 
+def _staged(df: DataFrame, spec: TableSpec, name: str) -> DataFrame:
+    """A study reads its tables dozens of times, mostly one cohort at a time."""
+    return stage(df.select(spec.row_id, *spec.features, spec.label, spec.cohort), name, by=spec.cohort)
+
+
 def compare_strategies(train: DataFrame, test: DataFrame, keys: Sequence[str] | None, settings: Settings) -> StrategyComparison:
     """Every model once on all rows and once per cohort.
 
@@ -51,6 +56,7 @@ def compare_strategies(train: DataFrame, test: DataFrame, keys: Sequence[str] |
     built is left out with its reason.
     """
     spec = settings.spec
+    train, test = _staged(train, spec, "study-train"), _staged(test, spec, "study-test")
     parts, features, sampling, models, unavailable = [], {}, {}, {}, {}
     for key in keys or CATALOGUE:
         name = entry(key).name
@@ -91,6 +97,11 @@ def run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: str
 
     A cohort without usable training rows gets the training prevalence.
     """
+    spec = settings.spec
+    return _run_variant(_staged(train, spec, "study-train"), _staged(test, spec, "study-test"), settings, name, key)
+
+
+def _run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: str, key: str) -> Variant:
     spec = settings.spec
     totals = train.agg(
         F.count("*").alias("n"), F.avg(spec.label).alias("p"),
@@ -164,11 +175,12 @@ def _counts(counts: Mapping[int, int]):
 
 def compare_smote(train: DataFrame, test: DataFrame, settings: Settings, key: str = "xgboost") -> tuple[Variant, Variant, DataFrame]:
     """The same study without and with SMOTE, and their metric table."""
-    runs = []
+    spec, runs = settings.spec, []
+    train, test = _staged(train, spec, "study-train"), _staged(test, spec, "study-test")
     for use_smote, name in ((False, "WITHOUT_SMOTE"), (True, "WITH_SMOTE")):
         # the selection does not depend on the variant, the balanced tables do
         own = Settings(settings.spec, settings.top_k, use_smote, settings.seed, settings.params, settings.choices)
-        runs.append(run_variant(train, test, own, name, key))
+        runs.append(_run_variant(train, test, own, name, key))
     return runs[0], runs[1], compare_variants(runs[0].report, runs[1].report)
 
 
@@ -186,6 +198,7 @@ def explain_cohorts(train: DataFrame, test: DataFrame, settings: Settings) -> di
     refitted on train and test together whose scores of the real rows are
     taken apart by feature. Cohorts that cannot be fitted are left out."""
     spec, found = settings.spec, {}
+    train, test = _staged(train, spec, "study-train"), _staged(test, spec, "study-test")
     for cohort in spec.cohorts:
         own_train, own_test = cohort_slice(train, cohort, spec.cohort), cohort_slice(test, cohort, spec.cohort)
         classes = own_train.select(spec.label).distinct().limit(2).count()
