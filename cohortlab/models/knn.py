@@ -12,19 +12,19 @@ from cohortlab.models.base import class_totals
 from cohortlab.operators.neighbors import nearest_neighbors
 
 
-def vote(near: DataFrame, labels: DataFrame, weights: str = "distance") -> DataFrame:
-    """(query, prediction, probability) from (query, neighbor, distance) and
-    (neighbor, label). At distance zero only the exact hits vote; class 0
-    wins a tie."""
-    hits = near.join(labels, "neighbor")
-    one = F.col("label")
+def vote(near: DataFrame, weights: str = "distance") -> DataFrame:
+    """(query, prediction, probability) from neighbours carrying their label.
+
+    At distance zero only the exact hits vote; class 0 wins a tie.
+    """
+    one = F.get("carried", F.lit(0))
     if weights == "uniform":
         p = F.avg(one)
     else:
         exact = F.col("distance") == 0
         inverse = F.try_divide(F.lit(1.0), F.col("distance"))
         p = F.coalesce(F.avg(F.when(exact, one)), F.sum(one * inverse) / F.sum(inverse))
-    shares = hits.groupBy("query").agg(p.cast("double").alias("probability"))
+    shares = near.groupBy("query").agg(p.cast("double").alias("probability"))
     return shares.withColumn("prediction", F.when(F.col("probability") > 0.5, 1).otherwise(0))
 
 
@@ -40,10 +40,10 @@ class FittedKNN:
     def score(self, df: DataFrame) -> DataFrame:
         p = self.params
         near = nearest_neighbors(
-            df, self.train, self.features, p["n_neighbors"], self.row_id, skip_self=False, seed=self.seed, p=p["p"]
+            df, self.train, self.features, p["n_neighbors"], self.row_id, skip_self=False, seed=self.seed, p=p["p"],
+            carry=[self.label],
         )
-        labels = self.train.select(F.col(self.row_id).alias("neighbor"), F.col(self.label).alias("label"))
-        votes = vote(near, labels, p["weights"]).withColumnRenamed("query", self.row_id)
+        votes = vote(near, p["weights"]).withColumnRenamed("query", self.row_id)
         return df.join(votes, self.row_id).select(*df.columns, "prediction", "probability")
 
 

@@ -14,6 +14,7 @@ from cohortlab.functions.cohorts import cohort_of
 from cohortlab.functions.keyed import pick, uniform
 from cohortlab.operators.allocate import largest_remainder
 from cohortlab.operators.sampling import downsample, number_rows
+from cohortlab.session import stage
 from cohortlab.sources.tables import require_columns
 from cohortlab.spec import TableSpec
 
@@ -113,8 +114,9 @@ def _augment(df, table, spec, order, stats, rows, total, bounds, seed) -> DataFr
         whole = narrow.withColumn("_pool", F.concat(F.col(spec.label).cast("string"), F.lit("/*")))
         parents = parents.unionByName(whole.filter(F.col("_pool").isin(list(used))))
     features = [F.col(c) for c in spec.features]
-    numbered = number_rows(parents, spec.row_id, "_pool", starts, seed, "parent").select(
-        "number", F.struct(*features).alias("p")
+    numbered = stage(  # read once per parent
+        number_rows(parents, spec.row_id, "_pool", starts, seed, "parent").select("number", F.struct(*features).alias("p")),
+        "parents",
     )
 
     drawn_at = df.sparkSession.range(total - rows).withColumn("g", position_of(F.col("id"), quotas))

@@ -88,7 +88,7 @@ def _score_buckets(df: DataFrame, buckets: int | None) -> DataFrame:
         if inner:
             edges = [float("-inf"), *inner, float("inf")]
             binner = Bucketizer(splits=edges, inputCol="probability", outputCol="bucket", handleInvalid="keep")
-            return binner.transform(df)
+            return binner.transform(df).withColumn("bucket", F.coalesce("bucket", F.lit(-1.0)))
     return df.withColumn("bucket", F.lit(0.0))
 
 

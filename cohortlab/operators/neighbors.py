@@ -39,21 +39,25 @@ def nearest_neighbors(
     seed: int = 42,
     cell_rows: int = CELL_ROWS,
     p: int = 2,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """(query, rank, neighbor, distance), rank 1..k by (distance, neighbour key).
 
     ``features`` may be plain columns or one array column. With
     ``skip_self`` a row is not its own neighbour; copies of it still are.
+    ``carry`` adds these numbers of the neighbour as an array ``carried``:
+    joining them on later would meet hot keys, as a row with many copies
+    around it is everybody's neighbour.
     """
     if p not in (1, 2):
         raise ValueError("p must be 1 or 2")
     spare = k + 1 if skip_self else k
-    points = stage(_distinct_enough(_as_vectors(candidates, features, row_id), spare), "knn-points")
+    points = stage(_distinct_enough(_as_vectors(candidates, features, row_id, carry), spare), "knn-points")
     asked = _as_vectors(queries, features, row_id)
     total = points.count()
     if total <= cell_rows:
         found = _search(asked.withColumn("cell", F.lit(0)), points.withColumn("cell", F.lit(0)), k, skip_self, p)
-        return _ranked(found, k)
+        return _ranked(found, k, carry)
 
     wanted = min(-(-total // cell_rows), MAX_PIVOTS)
     pivots = np.array(
@@ -62,22 +66,26 @@ def nearest_neighbors(
     celled = stage(_to_cells(points, pivots, p), "knn-cells")
     cells = _cell_stats(celled, pivots, spare)
     asked = stage(_to_cells(asked, pivots, p), "knn-queries")
-    own = stage(_ranked(_search(asked, celled, k, skip_self, p), k), "knn-own")
+    own = stage(_ranked(_search(asked, celled, k, skip_self, p), k, ["c"]), "knn-own")
 
     # How far the k-th hit in the own cell is; no bound if the cell had fewer.
     reach = own.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("distance").alias("reach"))
     further = stage(_other_cells(asked.join(reach, "id", "left"), cells, p), "knn-further")
     rest = _search(further, celled, k, skip_self, p)
-    return _ranked(own.drop("rank").unionByName(rest), k)
+    return _ranked(own.withColumnRenamed("carried", "c").drop("rank").unionByName(rest), k, carry)
 
 
-def _as_vectors(df: DataFrame, features: Sequence[str], row_id: str) -> DataFrame:
+def _doubles(columns: Sequence[str]):
+    return F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in columns]).cast("array<double>")
+
+
+def _as_vectors(df: DataFrame, features: Sequence[str], row_id: str, carry: Sequence[str] = ()) -> DataFrame:
     """Keys with an array of doubles; -0.0 becomes 0.0 so equal points are equal arrays."""
     if len(features) == 1 and dict(df.dtypes)[features[0]].startswith("array"):
         x = F.transform(F.col(features[0]).cast("array<double>"), lambda v: v + F.lit(0.0))
     else:
-        x = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features])
-    return df.select(F.col(row_id).alias("id"), x.alias("x"))
+        x = _doubles(features)
+    return df.select(F.col(row_id).alias("id"), x.alias("x"), _doubles(carry).alias("c"))
 
 
 def _distinct_enough(points: DataFrame, keep: int) -> DataFrame:
@@ -90,10 +98,10 @@ def _distinct_enough(points: DataFrame, keep: int) -> DataFrame:
     return points.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= keep).drop("_r")
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
+def _ranked(found: DataFrame, k: int, carry: Sequence[str]) -> DataFrame:
     best = Window.partitionBy("query").orderBy("distance", "neighbor")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query", "rank", "neighbor", "distance")
+    return ranked.select("query", "rank", "neighbor", "distance", *([F.col("c").alias("carried")] if carry else []))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -134,7 +142,7 @@ def _to_cells(points: DataFrame, pivots: np.ndarray, p: int) -> DataFrame:
             yield frame.assign(cell=cell, away=away)
 
     kind = dict(points.dtypes)["id"]
-    return points.mapInPandas(assign, f"id {kind}, x array<double>, cell int, away double")
+    return points.mapInPandas(assign, f"id {kind}, x array<double>, c array<double>, cell int, away double")
 
 
 @dataclass(frozen=True)
@@ -219,15 +227,15 @@ def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int
     nq, nc = _block_count(q_blocks), _block_count(c_blocks)
     left = asked.select("id", "x", "cell", F.pmod(F.xxhash64("id"), nq).alias("qb"),
                         F.explode(F.sequence(F.lit(0), nc - 1)).alias("cb"))
-    right = points.select("id", "x", "cell", F.pmod(F.xxhash64("id"), nc).cast("int").alias("cb"),
+    right = points.select("id", "x", "c", "cell", F.pmod(F.xxhash64("id"), nc).cast("int").alias("cb"),
                           F.explode(F.sequence(F.lit(0).cast("bigint"), (nq - 1).cast("bigint"))).alias("qb"))
     keys = ["cell", "qb", "cb"]
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"query": [], "neighbor": [], "distance": []})
+            return pd.DataFrame({"query": [], "neighbor": [], "distance": [], "c": []})
         c = c.sort_values("id", kind="stable")
-        ids, qids = c["id"].to_numpy(), q["id"].to_numpy()
+        ids, carried, qids = c["id"].to_numpy(), c["c"].to_numpy(), q["id"].to_numpy()
         x, y = _matrix(q["x"]), _matrix(c["x"])
         kept = []
         for part in _chunks(len(x), len(y)):
@@ -242,9 +250,14 @@ def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int
             row, col = row[order], col[order]
             place = np.arange(len(row)) - np.searchsorted(row, row)
             row, col = row[place < k], col[place < k]
-            kept.append(pd.DataFrame({"query": qids[part][row], "neighbor": ids[col], "distance": d[row, col]}))
+            kept.append(pd.DataFrame({
+                "query": qids[part][row], "neighbor": ids[col], "distance": d[row, col], "c": carried[col],
+            }))
         return pd.concat(kept, ignore_index=True)
 
     kq, kc = dict(asked.dtypes)["id"], dict(points.dtypes)["id"]
-    schema = f"query {kq}, neighbor {kc}, distance double"
+    schema = f"query {kq}, neighbor {kc}, distance double, c array<double>"
+    # a fixed number of tasks: the work is in the pairs, which row counts do not show
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)

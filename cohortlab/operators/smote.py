@@ -133,11 +133,12 @@ def _made_rows(table, features, label, row_id, groups, binary, minority, size, n
         asked = points
         if needed < size:  # otherwise nearly every member is drawn
             asked = points.join(drawn.select("number").distinct(), "number", "left_semi")
-        near = nearest_neighbors(asked, points, features, used, "member", skip_self=True, seed=seed)
-        made = (
-            drawn.join(numbered.toDF("number", "query", "a"), "number")
-            .join(near.select("query", "rank", "neighbor"), ["query", "rank"])
-            .join(numbered.select(F.col("member").alias("neighbor"), F.col("f").alias("b")), "neighbor")
+        near = nearest_neighbors(
+            asked, points, features, used, "member", skip_self=True, seed=seed, carry=features
+        )
+        other = F.struct(*[F.get("carried", F.lit(i)).alias(c) for i, c in enumerate(features)])
+        made = drawn.join(numbered.toDF("number", "query", "a"), "number").join(
+            near.select("query", "rank", other.alias("b")), ["query", "rank"]
         )
         continuous, two_valued, left = column_kinds(table, features, groups, binary)
         gap = uniform(seed, "gap", slot)
