@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ STAGE_EVERY = 25
 
 @dataclass(frozen=True)
 class Stump:
-    """``value < threshold`` predicts ``low``, everything else ``1 - low`` or ``high``."""
+    """``value < threshold`` predicts ``low``, everything else ``high``."""
 
     feature: int
     last_bin: int
@@ -122,21 +123,25 @@ def _best_split(weighted: DataFrame, edges) -> tuple[tuple, float, float]:
         by_feature.setdefault(r["feature"], {})[r["bin"]] = (r["w0"], r["w1"])
     best = None
     for feature, histogram in sorted(by_feature.items()):
-        all0, all1 = (sum(v[k] for v in histogram.values()) for k in (0, 1))
-        low0 = low1 = 0.0
-        for b in sorted(histogram)[:-1]:
-            low0, low1 = low0 + histogram[b][0], low1 + histogram[b][1]
-            high0, high1 = all0 - low0, all1 - low1
+        bins = sorted(histogram)
+        below = list(accumulate((histogram[b] for b in bins), _add))
+        above = list(accumulate((histogram[b] for b in reversed(bins)), _add))[::-1]
+        for i, b in enumerate(bins[:-1]):
+            (low0, low1), (high0, high1) = below[i], above[i + 1]
             impurity = _gini(low0, low1) + _gini(high0, high1)
             if best is None or impurity < best[0] - 1e-15:
                 low, high = int(low1 > low0), int(high1 > high0)
                 wrong = (low0 if low else low1) + (high0 if high else high1)
-                split = (feature, b, edges[feature][b + 1], low, high)
-                best = (impurity, split, wrong / (all0 + all1), all0 + all1)
+                total = sum(below[-1])
+                best = (impurity, (feature, b, edges[feature][b + 1], low, high), wrong / total, total)
     if best is None:
         raise ValueError("all features are constant")
     return best[1], best[2], best[3]
 
 
+def _add(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float]:
+    return a[0] + b[0], a[1] + b[1]
+
+
 def _gini(a: float, b: float) -> float:
     return 2 * a * b / (a + b) if a + b > 0 else 0.0

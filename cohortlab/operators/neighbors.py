@@ -10,6 +10,7 @@ k rows per query, so pairs are never written out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortlab.functions.keyed import keyed_hash
+from cohortlab.functions.keyed import uniform
 from cohortlab.session import stage
 
-CELL_ROWS = 4096
-MAX_PIVOTS = 2048
+SMALL = 4096  # candidates that may travel with every task
+CELL_ROWS = 1024
+PIVOT_BYTES = 32 << 20  # what may travel with every task
+MAX_PIVOTS = 65536
 CANDIDATE_BLOCK = 16384
 QUERY_BLOCK = 32768
-CHUNK_CELLS = 1 << 20  # numbers in one distance matrix
+CHUNK_CELLS = 1 << 21  # numbers in one distance matrix
 
 
 def nearest_neighbors(
@@ -40,6 +43,7 @@ def nearest_neighbors(
     cell_rows: int = CELL_ROWS,
     p: int = 2,
     carry: Sequence[str] = (),
+    small: int = SMALL,
 ) -> DataFrame:
     """(query, rank, neighbor, distance), rank 1..k by (distance, neighbour key).
 
@@ -55,14 +59,10 @@ def nearest_neighbors(
     points = stage(_distinct_enough(_as_vectors(candidates, features, row_id, carry), spare), "knn-points")
     asked = _as_vectors(queries, features, row_id)
     total = points.count()
-    if total <= cell_rows:
-        found = _search(asked.withColumn("cell", F.lit(0)), points.withColumn("cell", F.lit(0)), k, skip_self, p)
-        return _ranked(found, k, carry)
+    if total <= small:
+        return _search_small(asked, points, k, skip_self, p, carry)
 
-    wanted = min(-(-total // cell_rows), MAX_PIVOTS)
-    pivots = np.array(
-        [r["x"] for r in points.orderBy(keyed_hash(seed, "pivot", "id")).limit(wanted).collect()]
-    )
+    pivots = _pivots(points, total, cell_rows, seed)
     celled = stage(_to_cells(points, pivots, p), "knn-cells")
     cells = _cell_stats(celled, pivots, spare)
     asked = stage(_to_cells(asked, pivots, p), "knn-queries")
@@ -75,6 +75,18 @@ def nearest_neighbors(
     return _ranked(own.withColumnRenamed("carried", "c").drop("rank").unionByName(rest), k, carry)
 
 
+def _pivots(points: DataFrame, total: int, cell_rows: int, seed: int) -> np.ndarray:
+    """Random points, enough for cells of ``cell_rows`` but no more than twice
+    the root of all rows, where finding the cell would cost more than
+    searching it. Any choice of pivots gives the same neighbours."""
+    width = len(points.first()["x"])
+    wanted = min(-(-total // cell_rows), 2 * math.isqrt(total) + 1, MAX_PIVOTS, max(1, PIVOT_BYTES // (8 * width)))
+    drawn = uniform(seed, "pivot", "id")
+    likely = points.filter(drawn < (wanted + 8 * math.isqrt(wanted) + 16) / total)  # a few more than needed
+    rows = likely.orderBy(drawn).limit(wanted).collect() or [points.first()]
+    return np.array([r["x"] for r in rows])
+
+
 def _doubles(columns: Sequence[str]):
     return F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in columns]).cast("array<double>")
 
@@ -127,7 +139,7 @@ def _chunks(rows: int, width: int) -> Iterator[slice]:
 
 def _to_cells(points: DataFrame, pivots: np.ndarray, p: int) -> DataFrame:
     """Nearest pivot and the distance to it. The pivots (at most
-    ``MAX_PIVOTS`` rows) travel with the task."""
+    ``PIVOT_BYTES``) travel with the task."""
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -171,7 +183,6 @@ def _other_cells(asked: DataFrame, cells: _Cells, p: int) -> DataFrame:
     """One row per query and cell that may still hold a closer neighbour."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gaps = _distances(cells.pivots, cells.pivots, p)
         for frame in frames:
             if frame.empty:
                 continue
@@ -186,14 +197,18 @@ def _other_cells(asked: DataFrame, cells: _Cells, p: int) -> DataFrame:
                 bound = np.minimum(reach[part], ceiling)[:, None]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     # The bisector of the two pivots lies between query and cell.
-                    bisector = (d * d - (mine * mine)[:, None]) / (2 * gaps[home])
+                    homes, which = np.unique(home, return_inverse=True)
+                    gaps = _distances(cells.pivots[homes], cells.pivots, p)[which]
+                    bisector = (d * d - (mine * mine)[:, None]) / (2 * gaps)
                 least = np.maximum(d - cells.outer, cells.inner - d)
                 if p == 2:
-                    least = np.fmax(least, np.where(gaps[home] > 0, bisector, -np.inf))
+                    least = np.fmax(least, np.where(gaps > 0, bisector, -np.inf))
                 slack = 1e-9 * (1.0 + d)  # rounding must never lose a neighbour
                 open_ = (least - slack <= bound) & np.isfinite(cells.outer)[None, :]
                 open_[np.arange(len(d)), home] = False
                 at, cell = np.nonzero(open_)
+                if not len(at):
+                    continue
                 yield pd.DataFrame({
                     "id": frame["id"].to_numpy()[part][at],
                     "x": list(x[part][at]),
@@ -204,56 +219,34 @@ def _other_cells(asked: DataFrame, cells: _Cells, p: int) -> DataFrame:
     return asked.mapInPandas(look, f"id {kind}, x array<double>, cell int")
 
 
-def _blocks(df: DataFrame, size: int) -> dict[int, int]:
-    """How many blocks of ``size`` rows each cell needs, for the cells that need several."""
-    counts = df.groupBy("cell").count().filter(F.col("count") > size).collect()
-    return {r["cell"]: -(-r["count"] // size) for r in counts}
-
-
-def _block_count(blocks: dict[int, int]):
-    if not blocks:
-        return F.lit(1)
-    table = F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair])
-    return F.coalesce(F.try_element_at(table, F.col("cell")), F.lit(1))
-
-
 def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int) -> DataFrame:
     """Up to k nearest candidates per query and block.
 
     A cell larger than one block is cut on both sides and every query block
-    meets every candidate block, each pair in its own task group.
+    meets every candidate block, each pair in its own task group. Cells
+    nobody asks for are not shuffled.
     """
-    q_blocks, c_blocks = _blocks(asked, QUERY_BLOCK), _blocks(points, CANDIDATE_BLOCK)
-    nq, nc = _block_count(q_blocks), _block_count(c_blocks)
-    left = asked.select("id", "x", "cell", F.pmod(F.xxhash64("id"), nq).alias("qb"),
-                        F.explode(F.sequence(F.lit(0), nc - 1)).alias("cb"))
-    right = points.select("id", "x", "c", "cell", F.pmod(F.xxhash64("id"), nc).cast("int").alias("cb"),
-                          F.explode(F.sequence(F.lit(0).cast("bigint"), (nq - 1).cast("bigint"))).alias("qb"))
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    sizes = (
+        asked.groupBy("cell").agg(F.count("*").alias("q"))
+        .join(points.groupBy("cell").agg(F.count("*").alias("c")), "cell")
+        .select("cell", blocks("q", QUERY_BLOCK).alias("nq"), blocks("c", CANDIDATE_BLOCK).alias("nc"))
+    )
+    sizes = F.broadcast(sizes)  # three numbers for at most MAX_PIVOTS cells
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, "cell").select("id", "x", "cell", mine("nq").alias("qb"), every("nc").alias("cb"))
+    right = points.join(sizes, "cell").select("id", "x", "c", "cell", mine("nc").alias("cb"), every("nq").alias("qb"))
     keys = ["cell", "qb", "cb"]
 
+    def nothing() -> pd.DataFrame:
+        return pd.DataFrame({"query": [], "neighbor": [], "distance": [], "c": []}, dtype=object)
+
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
-            return pd.DataFrame({"query": [], "neighbor": [], "distance": [], "c": []})
-        c = c.sort_values("id", kind="stable")
-        ids, carried, qids = c["id"].to_numpy(), c["c"].to_numpy(), q["id"].to_numpy()
-        x, y = _matrix(q["x"]), _matrix(c["x"])
-        kept = []
-        for part in _chunks(len(x), len(y)):
-            d = _distances(x[part], y, p)
-            if skip_self:
-                at = np.minimum(np.searchsorted(ids, qids[part]), len(ids) - 1)
-                same = np.nonzero(ids[at] == qids[part])[0]
-                d[same, at[same]] = np.inf
-            limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-            order = np.lexsort((col, d[row, col], row))
-            row, col = row[order], col[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[place < k], col[place < k]
-            kept.append(pd.DataFrame({
-                "query": qids[part][row], "neighbor": ids[col], "distance": d[row, col], "c": carried[col],
-            }))
-        return pd.concat(kept, ignore_index=True)
+            return nothing()
+        found = [f.drop(columns="rank") for f in _best(q, _Candidates.of(c), k, skip_self, p)]
+        return pd.concat(found, ignore_index=True) if found else nothing()
 
     kq, kc = dict(asked.dtypes)["id"], dict(points.dtypes)["id"]
     schema = f"query {kq}, neighbor {kc}, distance double, c array<double>"
@@ -261,3 +254,56 @@ def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int
     tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+
+
+def _search_small(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int, carry: Sequence[str]) -> DataFrame:
+    """Candidates few enough to travel (their number was counted): no shuffle at all."""
+    rows = points.select("id", "x", "c").collect()
+    candidates = _Candidates.of(pd.DataFrame(rows, columns=["id", "x", "c"])) if rows else None
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if candidates is not None and not frame.empty:
+                yield from _best(frame, candidates, k, skip_self, p)
+
+    kq, kc = dict(asked.dtypes)["id"], dict(points.dtypes)["id"]
+    schema = f"query {kq}, neighbor {kc}, distance double, c array<double>, rank int"
+    found = asked.mapInPandas(meet, schema)
+    return found.select("query", "rank", "neighbor", "distance", *([F.col("c").alias("carried")] if carry else []))
+
+
+@dataclass(frozen=True)
+class _Candidates:
+    """Points in key order, so that equal distances keep the smaller key."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    carried: np.ndarray
+
+    @classmethod
+    def of(cls, frame: pd.DataFrame) -> _Candidates:
+        frame = frame.sort_values("id", kind="stable")
+        return cls(frame["id"].to_numpy(), _matrix(frame["x"]), frame["c"].to_numpy())
+
+
+def _best(q: pd.DataFrame, c: _Candidates, k: int, skip_self: bool, p: int) -> Iterator[pd.DataFrame]:
+    """The k nearest candidates of every query row, a bounded matrix at a time."""
+    qids, x = q["id"].to_numpy(), _matrix(q["x"])
+    last = min(k, len(c.ids)) - 1
+    for part in _chunks(len(x), len(c.ids)):
+        d = _distances(x[part], c.x, p)
+        if skip_self:
+            at = np.minimum(np.searchsorted(c.ids, qids[part]), len(c.ids) - 1)
+            same = np.nonzero(c.ids[at] == qids[part])[0]
+            d[same, at[same]] = np.inf
+        limit = np.partition(d, last, axis=1)[:, last]
+        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        order = np.lexsort((col, d[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, place = row[place < k], col[place < k], place[place < k]
+        if len(row):
+            yield pd.DataFrame({
+                "query": qids[part][row], "neighbor": c.ids[col], "distance": d[row, col], "c": c.carried[col],
+                "rank": (place + 1).astype(np.int32),
+            })

@@ -93,23 +93,30 @@ def smote(
     its k nearest minority rows. Returns key, features and label only.
     """
     table = df.select(row_id, *features, label)
-    before = count_map(table, label)
+    info = sampling_info(table, label, k)
+    if not info.applied:
+        return table, info
+    made = _made_rows(table, features, label, row_id, groups, binary, info, seed)
+    return table.unionByName(made), info
+
+
+def sampling_info(df: DataFrame, label: str, k: int = 5) -> SamplingInfo:
+    """What balancing ``df`` does, or why it does nothing, from its class counts."""
+    before = count_map(df, label)
     if min(before.values()) == 0:
-        return table, SamplingInfo.untouched(before, "single_class_train_data")
-    needed = abs(before[0] - before[1])
-    if needed == 0:
-        return table, SamplingInfo.untouched(before, "already_balanced")
-    minority = min(before, key=before.get)
-    size = before[minority]
-    made = _made_rows(table, features, label, row_id, groups, binary, minority, size, needed, k, seed)
-    used = min(k, size - 1)
-    after = {0: max(before.values()), 1: max(before.values())}
-    return table.unionByName(made), SamplingInfo(True, None, minority, before, after, needed, used)
-
-
-def _made_rows(table, features, label, row_id, groups, binary, minority, size, needed, k, seed) -> DataFrame:
+        return SamplingInfo.untouched(before, "single_class_train_data")
+    if before[0] == before[1]:
+        return SamplingInfo.untouched(before, "already_balanced")
+    minority, larger = min(before, key=before.get), max(before.values())
+    after = {0: larger, 1: larger}
+    return SamplingInfo(True, None, minority, before, after, larger - before[minority], min(k, before[minority] - 1))
+
+
+def _made_rows(table, features, label, row_id, groups, binary, info, seed) -> DataFrame:
     spark, kinds = table.sparkSession, {f.name: f.dataType for f in table.schema}
     last = table.agg(F.max(row_id)).first()[0] if isinstance(kinds[row_id], T.IntegralType) else None
+    minority, needed, used = info.minority_label, info.generated_samples, info.k_neighbors_used
+    size = info.before_counts[minority]
     members = table.filter(F.col(label) == minority)
     slots, slot = spark.range(needed), F.col("id")
 
@@ -118,7 +125,6 @@ def _made_rows(table, features, label, row_id, groups, binary, minority, size, n
         mixed = {c: F.lit(only[c]) for c in features}
         made = slots
     else:
-        used = min(k, size - 1)
         members = members.withColumn("_pool", F.lit("minority"))
         numbered = stage(
             number_rows(members, row_id, "_pool", {"minority": 0}, seed, "member")

@@ -18,15 +18,15 @@ from cohortlab.operators.allocate import allocate
 from cohortlab.operators.augment import LABELS, resize
 from cohortlab.operators.neighbors import nearest_neighbors
 from cohortlab.operators.smote import (
-    SamplingInfo,
     class_counts,
     generated_rows,
     info_table,
     kinds_table,
+    sampling_info,
     smote,
     sum_sampling,
 )
-from cohortlab.plans.pipeline import Settings, fill_scores, fit_score, prevalence_scores, specialists
+from cohortlab.plans.pipeline import Settings, fill_scores, fit_score, specialists
 from cohortlab.plans.studies import compare_smote, compare_strategies, explain_cohorts, run_variant
 from cohortlab.plans.tuning import tune
 from cohortlab.session import shared_dir
@@ -257,7 +257,7 @@ def order_points(spark, sf):
 def knn_orders(spark, sf):
     """Neighbours inside the smaller class of all orders, searched cell by cell."""
     rare = order_points(spark, sf).filter("label = 1")
-    found = nearest_neighbors(rare, rare, ["x", "y", "z"], 5, "row_id", skip_self=True, cell_rows=512)
+    found = nearest_neighbors(rare, rare, ["x", "y", "z"], 5, "row_id", skip_self=True, cell_rows=512, small=0)
     return _neighbors(found)
 
 
@@ -272,7 +272,7 @@ def smote_rows(spark, sf):
 
 def _cohort_infos(spark, sf):
     table = fx.customers_by_cohort(spark, sf)
-    infos = {c: _smote(clean.cohort_slice(table, c, "cohort"), CUSTOMERS)[1] for c in COHORTS}
+    infos = {c: sampling_info(clean.cohort_slice(table, c, "cohort"), "label") for c in COHORTS}
     return info_table(spark, infos)
 
 
