@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortlab.session import stage
 from cohortlab.spec import OVERALL
 
 BUCKET_ROWS = 250_000
@@ -73,7 +74,7 @@ def wilson_interval(df: DataFrame, by: Sequence[str] = (), z: float = 1.96) -> D
     return hits.withColumns({"ci_low": low, "ci_high": high})
 
 
-def _score_buckets(df: DataFrame, buckets: int | None) -> DataFrame:
+def _score_buckets(points: DataFrame, buckets: int | None) -> DataFrame:
     """Add ``bucket``, even ranges of the score in rising order.
 
     Running sums over a scope then need one task per bucket instead of one
@@ -81,39 +82,60 @@ def _score_buckets(df: DataFrame, buckets: int | None) -> DataFrame:
     narrow range are still cut evenly; equal scores are already one row.
     """
     if buckets is None:
-        buckets = min(-(-df.count() // BUCKET_ROWS), MAX_BUCKETS)
+        buckets = min(-(-points.count() // BUCKET_ROWS), MAX_BUCKETS)
     if buckets > 1:
         steps = [i / buckets for i in range(1, buckets)]
-        inner = sorted(set(df.approxQuantile("probability", steps, 1 / (4 * buckets))))
+        inner = sorted(set(points.approxQuantile("probability", steps, 1 / (4 * buckets))))
         if inner:
             edges = [float("-inf"), *inner, float("inf")]
             binner = Bucketizer(splits=edges, inputCol="probability", outputCol="bucket", handleInvalid="keep")
-            return binner.transform(df).withColumn("bucket", F.coalesce("bucket", F.lit(-1.0)))
-    return df.withColumn("bucket", F.lit(0.0))
+            return binner.transform(points).withColumn("bucket", F.coalesce("bucket", F.lit(-1.0)))
+    return points.withColumn("bucket", F.lit(0.0))
 
 
-def score_ranks(df: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Per scope and distinct score, from the highest down: positives and
-    negatives at the score (``tp``, ``fp``) and up to it (``ctp``, ``cfp``)."""
-    points = (
-        _score_buckets(df, buckets)
-        .groupBy(*by, "bucket", "probability")
-        .agg(F.sum("label").alias("tp"), F.sum(1 - F.col("label")).alias("fp"))
+def _points(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Positives and negatives per distinct key and score: the only pass over the rows."""
+    return stage(
+        df.groupBy(*keys, "probability").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")),
+        "score-points",
     )
-    totals = points.groupBy(*by, "bucket").agg(F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"))
+
+
+def _ranking(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """ROC-AUC and average precision from bucketed points.
+
+    A running sum inside each bucket continues from the totals of the
+    buckets above it, scopes x buckets numbers. The frames are ranges, so
+    equal scores count together whichever rows they come from.
+    """
+    totals = points.groupBy(*by, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *by, "bucket",
-        F.coalesce(F.sum("btp").over(above), F.lit(0)).alias("stp"),
-        F.coalesce(F.sum("bfp").over(above), F.lit(0)).alias("sfp"),
+        F.coalesce(F.sum("bpos").over(above), F.lit(0)).alias("spos"),
+        F.coalesce(F.sum("bneg").over(above), F.lit(0)).alias("sneg"),
     )
-    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("probability")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("probability"))
+    down_to = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at = inside.rangeBetween(Window.currentRow, Window.currentRow)
+    tp = F.col("spos") + F.sum("pos").over(down_to)
+    fp = F.col("sneg") + F.sum("neg").over(down_to)
+    ranked = points.join(starts, [*by, "bucket"]).select(
+        *by, "probability", "pos", "neg", tp.alias("tp"), fp.alias("fp"), F.sum("pos").over(at).alias("tied"),
     )
-    return points.join(starts, [*by, "bucket"]).select(
-        *by, "probability", "tp", "fp",
-        (F.col("stp") + F.sum("tp").over(inside)).alias("ctp"),
-        (F.col("sfp") + F.sum("fp").over(inside)).alias("cfp"),
+    sums = ranked.groupBy(*by).agg(
+        F.sum("pos").alias("P"),
+        F.sum("neg").alias("N"),
+        # double: positives times negatives outgrow a bigint
+        F.sum(F.col("neg").cast("double") * (F.col("tp").cast("double") - F.col("tied") / 2)).alias("area"),
+        F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("steps"),
+        F.count_if(F.col("probability").isNull() | F.isnan("probability")).alias("bad"),
+    )
+    ok = (F.col("bad") == 0) & (F.col("P") > 0) & (F.col("N") > 0)
+    return sums.select(
+        *by,
+        F.when(ok, F.col("area") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"),
+        F.when(ok, F.col("steps") / F.col("P")).alias("pr_auc"),
     )
 
 
@@ -125,21 +147,7 @@ def ranking_metrics(df: DataFrame, by: Sequence[str] = (), buckets: int | None =
     """
     keys = list(by) or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(True))
-    tp, fp, ctp, cfp = (F.col(c) for c in ("tp", "fp", "ctp", "cfp"))
-    sums = score_ranks(source, keys, buckets).groupBy(*keys).agg(
-        F.sum(tp).alias("P"),
-        F.sum(fp).alias("N"),
-        # double: positives times negatives outgrow a bigint
-        F.sum(fp.cast("double") * (ctp.cast("double") - tp / 2)).alias("area"),
-        F.sum(tp * (ctp / (ctp + cfp))).alias("steps"),
-        F.count_if(F.col("probability").isNull() | F.isnan("probability")).alias("bad"),
-    )
-    ok = (F.col("bad") == 0) & (F.col("P") > 0) & (F.col("N") > 0)
-    return sums.select(
-        *by,
-        F.when(ok, F.col("area") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"),
-        F.when(ok, F.col("steps") / F.col("P")).alias("pr_auc"),
-    )
+    return _ranking(_score_buckets(_points(source, keys), buckets), keys).select(*by, "roc_auc", "pr_auc")
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
@@ -161,16 +169,19 @@ def metrics(
     strategy) repeat the report per key.
     """
     scopes = [OVERALL, *cohorts]
-    report = df.select(
-        *extra, "label", "prediction", "probability",
-        F.explode(F.array(F.lit(OVERALL), F.col(cohort))).alias("scope"),
-    ).filter(F.col("scope").isin(scopes))
+    points = _score_buckets(_points(df, [*extra, cohort, "prediction"]), buckets)
+    scoped = points.withColumn("scope", F.explode(F.array(F.lit(OVERALL), F.col(cohort)))).filter(
+        F.col("scope").isin(scopes)
+    )
     keys = [*extra, "scope"]
-    cells = basic_metrics(report, keys)
-    ranks = ranking_metrics(report, keys, buckets)
+    cell = lambda prediction, side: F.sum(F.when(F.col("prediction") == prediction, F.col(side)).otherwise(0))
+    cells = ratios(scoped.groupBy(*keys).agg(
+        cell(0, "neg").alias("tn"), cell(1, "neg").alias("fp"), cell(0, "pos").alias("fn"), cell(1, "pos").alias("tp")
+    ))
+    ranks = _ranking(scoped, keys)
     grid = df.sparkSession.createDataFrame([(i, s) for i, s in enumerate(scopes)], "position int, scope string")
     if extra:
-        grid = df.select(*extra).distinct().select(
+        grid = points.select(*extra).distinct().select(
             *extra, F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(s).alias("scope"))
                                        for i, s in enumerate(scopes)]))
         )

@@ -109,7 +109,7 @@ def test_smote_comparison(generated):
 
 
 def test_explanations(sides):
-    found = explain_cohorts(*sides, Settings(CLINICAL, top_k=5, params=FAST))
+    found = explain_cohorts(*sides, Settings(CLINICAL, top_k=5, use_smote=False, params=FAST))
     assert set(found) == set(CLINICAL.cohorts)
     middle = found["Middle"]
     rows = sum(s.filter("age_group = 'Middle'").count() for s in sides)
