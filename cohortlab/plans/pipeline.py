@@ -13,7 +13,7 @@ from cohortlab.models.catalogue import entry, make_model
 from cohortlab.operators.clean import cohort_slice
 from cohortlab.operators.importance import FeatureChoice, choose_features
 from cohortlab.operators.smote import SamplingInfo, count_map, smote
-from cohortlab.session import stage
+from cohortlab.session import side_by_side, stage
 from cohortlab.spec import TableSpec
 
 TOP_K = 10
@@ -145,26 +145,24 @@ def specialists(train: DataFrame, test: DataFrame, key: str, settings: Settings,
     before = {r[spec.cohort]: {0: r["n0"], 1: r["n1"]} for r in sides.filter(F.col(spec.cohort).isin(*spec.cohorts)).collect()}
     present = {r[0] for r in test.select(spec.cohort).distinct().filter(F.col(spec.cohort).isin(*spec.cohorts)).collect()}
 
-    parts, features, sampling, models = [], {}, {}, {}
-    fitted_for = []
-    for cohort in spec.cohorts:
+    def serve(cohort: str) -> Run | tuple[SamplingInfo, ModelInfo]:
         counts = before.get(cohort, {0: 0, 1: 0})
         title = f"{label} {cohort} Holdout"
         if cohort not in present or min(counts.values()) == 0:
             reason = EMPTY_TEST if cohort not in present else WEAK_TRAIN
-            features[cohort] = None
-            sampling[cohort] = SamplingInfo.untouched(counts, reason)
-            models[cohort] = ModelInfo.of(key, title, status="skipped", reason=reason)
-            continue
-        run = fit_score(
-            cohort_slice(train, cohort, spec.cohort), cohort_slice(test, cohort, spec.cohort), key, settings,
-            scope=cohort, label=title,
-        )
-        parts.append(run.scores)
-        fitted_for.append(cohort)
-        features[cohort], sampling[cohort], models[cohort] = run.features, run.sampling, run.model
-    scores = fallback.filter(~F.col(spec.cohort).isin(fitted_for)) if fitted_for else fallback
-    for part in parts:
+            return SamplingInfo.untouched(counts, reason), ModelInfo.of(key, title, status="skipped", reason=reason)
+        sides = cohort_slice(train, cohort, spec.cohort), cohort_slice(test, cohort, spec.cohort)
+        return fit_score(*sides, key, settings, scope=cohort, label=title)
+
+    parts, features, sampling, models = {}, {}, {}, {}
+    for cohort, served in zip(spec.cohorts, side_by_side(train.sparkSession, serve, spec.cohorts)):
+        if isinstance(served, Run):
+            parts[cohort], features[cohort] = served.scores, served.features
+            sampling[cohort], models[cohort] = served.sampling, served.model
+        else:
+            features[cohort], (sampling[cohort], models[cohort]) = None, served
+    scores = fallback.filter(~F.col(spec.cohort).isin(list(parts))) if parts else fallback
+    for part in parts.values():
         scores = scores.unionByName(part)
     return Specialists(scores, features, sampling, models)
 

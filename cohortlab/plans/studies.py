@@ -26,7 +26,7 @@ from cohortlab.plans.pipeline import (
     prevalence_scores,
     specialists,
 )
-from cohortlab.session import stage
+from cohortlab.session import side_by_side, stage
 from cohortlab.spec import OVERALL, TableSpec
 
 
@@ -197,21 +197,21 @@ def explain_cohorts(train: DataFrame, test: DataFrame, settings: Settings) -> di
     """Per cohort: holdout metrics with an accuracy interval, then a model
     refitted on train and test together whose scores of the real rows are
     taken apart by feature. Cohorts that cannot be fitted are left out."""
-    spec, found = settings.spec, {}
+    spec = settings.spec
     train, test = _staged(train, spec, "study-train"), _staged(test, spec, "study-test")
-    for cohort in spec.cohorts:
+
+    def explain(cohort: str) -> CohortExplanation | None:
         own_train, own_test = cohort_slice(train, cohort, spec.cohort), cohort_slice(test, cohort, spec.cohort)
         classes = own_train.select(spec.label).distinct().limit(2).count()
         if own_test.isEmpty() or classes < 2:
-            continue
+            return None
         held = fit_score(own_train, own_test, "xgboost", settings, scope=cohort, label=f"{cohort} Holdout")
         scores = stage(held.scores, "scores")
         full = own_train.unionByName(own_test)
         final = fit_score_full(full, "xgboost", settings, f"{cohort} Final Explanation Model")
         explained = stage(tree_attribution(final.fitted, full, spec.row_id), "attributions")
         long = attribution_long(explained, spec.row_id, final.fitted.features)
-        found[cohort] = CohortExplanation(
-            cohort, metrics(scores, [cohort], spec.cohort).filter(F.col("scope") == cohort), wilson_interval(scores),
-            explained, attribution_summary(long),
-        )
-    return found
+        report = metrics(scores, [cohort], spec.cohort).filter(F.col("scope") == cohort)
+        return CohortExplanation(cohort, report, wilson_interval(scores), explained, attribution_summary(long))
+
+    return {e.cohort: e for e in side_by_side(train.sparkSession, explain, spec.cohorts) if e}

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+A, B = TypeVar("A"), TypeVar("B")
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -54,3 +59,14 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def side_by_side(spark: SparkSession, work: Callable[[A], B], items: Iterable[A]) -> list[B]:
+    """Submit independent jobs together, results in order.
+
+    A fit is a chain of short jobs with waits on the driver in between; with
+    a few chains at once the cluster has work during those waits.
+    """
+    items = list(items)
+    with ThreadPoolExecutor(max_workers=max(1, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(work), items))

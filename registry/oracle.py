@@ -376,7 +376,7 @@ ORACLE: dict[str, str] = {
     "number_members": with_(ORD) + f"SELECT row_id, cohort, row_number() OVER (PARTITION BY cohort ORDER BY {h('member', 'row_id')}) - 1 AS number FROM ord",
     "augment_rows": augment(3),
     "augment_sparse_pool": augment(4, "(SELECT DISTINCT acctbal FROM cus WHERE label = 1 ORDER BY 1 DESC LIMIT 1 OFFSET 1)"),
-    "class_counts_by_cohort": with_(ORD) + f"SELECT cohort, {big('sum(1 - label)', 'class_0')}, {big('sum(label)', 'class_1')} FROM ord GROUP BY cohort",
+    "class_counts": with_(ORD) + f"SELECT cohort, {big('sum(1 - label)', 'class_0')}, {big('sum(label)', 'class_1')} FROM ord GROUP BY cohort",
     "knn_minority": with_(VEC, "rare AS (SELECT * FROM vec WHERE digit = 0)", knn("rare", LIST_DISTANCE, "5")) + NEIGHBORS,
     "knn_vectors": with_(VEC, knn("vec", LIST_DISTANCE, "5")) + NEIGHBORS,
     "knn_orders": with_(
@@ -391,7 +391,7 @@ ORACLE: dict[str, str] = {
     "smote_single_class": with_(ORD) + "SELECT label, count(*) AS n, false AS applied, 'single_class_train_data' AS reason FROM ord WHERE label = 1 GROUP BY label",
     "sampling_totals": with_(CUS, INFOS) + f"""SELECT {big('sum(n0)', 'before_0')}, {big('sum(n1)', 'before_1')},
         {big('sum(big)', 'after_0')}, {big('sum(big)', 'after_1')} FROM info""",
-    "generated_by_cohort": with_(CUS, INFOS) + f"""SELECT scope, {big('big - small', 'generated')} FROM info
+    "generated_rows": with_(CUS, INFOS) + f"""SELECT scope, {big('big - small', 'generated')} FROM info
         UNION ALL SELECT 'overall', CAST(sum(big - small) AS BIGINT) FROM info""",
     "score_gaussian_nb": with_(*NB_ALL) + SCORES,
     "fit_score_nb": with_(*NB_ALL) + SCORES,
@@ -461,7 +461,7 @@ ORACLE: dict[str, str] = {
         " UNION ALL ".join(
             f"SELECT scope, '{m}' AS metric, {quoted(m)} AS value FROM rep WHERE model_key = 'm1' AND strategy = '{s}'" for m in METRICS)
         for s in STRATEGIES]),
-    "metric_text_table": with_(ORD, SCORE, *report("score", (*SCOPES, "Nobody")), f"lng AS ({LONG})")
+    "metric_text": with_(ORD, SCORE, *report("score", (*SCOPES, "Nobody")), f"lng AS ({LONG})")
     + """SELECT scope, metric, coalesce(printf('%.4f', round(value, 9)), 'N/A') AS text,
         coalesce(printf('%+.4f', round(value - 0.5, 9)), 'N/A') AS delta FROM lng""",
     "feature_list_text": with_(ORD, "m AS (" + " UNION ALL ".join(f"SELECT '{c}' AS f, avg({c}) AS v FROM ord" for c in NUMERIC) + ")")

@@ -40,7 +40,7 @@ STRATA = [(label, cohort) for label in LABELS for cohort in COHORTS]
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.rstrip("_")] = f
     return f
 
 
@@ -219,7 +219,7 @@ def number_members(spark, sf):
 
 
 @query
-def class_counts_by_cohort(spark, sf):
+def class_counts_(spark, sf):
     return class_counts(fx.orders_by_cohort(spark, sf), "label", ["cohort"])
 
 
@@ -301,7 +301,7 @@ def sampling_totals(spark, sf):
 
 
 @query
-def generated_by_cohort(spark, sf):
+def generated_rows_(spark, sf):
     return generated_rows(_cohort_infos(spark, sf))
 
 
@@ -607,7 +607,7 @@ def compare_variants(spark, sf):
 
 
 @query
-def metric_text_table(spark, sf):
+def metric_text_(spark, sf):
     report = metrics.metrics(fx.scored(spark, sf), [*COHORTS, "Nobody"], "cohort")
     long = metrics.long_metrics(report, ["scope"])
     return long.select(

@@ -10,7 +10,7 @@ from cohortlab.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, partitions=4, app="tests")
+    session = local_session(8, partitions=2, app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
