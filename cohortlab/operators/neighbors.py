@@ -29,6 +29,7 @@ PIVOT_BYTES = 32 << 20  # what may travel with every task
 MAX_PIVOTS = 65536
 CANDIDATE_BLOCK = 16384
 QUERY_BLOCK = 32768
+TASK_ROWS = 50_000  # candidates per task, at least
 CHUNK_CELLS = 1 << 21  # numbers in one distance matrix
 
 
@@ -66,12 +67,12 @@ def nearest_neighbors(
     celled = stage(_to_cells(points, pivots, p), "knn-cells")
     cells = _cell_stats(celled, pivots, spare)
     asked = stage(_to_cells(asked, pivots, p), "knn-queries")
-    own = stage(_ranked(_search(asked, celled, k, skip_self, p), k, ["c"]), "knn-own")
+    own = stage(_ranked(_search(asked, celled, k, skip_self, p, total), k, ["c"]), "knn-own")
 
     # How far the k-th hit in the own cell is; no bound if the cell had fewer.
     reach = own.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("distance").alias("reach"))
     further = stage(_other_cells(asked.join(reach, "id", "left"), cells, p), "knn-further")
-    rest = _search(further, celled, k, skip_self, p)
+    rest = _search(further, celled, k, skip_self, p, total)
     return _ranked(own.withColumnRenamed("carried", "c").drop("rank").unionByName(rest), k, carry)
 
 
@@ -219,7 +220,7 @@ def _other_cells(asked: DataFrame, cells: _Cells, p: int) -> DataFrame:
     return asked.mapInPandas(look, f"id {kind}, x array<double>, cell int")
 
 
-def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int) -> DataFrame:
+def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int, total: int) -> DataFrame:
     """Up to k nearest candidates per query and block.
 
     A cell larger than one block is cut on both sides and every query block
@@ -250,8 +251,8 @@ def _search(asked: DataFrame, points: DataFrame, k: int, skip_self: bool, p: int
 
     kq, kc = dict(asked.dtypes)["id"], dict(points.dtypes)["id"]
     schema = f"query {kq}, neighbor {kc}, distance double, c array<double>"
-    # a fixed number of tasks: the work is in the pairs, which row counts do not show
-    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A fixed number of tasks: the work is in the pairs, which shuffle sizes do not show.
+    tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
     left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
 
