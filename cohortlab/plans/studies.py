@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,10 +14,9 @@ from cohortlab.models.catalogue import CATALOGUE, entry, make_model
 from cohortlab.operators.clean import cohort_slice
 from cohortlab.operators.compare import BASELINE, SPECIALIST, compare_variants, cross_model_summary
 from cohortlab.operators.importance import FeatureChoice
-from cohortlab.operators.metrics import METRICS, metrics, wilson_interval
+from cohortlab.operators.metrics import metrics, wilson_interval
 from cohortlab.operators.smote import SamplingInfo
 from cohortlab.plans.pipeline import (
-    EMPTY_TEST,
     ModelInfo,
     Settings,
     Specialists,
@@ -26,6 +25,7 @@ from cohortlab.plans.pipeline import (
     prevalence_scores,
     specialists,
 )
+from cohortlab.plans.report import variant_document
 from cohortlab.session import side_by_side, stage
 from cohortlab.spec import OVERALL, TableSpec
 
@@ -89,7 +89,6 @@ class Variant:
     scores: DataFrame
     run: Specialists
     train_before: dict[int, int]
-    result: DataFrame
 
 
 def run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: str, key: str = "xgboost") -> Variant:
@@ -110,67 +109,14 @@ def _run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: st
     run = specialists(train, test, key, settings, prevalence_scores(test, spec, totals["p"]), name)
     scores = stage(run.scores, "scores")
     report = metrics(scores, spec.cohorts, spec.cohort)
-    before = {0: totals["n0"], 1: totals["n1"]}
-    outside = scores.filter(
-        ~F.col(spec.cohort).isin(*spec.cohorts)
-    ).count()
-    return Variant(name, report, scores, run, before, _variant_row(report, run, settings, name, key, before, outside))
-
-
-def _variant_row(report, run, settings, name, key, before, outside) -> DataFrame:
-    """The whole variant as one nested row."""
-    spec, spark = settings.spec, report.sparkSession
-    counted = {c: i for c, i in run.sampling.items() if i.reason != EMPTY_TEST}
-    after = {k: sum(i.after_counts[k] for i in counted.values()) for k in (0, 1)}
-    rows = []
-    for cohort in spec.cohorts:
-        info, choice, model = run.sampling[cohort], run.features[cohort], run.models[cohort]
-        rows.append((
-            cohort, sum(info.before_counts.values()), sum(info.after_counts.values()), asdict(info),
-            choice and {"applied": choice.applied, "reason": choice.reason, "top_k": choice.top_k,
-                        "selected": list(choice.selected), "importances": choice.importances},
-            {"model_key": model.model_key, "status": model.status, "reason": model.reason, "label": model.label,
-             "params": {k: str(v) for k, v in model.params.items()}},
-        ))
-    infos = spark.createDataFrame(rows, (
-        "scope string, train_rows_before_sampling bigint, train_rows_after_sampling bigint,"
-        " sampling struct<applied:boolean,reason:string,minority_label:int,before_counts:map<int,bigint>,"
-        "after_counts:map<int,bigint>,generated_samples:bigint,k_neighbors_used:int>,"
-        " feature_selection struct<applied:boolean,reason:string,top_k:int,selected:array<string>,"
-        "importances:map<string,double>>,"
-        " model_info struct<model_key:string,status:string,reason:string,label:string,params:map<string,string>>"
-    ))
-    values = F.struct(*METRICS, "tn", "fp", "fn", "tp")
-    rows_in_scope = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    cells = report.select("position", "scope", values.alias("metrics"), rows_in_scope.alias("test_rows"))
-    cohorts = cells.join(infos, "scope").select(F.struct(
-        "position", "scope", "train_rows_before_sampling", "train_rows_after_sampling", "test_rows",
-        "feature_selection", "sampling", "model_info", "metrics",
-    ).alias("c")).agg(F.collect_list("c").alias("cohorts"))  # three rows
-    in_order = F.array_sort("cohorts", lambda a, b: a["position"] - b["position"])
-    overall = cells.filter(F.col("scope") == OVERALL).select(
-        F.col("metrics").alias("overall_metrics"), "test_rows", F.lit(1).alias("one")
-    )
-    return cohorts.select(in_order.alias("cohorts"), F.lit(1).alias("one")).join(overall, "one").select(
-        F.lit(name).alias("variant"),
-        F.lit(settings.use_smote).alias("use_smote"),
-        F.lit(settings.top_k).alias("top_k"),
-        F.lit(key).alias("model_key"),
-        F.lit(sum(before.values())).cast("bigint").alias("train_rows_before_sampling"),
-        F.lit(sum(after.values())).cast("bigint").alias("train_rows_after_sampling"),
-        "test_rows",
-        _counts(before).alias("train_class_counts_before_sampling"),
-        _counts(after).alias("train_class_counts_after_sampling"),
-        "cohorts",
-        "overall_metrics",
-        F.when(F.lit(outside) > 0, F.struct(
-            F.lit(outside).cast("bigint").alias("rows_filled"), F.lit("train prevalence").alias("fallback")
-        )).alias("missing_prediction_fallback"),
-    )
-
-
-def _counts(counts: Mapping[int, int]):
-    return F.create_map(*[F.lit(v).cast("bigint" if i % 2 else "int") for k in counts for i, v in enumerate((k, counts[k]))])
+    return Variant(name, report, scores, run, {0: totals["n0"], 1: totals["n1"]})
+
+
+def variant_result(variant: Variant, settings: Settings, key: str = "xgboost") -> DataFrame:
+    """The variant as one nested row, with the rows outside all cohorts counted."""
+    spec = settings.spec
+    outside = variant.scores.filter(~F.col(spec.cohort).isin(*spec.cohorts)).count()
+    return variant_document(variant, settings, key, outside)
 
 
 def compare_smote(train: DataFrame, test: DataFrame, settings: Settings, key: str = "xgboost") -> tuple[Variant, Variant, DataFrame]:

@@ -41,6 +41,13 @@ class TableSpec:
     def features(self) -> list[str]:
         return [*self.numeric, *self.dummies, *self.binary]
 
+    @property
+    def rules(self) -> dict[str, str]:
+        """The cohort borders in words."""
+        (low, high), by = self.cutoffs, self.cohort_by
+        young, middle, old = self.cohorts
+        return {young: f"{by} < {low:g}", middle: f"{low:g} <= {by} <= {high:g}", old: f"{by} > {high:g}"}
+
     @property
     def raw_columns(self) -> list[str]:
         return [*self.numeric, *self.categorical, *self.binary, self.label]

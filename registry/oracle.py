@@ -521,6 +521,34 @@ ORACLE["smote_study"] = with_(*_study, *report("score", SCOPES, "variant")) + tw
     " UNION ALL ".join(f"SELECT scope, '{m}' AS metric, {quoted(m)} AS value FROM rep WHERE variant = '{v}'" for m in METRICS)
     for v in ("without", "with")])
 
+ORACLE["report_matrices"] = with_(*_study, *report("score", SCOPES, "variant")) + (
+    f"SELECT CASE variant WHEN 'with' THEN 'WITH_SMOTE' ELSE 'WITHOUT_SMOTE' END AS variant, scope, {', '.join(COUNTS)} FROM rep")
+_train_info = [
+    CUS, *split("cus"),
+    "info AS (SELECT cohort AS scope, abs(sum(1 - label) - sum(label)) AS gap, least(sum(1 - label), sum(label)) AS small"
+    " FROM sides WHERE side = 'train' GROUP BY cohort)",
+]
+ORACLE["report_sampling"] = with_(*_train_info) + f"""
+    SELECT 'WITH_SMOTE' AS variant, scope, true AS applied, CAST(NULL AS VARCHAR) AS reason, {big('gap', 'generated_samples')},
+           CAST(least(5, small - 1) AS INTEGER) AS k_neighbors_used FROM info
+    UNION ALL SELECT 'WITHOUT_SMOTE', scope, false, 'smote_disabled', 0, 0 FROM info"""
+
+# Baseline and specialists, both balanced first.
+_both = [
+    *_study, *smote("tr", **CUST_SMOTE, out="all_bal", p="a_"), *naive_bayes("all_bal", "te", CUST, "all_nb", "an_"),
+    "gaps AS (SELECT 'age_specialist' AS strategy, cohort AS scope, abs(sum(1 - label) - sum(label)) AS gap FROM tr GROUP BY cohort"
+    " UNION ALL SELECT 'baseline', 'overall', abs(sum(1 - label) - sum(label)) FROM tr)",
+    "two AS (SELECT 'baseline' AS strategy, * FROM all_nb UNION ALL"
+    " SELECT 'age_specialist', * EXCLUDE (variant) FROM score WHERE variant = 'with')",
+    "seen AS (SELECT *, 'overall' AS scope FROM two UNION ALL SELECT *, cohort AS scope FROM two)",
+]
+ORACLE["strategy_document_nb"] = with_(*_both) + f"""
+    SELECT 'naive_bayes' AS model_key, strategy, scope, test_rows, accuracy, {big('gap', 'generated_samples')},
+           CASE WHEN gap IS NOT NULL THEN 'applied' END AS status,
+           CASE WHEN gap IS NOT NULL THEN '{", ".join(CUST)}' ELSE '' END AS features
+    FROM (SELECT strategy, scope, count(*) AS test_rows, {r('avg(CAST(label = prediction AS INTEGER))', 'accuracy')}
+          FROM seen GROUP BY strategy, scope) LEFT JOIN gaps USING (strategy, scope)"""
+
 # Two smoothing values on an inner split of the training side.
 _tune = [*NB, *split("tr0", "t_", "inner_sides"), "itr AS (SELECT * FROM inner_sides WHERE side = 'train')", "ite AS (SELECT * FROM inner_sides WHERE side = 'test')"]
 _tune.insert(len(NB), "tr0 AS (SELECT * EXCLUDE (side) FROM tr)")

@@ -27,7 +27,8 @@ from cohortlab.operators.smote import (
     sum_sampling,
 )
 from cohortlab.plans.pipeline import Settings, fill_scores, fit_score, specialists
-from cohortlab.plans.studies import compare_smote, compare_strategies, explain_cohorts, run_variant
+from cohortlab.plans.report import report_tables, strategy_document
+from cohortlab.plans.studies import compare_smote, compare_strategies, explain_cohorts, run_variant, variant_result
 from cohortlab.plans.tuning import tune
 from cohortlab.session import shared_dir
 from cohortlab.sources import tables
@@ -650,19 +651,48 @@ def _customer_sides(spark, sf):
 
 
 @query
-def variant_result(spark, sf):
+def variant_result_(spark, sf):
     """A generated training table three times the real one, real test rows."""
     train, test = _customer_sides(spark, sf)
     grown = resize(train, CUSTOMERS, 3 * train.count(), CUSTOMERS.cutoffs, SEED)
     settings = Settings(CUSTOMERS, top_k=4, params={"selector": {"n_estimators": 5}, "xgboost": {"n_estimators": 5}})
-    return tables.results_text(run_variant(grown, test, settings, "WITH_SMOTE").result)
+    run = run_variant(grown, test, settings, "WITH_SMOTE")
+    return tables.results_text(variant_result(run, settings))
+
+
+@query
+def strategy_document_nb(spark, sf):
+    train, test = _customer_sides(spark, sf)
+    found = compare_strategies(train, test, ["naive_bayes"], Settings(CUSTOMERS))
+    return strategy_document(found).select(
+        "model_key", "strategy", "scope", "test_rows", r("metrics.accuracy", "accuracy"),
+        F.col("sampling.generated_samples").alias("generated_samples"), F.col("model_info.status").alias("status"),
+        F.concat_ws(", ", "feature_selection.selected_features").alias("features"),
+    )
+
+
+@query
+def report_matrices(spark, sf):
+    return _report_tables(spark, sf)["matrices"]
+
+
+@query
+def report_sampling(spark, sf):
+    return _report_tables(spark, sf)["sampling"].select(
+        "variant", "scope", "applied", "reason", "generated_samples", "k_neighbors_used"
+    )
+
+
+def _report_tables(spark, sf):
+    train, test = _customer_sides(spark, sf)
+    without, with_smote, _ = compare_smote(train, test, Settings(CUSTOMERS), "naive_bayes")
+    return report_tables(without, with_smote, CUSTOMERS)
 
 
 @query
 def smote_study(spark, sf):
     train, test = _customer_sides(spark, sf)
-    settings = Settings(CUSTOMERS, params={"naive_bayes": {}})
-    _, _, table = compare_smote(train, test, settings, "naive_bayes")
+    _, _, table = compare_smote(train, test, Settings(CUSTOMERS), "naive_bayes")
     return table.select("scope", "metric", r("value_a"), r("value_b"), r("delta"), "winner")
 
 

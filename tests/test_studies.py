@@ -7,7 +7,8 @@ from cohortlab.operators.augment import resize
 from cohortlab.operators.clean import assign_cohort
 from cohortlab.operators.preprocess import prepare
 from cohortlab.plans.pipeline import Settings, fill_scores, fit_score, fit_score_full, model_info_table, specialists
-from cohortlab.plans.studies import compare_smote, compare_strategies, explain_cohorts, run_variant
+from cohortlab.plans.report import report_tables, strategy_document
+from cohortlab.plans.studies import compare_smote, compare_strategies, explain_cohorts, run_variant, variant_result
 from cohortlab.session import stage
 from cohortlab.sources.tables import results_text
 from cohortlab.spec import CLINICAL
@@ -66,6 +67,8 @@ def test_strategies(sides):
     whole = found.report.filter("scope = 'overall'").collect()
     assert all(r["tn"] + r["fp"] + r["fn"] + r["tp"] == 180 and r["roc_auc"] > 0.6 for r in whole)
     assert set(found.features) == {f"{k}/{s}" for k in ("naive_bayes", "decision_tree") for s in ("overall", *CLINICAL.cohorts)}
+    document = strategy_document(found).collect()
+    assert len(document) == 16 and sum(r["model_info"] is not None for r in document) == 8
     same = found.features["naive_bayes/Young"] is found.features["decision_tree/Young"]
     assert same  # chosen once per training table
 
@@ -78,8 +81,9 @@ def generated(prepared, sides):
 
 
 def test_variant_document(generated):
-    run = run_variant(*generated, Settings(CLINICAL, params=FAST), "WITH_SMOTE")
-    doc = json.loads(results_text(run.result).first()["json"])
+    settings = Settings(CLINICAL, params=FAST)
+    doc = json.loads(results_text(variant_result(run_variant(*generated, settings, "WITH_SMOTE"), settings)).first()["json"])
+    assert [c["rule"] for c in doc["cohorts"]] == ["age < 45", "45 <= age <= 65", "age > 65"]
     assert doc["train_rows_before_sampling"] == 1500 and doc["test_rows"] == 180 and doc["use_smote"]
     assert [c["scope"] for c in doc["cohorts"]] == ["Young", "Middle", "Elderly"]
     assert sum(c["train_rows_after_sampling"] for c in doc["cohorts"]) == doc["train_rows_after_sampling"]
@@ -91,11 +95,12 @@ def test_variant_uses_prevalence_for_weak_cohorts(generated):
     train, test = generated
     train = stage(train.filter("age_group <> 'Elderly'"), "weak")
     test = test.withColumn("age_group", F.when(F.col("row_id") % 10 == 0, "Unknown").otherwise(F.col("age_group")))
-    run = run_variant(train, test, Settings(CLINICAL, top_k=15, use_smote=False), "WITHOUT_SMOTE", "naive_bayes")
+    settings = Settings(CLINICAL, top_k=15, use_smote=False)
+    run = run_variant(train, test, settings, "WITHOUT_SMOTE", "naive_bayes")
     share = train.agg(F.avg("target")).first()[0]
     rest = run.scores.filter("age_group in ('Elderly', 'Unknown')")
     assert rest.filter(F.abs(F.col("probability") - share) > 1e-12).count() == 0
-    doc = json.loads(results_text(run.result).first()["json"])
+    doc = json.loads(results_text(variant_result(run, settings, "naive_bayes")).first()["json"])
     assert doc["missing_prediction_fallback"]["rows_filled"] == test.filter("age_group = 'Unknown'").count()
     assert doc["cohorts"][2]["model_info"]["reason"] == "insufficient_train_cohort"
 
@@ -105,6 +110,10 @@ def test_smote_comparison(generated):
     assert not any(i.applied for i in without.run.sampling.values()) and any(i.applied for i in with_.run.sampling.values())
     rows = table.collect()
     assert len(rows) == 6 + 3 * 5 and {r["winner"] for r in rows} <= {"With SMOTE", "Without SMOTE", "Tie", "N/A"}
+    sections = report_tables(without, with_, CLINICAL)
+    assert {k: t.count() for k, t in sections.items()} == {
+        "rules": 3, "metrics": 21, "matrices": 8, "sampling": 6, "features": 6, "parameters": 6}
+    assert sections["parameters"].first()["params"] == "var_smoothing=1e-09"
     assert all(r["delta"] == pytest.approx(r["value_b"] - r["value_a"]) for r in rows if r["delta"] is not None)
 
 
