@@ -20,7 +20,7 @@ from cohortlab.models.base import class_totals, sigmoid
 from cohortlab.session import stage
 
 BINS = 32
-STAGE_EVERY = 25
+STAGE_EVERY = 10
 
 
 @dataclass(frozen=True)

@@ -77,7 +77,7 @@ CATALOGUE: dict[str, Entry] = {
     ),
     "mlp": Entry(
         "Artificial Neural Network (MLP)", _mllib(mllib.mlp),
-        {"hidden_layer_sizes": (64, 32), "max_iter": 1200},
+        {"hidden_layer_sizes": (64, 32), "max_iter": 100},  # L-BFGS steps, not epochs
         {"hidden_layer_sizes": [(32,), (64,), (64, 32), (128, 64)]},
         "approximate",
     ),

@@ -88,7 +88,7 @@ def frame_diff(a: DataFrame, b: DataFrame, key: str, atol: float = 1e-9) -> Data
     return flags.unpivot([], columns, "column", "mismatches")
 
 
-def assert_frames_match(a: DataFrame, b: DataFrame, key: str, name: str, atol: float = 1e-9) -> None:
+def require_match(a: DataFrame, b: DataFrame, key: str, name: str, atol: float = 1e-9) -> None:
     bad = frame_diff(a, b, key, atol).filter("mismatches > 0").orderBy("column").limit(20).collect()
     if bad:
         raise ValueError(f"{name} differs in {', '.join(r['column'] for r in bad)}")

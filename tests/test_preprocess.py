@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.operators import preprocess
 from cohortlab.operators.clean import assign_cohort
-from cohortlab.operators.profile import assert_frames_match, frame_diff
+from cohortlab.operators.profile import require_match, frame_diff
 from cohortlab.spec import CLINICAL
 
 
@@ -62,8 +62,8 @@ def test_frame_differences(spark):
     a = spark.createDataFrame([(1, 1.0, "x"), (2, None, "y"), (3, 3.0, None)], "id int, v double, s string")
     b = spark.createDataFrame([(1, 1.0 + 1e-10, "x"), (2, None, "z"), (4, 3.0, None)], "id int, v double, s string")
     assert {r["column"]: r["mismatches"] for r in frame_diff(a, b, "id").collect()} == {"v": 2, "s": 3}
-    assert_frames_match(a, a, "id", "same")
+    require_match(a, a, "id", "same")
     with pytest.raises(ValueError, match="t differs in s, v"):
-        assert_frames_match(a, b, "id", "t")
+        require_match(a, b, "id", "t")
     with pytest.raises(ValueError, match="columns"):
         frame_diff(a, b.drop("s"), "id")
