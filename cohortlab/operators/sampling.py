@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,58 +11,68 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.functions.keyed import keyed_hash
-from cohortlab.operators.allocate import MAX_STRATA, largest_remainder, strata_counts
+from cohortlab.operators.allocate import largest_remainder
 
 STEP = 3  # hex digits per refinement: 4096 buckets
+MAX_GROUPS = 64
 FULL = 32
 
 
-def hash_cuts(df: DataFrame, group: Column, order: Column, quotas: Mapping[str, int]) -> dict[str, str]:
+Quotas = Mapping[str, int] | Callable[[dict[str, int]], Mapping[str, int]]
+
+
+def hash_cuts(df: DataFrame, group: Column, order: Column, quotas: Quotas) -> dict[str, str]:
     """For each group the bound below which exactly ``quota`` hashes lie.
 
     A histogram over hash prefixes finds the bucket holding the quota-th
     hash; the next round looks inside that bucket only. Each round is one
     aggregate with at most 4096 counts per group, so no row is ever sorted
     or moved, and choosing rows afterwards is a plain filter. ``quotas``
-    must not exceed the group sizes.
+    may be a function of the group sizes, which the first round knows.
     """
-    if len(quotas) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} groups")
     hashed = df.select(group.alias("g"), order.alias("h"))
-    bounds = {g: "" for g, q in quotas.items() if q <= 0}
-    searching = {g: ("", q) for g, q in quotas.items() if q > 0}
-    digits = 0
-    while searching:
-        digits += STEP
-        if digits > FULL + STEP:
-            raise ValueError("row keys are not unique")
-        inside = reduce(
-            lambda a, b: a | b,
-            [(F.col("g") == g) & F.col("h").startswith(prefix) for g, (prefix, _) in searching.items()],
-        )
-        rows = (
-            hashed.filter(inside)
-            .groupBy("g", F.substring("h", 1, min(digits, FULL)).alias("b"))
-            .count()
-            .collect()
-        )
-        histogram: dict[str, list[tuple[str, int]]] = {}
-        for r in rows:
-            histogram.setdefault(r["g"], []).append((r["b"], r["count"]))
-        narrowed = {}
-        for g, (_, need) in searching.items():
-            for bucket, size in sorted(histogram.get(g, [])):
-                if size > need:
-                    narrowed[g] = (bucket, need)
-                    break
-                need -= size
-                if need == 0:
-                    bounds[g] = bucket + "g"  # sorts after every hash starting with the bucket
-                    break
+    histogram = _histogram(hashed, STEP)
+    if callable(quotas):
+        quotas = quotas({g: sum(n for _, n in buckets) for g, buckets in histogram.items()})
+    bounds, searching = {}, {g: q for g, q in quotas.items() if q > 0}
+    bounds.update({g: "" for g in quotas if g not in searching})
+    for digits in range(2 * STEP, FULL + 2 * STEP, STEP):
+        prefixes = {}
+        for g, need in list(searching.items()):
+            prefix, rest = _locate(g, sorted(histogram.get(g, [])), need)
+            if rest:
+                prefixes[g], searching[g] = prefix, rest
             else:
-                raise ValueError(f"group {g!r} has fewer rows than its quota")
-        searching = narrowed
-    return bounds
+                bounds[g] = prefix + "g"  # sorts after every hash starting with the prefix
+                del searching[g]
+        if not searching:
+            return bounds
+        inside = [(F.col("g") == g) & F.col("h").startswith(p) for g, p in prefixes.items()]
+        histogram = _histogram(hashed.filter(reduce(lambda a, b: a | b, inside)), digits)
+    raise ValueError("row keys are not unique")
+
+
+def _histogram(hashed: DataFrame, digits: int) -> dict[str, list[tuple[str, int]]]:
+    """Rows per group and prefix, at most 4096 prefixes for each of ``MAX_GROUPS`` groups."""
+    rows = hashed.groupBy("g", F.substring("h", 1, digits).alias("b")).count().limit(MAX_GROUPS * 16**STEP).collect()
+    found: dict[str, list[tuple[str, int]]] = {}
+    for r in rows:
+        found.setdefault(r["g"], []).append((r["b"], r["count"]))
+    if len(found) > MAX_GROUPS or len(rows) == MAX_GROUPS * 16**STEP:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    return found
+
+
+def _locate(group: str, buckets: Sequence[tuple[str, int]], need: int) -> tuple[str, int]:
+    """The bucket in which the need-th hash lies, and how many of its rows are
+    needed; 0 when the bucket is taken whole."""
+    for bucket, size in buckets:
+        if size > need:
+            return bucket, need
+        need -= size
+        if need == 0:
+            return bucket, 0
+    raise ValueError(f"group {group!r} has fewer rows than its quota")
 
 
 def below(group: Column, order: Column, bounds: Mapping[str, str]) -> Column:
@@ -73,7 +83,7 @@ def below(group: Column, order: Column, bounds: Mapping[str, str]) -> Column:
 
 def split_quotas(counts: Mapping, test_size: float) -> dict:
     """Test rows per class: the train side is allocated, the test side is the rest."""
-    classes = sorted(counts)
+    classes = sorted(counts, key=lambda c: (len(str(c)), str(c)))
     n = sum(counts.values())
     n_test = math.ceil(test_size * n)
     n_train = n - n_test
@@ -89,10 +99,11 @@ def stratified_split(
     df: DataFrame, row_id: str, label: str, test_size: float = 0.3, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Exact stratified (train, test): ``ceil(test_size * n)`` test rows."""
-    counts = {k[0]: n for k, n in strata_counts(df, [label]).items()}
-    if None in counts:
-        raise ValueError(f"{label} has missing values")
-    quotas = {str(c): q for c, q in split_quotas(counts, test_size).items()}
+    def quotas(counts: dict) -> dict:
+        if None in counts:
+            raise ValueError(f"{label} has missing values")
+        return split_quotas(counts, test_size)
+
     group, order = F.col(label).cast("string"), keyed_hash(seed, "split", row_id)
     is_test = below(group, order, hash_cuts(df, group, order, quotas))
     return df.filter(~is_test), df.filter(is_test)
@@ -112,11 +123,14 @@ def downsample(
     by another hash, which costs a range shuffle; tables have no order, so
     it is off by default.
     """
-    counts = strata_counts(df, keys)
-    weights = [counts.get(tuple(k), 0) for k in order]
-    if total > sum(weights):
-        raise ValueError(f"cannot draw {total} of {sum(weights)} rows without replacement")
-    quotas = dict(zip(("/".join(map(str, k)) for k in order), largest_remainder(weights, total)))
+    names = ["/".join(map(str, k)) for k in order]
+
+    def quotas(counts: dict) -> dict:
+        weights = [counts.get(name, 0) for name in names]
+        if total > sum(weights):
+            raise ValueError(f"cannot draw {total} of {sum(weights)} rows without replacement")
+        return dict(zip(names, largest_remainder(weights, total)))
+
     group, rank = stratum(keys), keyed_hash(seed, "downsample", row_id)
     drawn = df.filter(below(group, rank, hash_cuts(df, group, rank, quotas)))
     return drawn.orderBy(keyed_hash(seed, "shuffle", row_id)) if shuffle else drawn
