@@ -32,8 +32,10 @@ def _mllib(build):
     return lambda params, seed: MllibModel(build, params, seed)
 
 
-# Names, default parameters and search grids. Thread counts,
-# verbosity and solver names mean nothing on Spark and are left out.
+# Names, default parameters and search grids. Left out are thread
+# counts, verbosity and solver names, and what MLlib has no counterpart for:
+# min_samples_split, l2_leaf_reg, and the MLP's alpha, learning rate and early
+# stopping.
 CATALOGUE: dict[str, Entry] = {
     "logistic_regression": Entry(
         "Logistic Regression", _mllib(mllib.logistic_regression),
