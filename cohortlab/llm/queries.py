@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from cohortlab.llm.bpe import op5_bpe
+from cohortlab.llm.chat import op3_chat_formatting
+from cohortlab.llm.decontaminate import op9_decontamination
+from cohortlab.llm.line_dedup import op8_substring_dedup
 from cohortlab.llm.quality_rules import op1_quality_rules
+from cohortlab.llm.suffix_dedup import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op3_chat_formatting, op4_suffix_dedup, op5_bpe, op8_substring_dedup, op9_decontamination,
+    )
+}
 ORACLE: dict[str, str] = {}
