@@ -20,8 +20,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlab.llm.common import packed, slices, table, texts
+from cohortlab.llm.common import bounded_batches, packed, slices, table, texts
 
 #: Bytes the rolling hash sees, a power of two.
 WINDOW = 16
@@ -156,7 +157,8 @@ def encode(
     gives no rows. No shuffle: chunks are shared by the texts of a task.
     """
     items = tuple((SPECIAL if special is None else special).items())
-    source = docs.select(*keep, texts(docs)["text"].alias("text")) if keep else texts(docs)
+    bounded_batches(docs.sparkSession)
+    source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     schema = source.select(*keep).schema
     for name, kind in (("ids", "binary"), ("n_tokens", "long"), ("decoded", "string")):
         schema = schema.add(name, kind)

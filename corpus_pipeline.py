@@ -15,6 +15,10 @@ from cohortlab.session import shared_dir  # noqa: E402
 
 STAGES = [
     ("quality_rules", stages.keep_good),
+    ("near_dedup", stages.drop_near_copies),
+    ("substring_dedup", stages.cut_repeats),
+    ("decontamination", stages.drop_leaks),
+    ("bpe", stages.tokenize),
 ]
 
 #: Sketches, suffix order and the tokenizer have no SQL; tests hold the stages against brute force.
