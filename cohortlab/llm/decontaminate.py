@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cohortlab.llm.common import packed, slices, table, texts
 
 #: Edits allowed, as a share of the item's bytes.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Bytes of items in one block, and so in one automaton.
 BLOCK_BYTES = 8 << 20
 

@@ -234,7 +234,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SK
 def first_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are the first of their class, with their own columns; texts without words stay."""
     gone = classes(docs, similarity).filter("doc <> class").select("doc")
-    return docs.join(gone, doc_key() == F.col("doc"), "left_anti")
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
+    return docs.join(gone, key == gone["doc"], "left_anti")
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

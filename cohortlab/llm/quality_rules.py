@@ -145,7 +145,9 @@ def score(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, ca
     total = F.aggregate("pairs", ones, lambda acc, b: acc + F.get(model, b))
     n_grams = F.size("w") + F.size("pairs")
     scored = grams.select(*kept, F.when(n_grams > 0, total / n_grams).otherwise(F.lit(0.0)).alias("score"))
-    return scored.select(*kept, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
+    told = scored.select(*kept, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")
+    # A filter on the verdict cannot pass a generator; pushed below it would inline the lists into the lambdas.
+    return told.select(F.inline_outer(F.array(F.struct(*told.columns))))
 
 
 def kept_rows(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
