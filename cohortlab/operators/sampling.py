@@ -12,10 +12,11 @@ from pyspark.sql.window import Window
 
 from cohortlab.functions.keyed import keyed_hash
 from cohortlab.operators.allocate import largest_remainder
+from cohortlab.session import stage
 
 STEP = 3  # hex digits per refinement: 4096 buckets
-MAX_GROUPS = 64
 FULL = 32
+MAX_POOLS = 256  # bounds the bucket totals that travel with every task
 
 
 Quotas = Mapping[str, int] | Callable[[dict[str, int]], Mapping[str, int]]
@@ -25,56 +26,48 @@ def hash_cuts(df: DataFrame, group: Column, order: Column, quotas: Quotas) -> di
     """For each group the bound below which exactly ``quota`` hashes lie.
 
     A histogram over hash prefixes finds the bucket holding the quota-th
-    hash; the next round looks inside that bucket only. Each round is one
-    aggregate with at most 4096 counts per group, so no row is ever sorted
-    or moved, and choosing rows afterwards is a plain filter. ``quotas``
-    may be a function of the group sizes, which the first round knows.
+    hash; the next round looks inside that bucket only. A histogram stays a
+    table of at most 4096 counts per group; its running totals give one row
+    per group, which is all that reaches the driver, as the quotas do. Keys
+    and hashes are staged, so the rounds do not run the caller's plan again,
+    and choosing rows afterwards is a plain filter. ``quotas`` may be a
+    function of the group sizes.
     """
-    hashed = df.select(group.alias("g"), order.alias("h"))
-    histogram = _histogram(hashed, STEP)
+    hashed = stage(df.select(group.alias("g"), order.alias("h")), "hashes")
     if callable(quotas):
-        quotas = quotas({g: sum(n for _, n in buckets) for g, buckets in histogram.items()})
-    bounds, searching = {}, {g: q for g, q in quotas.items() if q > 0}
-    bounds.update({g: "" for g in quotas if g not in searching})
-    for digits in range(2 * STEP, FULL + 2 * STEP, STEP):
-        prefixes = {}
-        for g, need in list(searching.items()):
-            prefix, rest = _locate(g, sorted(histogram.get(g, [])), need)
+        quotas = quotas({r["g"]: r["count"] for r in hashed.groupBy("g").count().collect()})
+    bounds = {g: "" for g, q in quotas.items() if q <= 0}
+    searching = {g: (q, "") for g, q in quotas.items() if q > 0}
+    for digits in range(STEP, FULL + STEP, STEP):
+        if not searching:
+            break
+        for g, (prefix, rest) in _locate(hashed, searching, digits).items():
             if rest:
-                prefixes[g], searching[g] = prefix, rest
+                searching[g] = rest, prefix
             else:
                 bounds[g] = prefix + "g"  # sorts after every hash starting with the prefix
                 del searching[g]
-        if not searching:
-            return bounds
-        inside = [(F.col("g") == g) & F.col("h").startswith(p) for g, p in prefixes.items()]
-        histogram = _histogram(hashed.filter(reduce(lambda a, b: a | b, inside)), digits)
-    raise ValueError("row keys are not unique")
-
-
-def _histogram(hashed: DataFrame, digits: int) -> dict[str, list[tuple[str, int]]]:
-    """Rows per group and prefix, at most 4096 prefixes for each of ``MAX_GROUPS`` groups."""
-    rows = hashed.groupBy("g", F.substring("h", 1, digits).alias("b")).count().limit(MAX_GROUPS * 16**STEP).collect()
-    found: dict[str, list[tuple[str, int]]] = {}
-    for r in rows:
-        found.setdefault(r["g"], []).append((r["b"], r["count"]))
-    if len(found) > MAX_GROUPS or len(rows) == MAX_GROUPS * 16**STEP:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
+    if searching:
+        raise ValueError("row keys are not unique")
+    return bounds
+
+
+def _locate(hashed: DataFrame, searching: Mapping[str, tuple[int, str]], digits: int) -> dict[str, tuple[str, int]]:
+    """Per group the bucket in which the needed hash lies, and how many of its
+    rows are needed; 0 when the bucket is taken whole."""
+    asked = hashed.sparkSession.createDataFrame([(g, *x) for g, x in searching.items()], "g string, need long, p string")
+    inside = hashed.join(F.broadcast(asked), "g").filter(F.col("h").startswith(F.col("p")))
+    counts = inside.groupBy("g", "need", F.substring("h", 1, digits).alias("b")).count()
+    upto = F.sum("count").over(Window.partitionBy("g").orderBy("b"))
+    at = counts.withColumn("upto", upto).filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("count") < F.col("need")))
+    rest = F.when(F.col("upto") > F.col("need"), F.col("need") - F.col("upto") + F.col("count")).otherwise(0)
+    found = {r["g"]: (r["b"], r["rest"]) for r in at.select("g", "b", rest.alias("rest")).collect()}
+    short = sorted(set(searching) - set(found))
+    if short:
+        raise ValueError(f"group {short[0]!r} has fewer rows than its quota")
     return found
 
 
-def _locate(group: str, buckets: Sequence[tuple[str, int]], need: int) -> tuple[str, int]:
-    """The bucket in which the need-th hash lies, and how many of its rows are
-    needed; 0 when the bucket is taken whole."""
-    for bucket, size in buckets:
-        if size > need:
-            return bucket, need
-        need -= size
-        if need == 0:
-            return bucket, 0
-    raise ValueError(f"group {group!r} has fewer rows than its quota")
-
-
 def below(group: Column, order: Column, bounds: Mapping[str, str]) -> Column:
     """True for the rows inside their group's bound, false for all others."""
     bound = reduce(lambda c, g: c.when(group == g, bounds[g]), bounds, F.when(F.lit(False), ""))
@@ -141,11 +134,14 @@ def number_rows(df: DataFrame, row_id: str, pool: str, offsets: Mapping[str, int
     """Number the rows of each pool 0, 1, 2 ... in hash order, plus the pool's offset.
 
     A window over a whole pool would sort it in one task. The hash prefix
-    cuts a pool into 4096 even buckets; their running totals (pools x 4096
-    rows, so safe to broadcast) say where each bucket starts.
+    cuts a pool into 4096 even buckets; their running totals (at most 4096
+    rows for each pool in ``offsets``; more pools than ``MAX_POOLS`` are
+    refused) say where each bucket starts. Rows of other pools get no number.
     """
+    if len(offsets) > MAX_POOLS:
+        raise ValueError(f"more than {MAX_POOLS} pools cannot be numbered")
     hashed = df.withColumn("_h", keyed_hash(seed, stream, row_id)).withColumn("_b", F.substring("_h", 1, STEP))
-    sizes = hashed.groupBy(pool, "_b").count()
+    sizes = hashed.filter(F.col(pool).isin(list(offsets))).groupBy(pool, "_b").count()
     before = Window.partitionBy(pool).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("count").over(before), F.lit(0))
     base = reduce(lambda c, p: c.when(F.col(pool) == p, offsets[p]), offsets, F.when(F.lit(False), 0))
@@ -153,7 +149,7 @@ def number_rows(df: DataFrame, row_id: str, pool: str, offsets: Mapping[str, int
     inside = Window.partitionBy(pool, "_b").orderBy("_h", row_id)
     return (
         hashed.withColumn("_r", F.row_number().over(inside))
-        .join(F.broadcast(starts), [pool, "_b"])
+        .join(F.broadcast(starts), [pool, "_b"], "left")
         .withColumn(output, (F.col("_start") + F.col("_r") - 1).cast("bigint"))
         .drop("_h", "_b", "_r", "_start")
     )
