@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.models.base import Fitted
@@ -62,37 +62,48 @@ class Run:
     scores: DataFrame
 
 
-@dataclass
+@dataclass(frozen=True)
 class Settings:
-    """What the runs of one study share. Feature choices are kept per
-    training table: they do not depend on the model that uses them."""
+    """What the runs of a study have in common. Holds nothing that was fitted."""
 
     spec: TableSpec
     top_k: int = TOP_K
     use_smote: bool = True
     seed: int = 42
     params: Mapping[str, Mapping] = field(default_factory=dict)
+
+
+@dataclass
+class Prepared:
+    """Feature choices and balanced tables of one study call, by scope.
+
+    They depend on the training tables, so a study makes its own, and a call
+    without one prepares everything anew. Choices may be shared by the
+    variants of a study, whose training tables are the same.
+    """
+
     choices: dict[str, FeatureChoice] = field(default_factory=dict)
     balanced: dict[str, tuple[DataFrame, SamplingInfo]] = field(default_factory=dict)
 
-    def choose(self, scope: str, train: DataFrame) -> FeatureChoice:
+    def choose(self, scope: str, train: DataFrame, settings: Settings) -> FeatureChoice:
         if scope not in self.choices:
+            spec = settings.spec
             self.choices[scope] = choose_features(
-                train, self.spec.features, self.spec.label, self.top_k, self.seed, self.params.get("selector")
+                train, spec.features, spec.label, settings.top_k, settings.seed, settings.params.get("selector")
             )
         return self.choices[scope]
 
-    def balance(self, scope: str, train: DataFrame, features: Sequence[str]) -> tuple[DataFrame, SamplingInfo]:
+    def balance(self, scope: str, train: DataFrame, features: Sequence[str], settings: Settings) -> tuple[DataFrame, SamplingInfo]:
         if scope not in self.balanced:
-            if self.use_smote:
-                spec = self.spec
+            spec = settings.spec
+            if settings.use_smote:
                 grown, info = smote(
-                    train, features, spec.label, spec.row_id, spec.dummy_groups.values(), spec.binary, seed=self.seed
+                    train, features, spec.label, spec.row_id, spec.dummy_groups.values(), spec.binary, seed=settings.seed
                 )
                 self.balanced[scope] = (stage(grown, "balanced") if info.applied else grown, info)
             else:
-                info = SamplingInfo.untouched(count_map(train, self.spec.label), "smote_disabled")
-                self.balanced[scope] = (train.select(self.spec.row_id, *features, self.spec.label), info)
+                info = SamplingInfo.untouched(count_map(train, spec.label), "smote_disabled")
+                self.balanced[scope] = (train.select(spec.row_id, *features, spec.label), info)
         return self.balanced[scope]
 
 
@@ -106,11 +117,14 @@ def scored_rows(fitted: Fitted, df: DataFrame, spec: TableSpec, features: Sequen
 
 
 def fit_score(train: DataFrame, test: DataFrame, key: str, settings: Settings, scope: str = "overall",
-              label: str | None = None) -> Run:
-    """Features are chosen before balancing; neither sees the test side."""
-    choice = settings.choose(scope, train)
+              label: str | None = None, prepared: Prepared | None = None) -> Run:
+    """Features are chosen before balancing; neither sees the test side.
+
+    ``prepared`` must stem from the same training tables."""
+    prepared = Prepared() if prepared is None else prepared
+    choice = prepared.choose(scope, train, settings)
     features = list(choice.selected)
-    table, sampling = settings.balance(scope, train, features)
+    table, sampling = prepared.balance(scope, train, features, settings)
     spec, params = settings.spec, settings.params.get(key)
     fitted = make_model(key, params, settings.seed).fit(table, features, spec.label, spec.row_id)
     info = ModelInfo.of(key, label or f"{entry(key).name} Holdout", params)
@@ -122,6 +136,11 @@ def fit_score_full(full: DataFrame, key: str, settings: Settings, label: str, re
     return fit_score(full, full if reference is None else reference, key, settings, scope=f"full:{label}", label=label)
 
 
+def outside(cohort: str, cohorts: Sequence[str]) -> Column:
+    """Rows in none of the cohorts, those without a cohort included."""
+    return ~F.coalesce(F.col(cohort).isin(list(cohorts)), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Specialists:
     scores: DataFrame
@@ -131,14 +150,15 @@ class Specialists:
 
 
 def specialists(train: DataFrame, test: DataFrame, key: str, settings: Settings, fallback: DataFrame,
-                label: str) -> Specialists:
+                label: str, prepared: Prepared | None = None) -> Specialists:
     """One model per cohort, scored on the cohort's test rows.
 
     ``fallback`` holds a score for every test row; it serves cohorts whose
-    train side is empty or has one class, and rows outside all cohorts.
+    train side is empty or has one class, and rows outside all cohorts,
+    those without a cohort included.
     Scoring is row-wise, so the parts are put together by union, not join.
     """
-    spec = settings.spec
+    spec, prepared = settings.spec, Prepared() if prepared is None else prepared
     sides = train.groupBy(spec.cohort).agg(
         F.count_if(F.col(spec.label) == 0).alias("n0"), F.count_if(F.col(spec.label) == 1).alias("n1")
     )
@@ -152,7 +172,7 @@ def specialists(train: DataFrame, test: DataFrame, key: str, settings: Settings,
             reason = EMPTY_TEST if cohort not in present else WEAK_TRAIN
             return SamplingInfo.untouched(counts, reason), ModelInfo.of(key, title, status="skipped", reason=reason)
         sides = cohort_slice(train, cohort, spec.cohort), cohort_slice(test, cohort, spec.cohort)
-        return fit_score(*sides, key, settings, scope=cohort, label=title)
+        return fit_score(*sides, key, settings, scope=cohort, label=title, prepared=prepared)
 
     parts, features, sampling, models = {}, {}, {}, {}
     for cohort, served in zip(spec.cohorts, side_by_side(train.sparkSession, serve, spec.cohorts)):
@@ -161,7 +181,7 @@ def specialists(train: DataFrame, test: DataFrame, key: str, settings: Settings,
             sampling[cohort], models[cohort] = served.sampling, served.model
         else:
             features[cohort], (sampling[cohort], models[cohort]) = None, served
-    scores = fallback.filter(~F.col(spec.cohort).isin(list(parts))) if parts else fallback
+    scores = fallback.filter(outside(spec.cohort, list(parts)))
     for part in parts.values():
         scores = scores.unionByName(part)
     return Specialists(scores, features, sampling, models)

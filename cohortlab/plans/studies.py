@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,10 +18,12 @@ from cohortlab.operators.metrics import metrics, wilson_interval
 from cohortlab.operators.smote import SamplingInfo
 from cohortlab.plans.pipeline import (
     ModelInfo,
+    Prepared,
     Settings,
     Specialists,
     fit_score,
     fit_score_full,
+    outside,
     prevalence_scores,
     specialists,
 )
@@ -57,7 +59,7 @@ def compare_strategies(train: DataFrame, test: DataFrame, keys: Sequence[str] |
     """
     spec = settings.spec
     train, test = _staged(train, spec, "study-train"), _staged(test, spec, "study-test")
-    parts, features, sampling, models, unavailable = [], {}, {}, {}, {}
+    prepared, parts, features, sampling, models, unavailable = Prepared(), [], {}, {}, {}, {}
     for key in keys or CATALOGUE:
         name = entry(key).name
         try:
@@ -65,9 +67,9 @@ def compare_strategies(train: DataFrame, test: DataFrame, keys: Sequence[str] |
         except ImportError as missing:
             unavailable[key] = str(missing)
             continue
-        base = fit_score(train, test, key, settings, label=f"{name} Baseline Holdout")
+        base = fit_score(train, test, key, settings, label=f"{name} Baseline Holdout", prepared=prepared)
         baseline = stage(base.scores, "scores")
-        own = specialists(train, test, key, settings, baseline, name)
+        own = specialists(train, test, key, settings, baseline, name, prepared)
         for strategy, scores in ((BASELINE, baseline), (SPECIALIST, own.scores)):
             tags = {"model_key": key, "model_name": name, "strategy": strategy}
             parts.append(scores.withColumns({c: F.lit(v) for c, v in tags.items()}))
@@ -97,16 +99,16 @@ def run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: str
     A cohort without usable training rows gets the training prevalence.
     """
     spec = settings.spec
-    return _run_variant(_staged(train, spec, "study-train"), _staged(test, spec, "study-test"), settings, name, key)
+    return _run_variant(_staged(train, spec, "study-train"), _staged(test, spec, "study-test"), settings, name, key, Prepared())
 
 
-def _run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: str, key: str) -> Variant:
+def _run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: str, key: str, prepared: Prepared) -> Variant:
     spec = settings.spec
     totals = train.agg(
         F.count("*").alias("n"), F.avg(spec.label).alias("p"),
         F.count_if(F.col(spec.label) == 0).alias("n0"), F.count_if(F.col(spec.label) == 1).alias("n1"),
     ).first()
-    run = specialists(train, test, key, settings, prevalence_scores(test, spec, totals["p"]), name)
+    run = specialists(train, test, key, settings, prevalence_scores(test, spec, totals["p"]), name, prepared)
     scores = stage(run.scores, "scores")
     report = metrics(scores, spec.cohorts, spec.cohort)
     return Variant(name, report, scores, run, {0: totals["n0"], 1: totals["n1"]})
@@ -115,18 +117,18 @@ def _run_variant(train: DataFrame, test: DataFrame, settings: Settings, name: st
 def variant_result(variant: Variant, settings: Settings, key: str = "xgboost") -> DataFrame:
     """The variant as one nested row, with the rows outside all cohorts counted."""
     spec = settings.spec
-    outside = variant.scores.filter(~F.col(spec.cohort).isin(*spec.cohorts)).count()
-    return variant_document(variant, settings, key, outside)
+    strangers = variant.scores.filter(outside(spec.cohort, spec.cohorts)).count()
+    return variant_document(variant, settings, key, strangers)
 
 
 def compare_smote(train: DataFrame, test: DataFrame, settings: Settings, key: str = "xgboost") -> tuple[Variant, Variant, DataFrame]:
     """The same study without and with SMOTE, and their metric table."""
-    spec, runs = settings.spec, []
+    spec, runs, shared = settings.spec, [], Prepared()
     train, test = _staged(train, spec, "study-train"), _staged(test, spec, "study-test")
     for use_smote, name in ((False, "WITHOUT_SMOTE"), (True, "WITH_SMOTE")):
         # the selection does not depend on the variant, the balanced tables do
-        own = Settings(settings.spec, settings.top_k, use_smote, settings.seed, settings.params, settings.choices)
-        runs.append(_run_variant(train, test, own, name, key))
+        own = replace(settings, use_smote=use_smote)
+        runs.append(_run_variant(train, test, own, name, key, Prepared(choices=shared.choices)))
     return runs[0], runs[1], compare_variants(runs[0].report, runs[1].report)
 
 
