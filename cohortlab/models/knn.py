@@ -44,7 +44,7 @@ class FittedKNN:
             carry=[self.label],
         )
         votes = vote(near, p["weights"]).withColumnRenamed("query", self.row_id)
-        return df.join(votes, self.row_id).select(*df.columns, "prediction", "probability")
+        return df.join(votes, self.row_id, "left").select(*df.columns, "prediction", "probability")
 
 
 @dataclass(frozen=True)

@@ -31,6 +31,7 @@ CANDIDATE_BLOCK = 16384
 QUERY_BLOCK = 32768
 TASK_ROWS = 50_000  # candidates per task, at least
 CHUNK_CELLS = 1 << 21  # numbers in one distance matrix
+LARGEST = 1e150  # squares and their sums stay finite
 
 
 def nearest_neighbors(
@@ -119,8 +120,10 @@ def _ranked(found: DataFrame, k: int, carry: Sequence[str]) -> DataFrame:
 
 def _matrix(column: pd.Series) -> np.ndarray:
     x = np.stack(column.to_numpy()).astype(float)
-    if np.isnan(x).any():
-        raise ValueError("neighbour features must not be missing")
+    if not np.isfinite(x).all():
+        raise ValueError("neighbour features must not be missing or infinite")
+    if x.size and np.abs(x).max() > LARGEST:
+        raise ValueError(f"neighbour features beyond {LARGEST:g} have no finite distance")
     return x
 
 
