@@ -15,6 +15,7 @@ from cohortlab.models.base import Model
 from cohortlab.models.gaussian_nb import GaussianNB
 from cohortlab.models.kernel_svm import KernelSVM
 from cohortlab.models.knn import KNN
+from cohortlab.models.logistic import LogisticRegression
 from cohortlab.models.mllib import MllibModel
 
 
@@ -38,10 +39,10 @@ def _mllib(build):
 # stopping.
 CATALOGUE: dict[str, Entry] = {
     "logistic_regression": Entry(
-        "Logistic Regression", _mllib(mllib.logistic_regression),
+        "Logistic Regression", LogisticRegression,
         {"C": 1.0, "max_iter": 2000},
         {"C": [0.01, 0.1, 1.0, 5.0, 10.0]},
-        "equivalent",
+        "exact",
     ),
     "random_forest": Entry(
         "Random Forest", _mllib(mllib.random_forest),
@@ -79,7 +80,7 @@ CATALOGUE: dict[str, Entry] = {
     ),
     "mlp": Entry(
         "Artificial Neural Network (MLP)", _mllib(mllib.mlp),
-        {"hidden_layer_sizes": (64, 32), "max_iter": 100},  # L-BFGS steps, not epochs
+        {"hidden_layer_sizes": (64, 32), "max_iter": 1200},  # L-BFGS steps at most, not epochs
         {"hidden_layer_sizes": [(32,), (64,), (64, 32), (128, 64)]},
         "approximate",
     ),

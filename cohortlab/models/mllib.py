@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
@@ -45,7 +44,7 @@ class FittedMllib:
 
 @dataclass(frozen=True)
 class MllibModel:
-    """``build(params, seed, rows, width)`` gives the estimator to fit."""
+    """``build(params, seed, width)`` gives the estimator to fit."""
 
     build: object
     params: Mapping
@@ -54,8 +53,7 @@ class MllibModel:
     def fit(self, train: DataFrame, features: Sequence[str], label: str, row_id: str = "row_id") -> FittedMllib:
         shared_dir(train.sparkSession)  # boosted trees cut their lineage there
         table = assembler(features).transform(train).select(F.col(label).cast("double").alias("label"), VECTOR)
-        rows = train.count() if self.build is logistic_regression else 0
-        estimator = self.build(self.params, self.seed, rows, len(features))
+        estimator = self.build(self.params, self.seed, len(features))
         return FittedMllib(estimator.fit(table), tuple(features))
 
 
@@ -67,14 +65,7 @@ def _depth(value) -> int:
     return DEEPEST if value is None or value < 0 else value
 
 
-def logistic_regression(p, seed, rows, width):
-    # the penalty weighs against the sum of losses there, against their mean here
-    return LogisticRegression(
-        regParam=1.0 / (p["C"] * rows), elasticNetParam=0.0, standardization=False, maxIter=p["max_iter"], **_columns()
-    )
-
-
-def random_forest(p, seed, rows, width):
+def random_forest(p, seed, width):
     return RandomForestClassifier(
         numTrees=p["n_estimators"], maxDepth=_depth(p["max_depth"]), minInstancesPerNode=p["min_samples_leaf"],
         featureSubsetStrategy="sqrt", seed=seed, **_columns(),
@@ -89,12 +80,12 @@ def _boosted(rounds, depth, rate, seed, leaf=1, rows=1.0, columns=1.0):
     )
 
 
-def xgboost(p, seed, rows, width):
+def xgboost(p, seed, width):
     return _boosted(p["n_estimators"], _depth(p["max_depth"]), p["learning_rate"], seed,
                     rows=p["subsample"], columns=p["colsample_bytree"])
 
 
-def lightgbm(p, seed, rows, width):
+def lightgbm(p, seed, width):
     # a depth-limited tree with about as many leaves
     depth = max(1, p["num_leaves"].bit_length())
     if p["max_depth"] > 0:
@@ -103,17 +94,17 @@ def lightgbm(p, seed, rows, width):
                     rows=p["subsample"], columns=p["colsample_bytree"])
 
 
-def catboost(p, seed, rows, width):
+def catboost(p, seed, width):
     return _boosted(p["iterations"], p["depth"], p["learning_rate"], seed)
 
 
-def mlp(p, seed, rows, width):
+def mlp(p, seed, width):
     return MultilayerPerceptronClassifier(
         layers=[width, *p["hidden_layer_sizes"], 2], maxIter=p["max_iter"], seed=seed, **_columns()
     )
 
 
-def decision_tree(p, seed, rows, width):
+def decision_tree(p, seed, width):
     return DecisionTreeClassifier(
         maxDepth=_depth(p["max_depth"]), minInstancesPerNode=p["min_samples_leaf"], maxBins=BINS,
         impurity=p.get("criterion", "gini"), seed=seed, **_columns(),
