@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,27 +12,39 @@ from pyspark.sql import types as T
 def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of the strict lower triangle, (row, column, value).
 
-    One pass, one aggregate. A pair uses the rows where both are present; a
-    constant column gives NULL (the built-in ``corr`` raises there).
+    A first pass takes the mean of each column; a second sums products of the
+    centred values, one sum per pair and, only for columns with missing
+    values, the moments of the rows a pair shares. A pair uses the rows where both
+    are present; a constant column gives NULL (the built-in ``corr`` raises there).
     """
-    pairs = [(b, a) for a, b in combinations(columns, 2)]
-    aggs = []
-    for i, (row, col) in enumerate(pairs):
-        x, y = F.col(row).cast("double"), F.col(col).cast("double")
-        aggs += [
-            F.covar_pop(x, y).alias(f"c{i}"),
-            F.var_pop(F.when(y.isNotNull(), x)).alias(f"x{i}"),
-            F.var_pop(F.when(x.isNotNull(), y)).alias(f"y{i}"),
-        ]
-    entries = F.array(*[
-        F.struct(
-            F.lit(row).alias("row_name"),
-            F.lit(col).alias("column_name"),
-            F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"x{i}")) * F.sqrt(F.col(f"y{i}"))).alias("correlation"),
-        )
-        for i, (row, col) in enumerate(pairs)
-    ])
-    return df.agg(*aggs).select(F.inline(entries))
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    names = values.columns
+    first = values.agg(
+        F.count("*").alias("n"), *[F.avg(v).alias(f"m{v}") for v in names], *[F.count(v).alias(f"n{v}") for v in names],
+    ).first()
+    mean = {v: first[f"m{v}"] or 0.0 for v in names}
+    whole = {v: first[f"n{v}"] == first["n"] for v in names}
+    centred = values.select(*[(F.col(v) - F.lit(mean[v])).alias(v) for v in names])
+    aggs, entries = {}, []
+
+    def add(name: str, value: Column) -> Column:
+        aggs.setdefault(name, value.alias(name))
+        return F.col(name)
+
+    for i, j in ((i, j) for j in range(len(names)) for i in range(j + 1, len(names))):
+        x, y = names[i], names[j]
+        both = "" if whole[x] and whole[y] else f"_{x}{y}"
+        shared = F.col(x).isNotNull() & F.col(y).isNotNull()
+        seen = lambda v: F.when(shared, v) if both else v  # noqa: E731, B023
+        n = add(f"n{both}", F.count(seen(F.lit(1))))
+        xy = add(f"{x}{y}", F.sum(F.col(x) * F.col(y)))
+        sx, sy = (add(f"s{v}{both}", F.sum(seen(F.col(v)))) for v in (x, y))
+        xx, yy = (add(f"q{v}{both}", F.sum(seen(F.col(v) * F.col(v)))) for v in (x, y))
+        spans = [add(f"lo{v}{both}", F.min(seen(F.col(v)))) < add(f"hi{v}{both}", F.max(seen(F.col(v)))) for v in (x, y)]
+        part = F.sqrt(F.greatest(xx - sx * sx / n, F.lit(0.0))) * F.sqrt(F.greatest(yy - sy * sy / n, F.lit(0.0)))
+        value = F.when(spans[0] & spans[1], F.try_divide(xy - sx * sy / n, part))
+        entries.append(F.struct(F.lit(columns[i]).alias("row_name"), F.lit(columns[j]).alias("column_name"), value.alias("correlation")))
+    return centred.agg(*aggs.values()).select(F.inline(F.array(*entries)))
 
 
 def cohort_counts(df: DataFrame, cohorts: Sequence[str], cohort: str, label: str) -> DataFrame:
@@ -41,7 +52,7 @@ def cohort_counts(df: DataFrame, cohorts: Sequence[str], cohort: str, label: str
     grid = [(i, c, k) for i, c in enumerate(cohorts) for k in (0, 1)]
     counts = df.groupBy(cohort, label).agg(F.count("*").alias("n"))
     table = df.sparkSession.createDataFrame(grid, f"position int, `{cohort}` string, `{label}` int")
-    joined = F.broadcast(table).join(counts, [cohort, label], "left")
+    joined = table.join(counts, [cohort, label], "left")
     return joined.select("position", cohort, label, F.coalesce(F.col("n"), F.lit(0)).alias("n"))
 
 
@@ -89,6 +100,6 @@ def frame_diff(a: DataFrame, b: DataFrame, key: str, atol: float = 1e-9) -> Data
 
 
 def require_match(a: DataFrame, b: DataFrame, key: str, name: str, atol: float = 1e-9) -> None:
-    bad = frame_diff(a, b, key, atol).filter("mismatches > 0").orderBy("column").limit(20).collect()
+    bad = frame_diff(a, b, key, atol).filter("mismatches > 0").orderBy("column").collect()
     if bad:
         raise ValueError(f"{name} differs in {', '.join(r['column'] for r in bad)}")
