@@ -560,3 +560,30 @@ ORACLE["tune_nb"] = with_(
     "score AS (SELECT 1e-9::DOUBLE AS var_smoothing, * FROM nb0 UNION ALL SELECT 0.5::DOUBLE, * FROM nb1)",
     *ranking("score", "var_smoothing"),
 ) + f"SELECT CAST(row_number() OVER (ORDER BY roc_auc DESC) AS INTEGER) AS position, var_smoothing, {r('roc_auc')} FROM auc"
+
+
+# ---- invariants of fitted models, row sets and sides -----------------------------
+
+for _name in ("logreg", "dt", "rf", "gbt", "leafwise", "symmetric", "mlp", "svm", "adaboost"):
+    ORACLE[f"score_{_name}"] = with_(*NB) + "SELECT row_id, label, TRUE AS valid FROM te"
+ORACLE["logreg_gradient"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, TRUE AS flat" for c in (*FEATURES, "intercept")
+)
+ORACLE["split_many_classes"] = with_(
+    """many AS (SELECT o_orderkey AS row_id, CAST(o_custkey % 150 AS INTEGER) AS label FROM orders JOIN customer ON o_custkey = c_custkey
+         QUALIFY count(*) OVER (PARTITION BY o_custkey % 150) >= 2)""",
+    *split("many"),
+) + "SELECT row_id, label, side FROM sides"
+_SOME = [
+    *PREPARE, "gone AS (SELECT * REPLACE (CASE WHEN row_id % 10 <> 0 THEN cohort END AS cohort) FROM pr)",
+    "tr AS (SELECT * FROM gone WHERE side = 'train')", "te AS (SELECT * FROM gone WHERE side = 'test')",
+    *naive_bayes("tr", "te", FEATURES),
+]
+ORACLE["specialist_null_cohort"] = (
+    with_(*_SOME, *per_cohort()) + COHORT_SCORES + "special UNION ALL " + COHORT_SCORES + "nb WHERE cohort IS NULL"
+)
+ORACLE["refit_flipped"] = with_(
+    *NB_ALL, "ftr AS (SELECT * REPLACE (1 - label AS label) FROM tr)", *naive_bayes("ftr", "te", FEATURES, "fnb", "f_")
+) + " UNION ALL ".join(
+    f"SELECT row_id, '{n}' AS fitted_on, prediction, {r('probability')} FROM {t}" for n, t in (("train", "nb"), ("flipped", "fnb"))
+)

@@ -173,6 +173,19 @@ def stratified_split_texts(spark, sf):
     return sides[0].unionByName(sides[1])
 
 
+@query
+def split_many_classes(spark, sf):
+    """150 classes: the customers' keys by remainder."""
+    table = fx.orders(spark, sf).drop("label").join(
+        fx.source(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_custkey") % 150).cast("int").alias("label")),
+        "row_id",
+    ).select("row_id", "label")
+    enough = table.groupBy("label").count().filter("count >= 2").select("label")
+    train, test = sampling.stratified_split(table.join(enough, "label", "left_semi"), "row_id", "label", 0.3, SEED)
+    sides = [s.select("row_id", "label", F.lit(n).alias("side")) for n, s in (("train", train), ("test", test))]
+    return sides[0].unionByName(sides[1])
+
+
 @query
 def allocate_counts(spark, sf):
     return allocate(fx.orders_by_cohort(spark, sf), ["label", "cohort"], STRATA, 100_000)
@@ -335,58 +348,81 @@ def score_knn(spark, sf):
     return _scores(model.score(test))
 
 
+def _valid(scores: DataFrame) -> DataFrame:
+    """Every test row once, and whether its score is a probability that the prediction follows.
+
+    What SQL can decide about a model that it cannot fit: an invariant, not a proof."""
+    p = F.col("probability")
+    follows = F.col("prediction") == F.when(p > 0.5, 1).when(p < 0.5, 0).otherwise(F.col("prediction"))
+    return scores.select("row_id", "label", F.coalesce(p.between(0, 1) & follows, F.lit(False)).alias("valid"))
+
+
+@query
+def logreg_gradient(spark, sf):
+    """Gradient of the penalised loss at the fit, the intercept's with it: near zero for every feature."""
+    model, _ = _fitted(spark, sf, "logistic_regression")
+    train, _ = _sides(spark, sf)
+    names = [*ORDERS.features, "intercept"]
+    weights = dict(zip(names, [*model.weights, model.intercept]))
+    scored = model.score(train).withColumn("intercept", F.lit(1.0))
+    error = F.col("probability") - F.col("label")
+    sums = scored.agg(*[(F.sum(error * F.col(c)) + F.lit(weights[c])).alias(c) for c in names], F.count("*").alias("_n"))
+    flat = F.array(*[F.struct(F.lit(c).alias("feature"), (F.abs(F.col(c)) < 1e-6 * F.col("_n")).alias("flat")) for c in names])
+    return sums.select(F.inline(flat))
+
+
 @query
 def score_logreg(spark, sf):
     model, test = _fitted(spark, sf, "logistic_regression")
-    return _scores(model.score(test))
+    return _valid(model.score(test))
 
 
 @query
 def score_dt(spark, sf):
     model, test = _fitted(spark, sf, "decision_tree")
-    return _scores(model.score(test))
+    return _valid(model.score(test))
 
 
 @query
 def score_rf(spark, sf):
-    model, test = _fitted(spark, sf, "random_forest", {"n_estimators": 40})
-    return _scores(model.score(test))
+    model, test = _fitted(spark, sf, "random_forest")
+    return _valid(model.score(test))
 
 
 @query
 def score_gbt(spark, sf):
-    model, test = _fitted(spark, sf, "xgboost", {"n_estimators": 20})
-    return _scores(model.score(test))
+    model, test = _fitted(spark, sf, "xgboost")
+    return _valid(model.score(test))
 
 
 @query
 def score_leafwise(spark, sf):
-    model, test = _fitted(spark, sf, "lightgbm", {"n_estimators": 10})
-    return _scores(model.score(test))
+    model, test = _fitted(spark, sf, "lightgbm")
+    return _valid(model.score(test))
 
 
 @query
 def score_symmetric(spark, sf):
-    model, test = _fitted(spark, sf, "catboost", {"iterations": 10})
-    return _scores(model.score(test))
+    model, test = _fitted(spark, sf, "catboost")
+    return _valid(model.score(test))
 
 
 @query
 def score_mlp(spark, sf):
-    model, test = _fitted(spark, sf, "mlp", {"max_iter": 30})
-    return _scores(model.score(test))
+    model, test = _fitted(spark, sf, "mlp")
+    return _valid(model.score(test))
 
 
 @query
 def score_svm(spark, sf):
     model, test = _fitted(spark, sf, "svm")
-    return _scores(model.score(test))
+    return _valid(model.score(test))
 
 
 @query
 def score_adaboost(spark, sf):
-    model, test = _fitted(spark, sf, "adaboost", {"n_estimators": 20})
-    return _scores(model.score(test))
+    model, test = _fitted(spark, sf, "adaboost")
+    return _valid(model.score(test))
 
 
 @query
@@ -442,6 +478,27 @@ def specialist_nb(spark, sf):
     return own.scores.select("row_id", "cohort", "label", "prediction", r("probability"))
 
 
+@query
+def specialist_null_cohort(spark, sf):
+    """A tenth of the rows has no cohort: the common model scores them."""
+    sides = [s.withColumn("cohort", F.when(F.col("row_id") % 10 != 0, F.col("cohort"))) for s in _sides(spark, sf)]
+    settings = Settings(ORDERS, use_smote=False)
+    base = fit_score(*sides, "naive_bayes", settings)
+    own = specialists(*sides, "naive_bayes", settings, base.scores, "Naive Bayes")
+    return own.scores.select("row_id", "cohort", "label", "prediction", r("probability"))
+
+
+@query
+def refit_flipped(spark, sf):
+    """One ``Settings``, two training tables: each fit follows its own."""
+    train, test = _sides(spark, sf)
+    settings = Settings(ORDERS, use_smote=False)
+    flipped = train.withColumn("label", 1 - F.col("label"))
+    found = [fit_score(side, test, "naive_bayes", settings).scores for side in (train, flipped)]
+    parts = [s.select("row_id", F.lit(n).alias("fitted_on"), "prediction", r("probability")) for n, s in zip(("train", "flipped"), found)]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def specialist_fallback_nb(spark, sf):
     """The low cohort has one class in training, so the common model serves it."""
