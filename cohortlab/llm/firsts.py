@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from cohortlab.llm.common import bounded_batches, slices
 
-#: What an occurrence row is: cut if its key occurs earlier elsewhere; cut for sure; like the first, and may repeat itself inside.
-ASK, CUT, INNER = 0, 1, 2
+#: What an occurrence row is: cut if its key occurs earlier elsewhere, or cut for sure.
+ASK, CUT = 0, 1
 
 
 def collapse(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +47,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ROWS = "doc long, start long, end long, k1 long, k2 long, state int"
 
 
-def occurrence_rows(
-    doc: np.ndarray, start: np.ndarray, end: np.ndarray, k1: np.ndarray, k2: np.ndarray, state: np.ndarray | None = None
-) -> pa.RecordBatch:
+def occurrence_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
     """What a slice sends on: its first occurrence of each key, and the joined spans it knows to be repeats.
 
     So no key has more rows than there are slices, however often it occurs.
@@ -61,7 +59,7 @@ def occurrence_rows(
     row = a // wide
     asked = [x[first] for x in (doc, start, end, k1, k2)]
     known = [ids[row] if len(row) else a, a - row * wide, b - row * wide, a, row]  # keys that only spread the rows
-    state = np.concatenate([np.full(len(first), ASK) if state is None else state[first], np.full(len(row), CUT)])
+    state = np.repeat([ASK, CUT], [len(first), len(row)])
     return pa.RecordBatch.from_arrays(
         [*(pa.array(np.concatenate(x), pa.int64()) for x in zip(asked, known, strict=True)), pa.array(state, pa.int32())],
         names=["doc", "start", "end", "k1", "k2", "state"],

@@ -1,20 +1,22 @@
 """Operator 4: exact repeats of 100 bytes by column-wise construction of a collection's suffix order.
 
-Two equal windows of 100 bytes have the same smallest 20-byte gram (by hash),
-so texts are cut into pieces: runs of window starts with one such gram. A
-window lies in exactly one piece, and equal windows meet under one gram, which
-spreads the collection over tasks with little more text than it has. Equal
-pieces are inserted once, with the place of the first; of the others all
-windows are repeats. Grams that very many different pieces have, as the edges
-of a passage in a large part of all documents, are cut finer, into windows.
-
-Pieces of grams with two or more different pieces enter the construction, in
-the manner of Bauer, Cox and Rosone: a round puts one more symbol before each
-string, and the order of the new suffixes follows from the Burrows-Wheeler
-transform of the round before by one stable distribution of its symbols; common
-prefixes are carried along with it. Pieces have a bounded length, so the number
-of rounds does not depend on the texts. Tasks take the pieces from the sorted
-files of the shuffle, batch by batch, and hold one bounded batch at a time.
+Each window of 100 bytes has an anchor: the first of its 20-byte grams with the
+smallest hash. Texts are cut into pieces, runs of window starts with one anchor.
+A window lies in exactly one piece; equal windows have equal anchors at equal
+places, so they meet under the anchor's gram, which spreads the collection over
+tasks with little more text than it has. Equal pieces are inserted once, with
+the place of the first; of the others all windows are repeats. Grams that very
+many different pieces have, as the edges of a passage in a large part of all
+documents, are cut finer, into windows.
+
+Pieces of grams with two or more different pieces enter the construction. They
+are laid side by side with their anchors in one column, and a round puts one more
+symbol before each: the order of the suffixes that begin in a column follows
+from the column to its right by one stable distribution of its symbols (the
+Burrows-Wheeler transform of the column), and common prefixes are carried along.
+Suffixes in different columns hold no equal windows, so a round costs as much as
+there are strings. There are at most 180 columns, however long the texts. Tasks
+read the pieces from the sorted files of the shuffle and hold one batch at a time.
 """
 
 from __future__ import annotations
@@ -29,15 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.llm.common import longs, packed, slices, table, texts
-from cohortlab.llm.firsts import ASK, CUT, INNER, ROWS, earliest, is_repeat, occurrence_rows, row_spans, text_slices, with_spans
+from cohortlab.llm.firsts import CUT, ROWS, earliest, is_repeat, occurrence_rows, row_spans, text_slices, with_spans
 from cohortlab.session import stage
 
 #: Bytes of a window; windows that also start earlier are removed.
 LENGTH = 100
 #: Bytes of the grams whose smallest names a window.
 GRAM = 20
-#: Windows of a piece at most.
-RUN = 156
 #: A gram is cut finer from this share of all pieces, and from this many at least: so at most 1/HOT_SHARE are.
 HOT_SHARE, HOT_LEAST = 1e-4, 256
 #: Bytes of pieces in one construction, unless one gram has more.
@@ -71,38 +71,26 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(flat: np.ndarray, off: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first byte, end, key, inner) of the pieces of texts laid end to end; bytes count from the text's begin.
-
-    ``inner`` marks pieces that may repeat a window inside themselves: such a
-    stretch is periodic, so the smallest gram shows at two places in it, as the
-    first gram of one window and the last of another.
-    """
+    """(row, first byte, end, key) of the pieces of texts laid end to end; bytes count from the text's begin."""
     none = np.zeros(0, np.int64)
     if len(flat) < LENGTH:
-        return none, none, none, none, none.astype(bool)
-    reach = LENGTH - GRAM
+        return none, none, none, none
     grams = gram_hashes(flat)
-    key = sliding_min(grams, reach + 1)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(key)]
-    at = np.flatnonzero(np.arange(len(key)) + LENGTH <= off[row + 1])
-    key, row = key[at], row[at]
+    place = np.arange(len(grams), dtype=np.uint64)
+    anchor = sliding_min(grams >> np.uint64(32) << np.uint64(32) | place, LENGTH - GRAM + 1) & np.uint64(2**32 - 1)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor)]
+    at = np.flatnonzero(np.arange(len(anchor)) + LENGTH <= off[row + 1])
     if not len(at):
-        return none, none, none, none, none.astype(bool)
+        return none, none, none, none
+    anchor, row = anchor[at].astype(np.int64), row[at]
     new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     if len(hot):
-        new |= np.isin(key, hot)
+        new |= np.isin(grams[anchor], hot)
     first = np.flatnonzero(new)
-    since = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    first = np.flatnonzero(since % RUN == 0)
-    heads, tails = grams[at] == key, grams[at + reach] == key
-    far = np.iinfo(np.int64).max
-    low = np.minimum(np.where(heads, at, far), np.where(tails, at + reach, far))
-    high = np.maximum(np.where(heads, at, -1), np.where(tails, at + reach, -1))
-    inner = np.maximum.reduceat(high, first) > np.minimum.reduceat(low, first)
     n = np.diff(np.append(first, len(at)))
     start = at[first] - off[row[first]]
-    return row[first], start, start + n + LENGTH - 1, key[first].view(np.int64), inner & (n > 1)
+    return row[first], start, start + n + LENGTH - 1, grams[anchor[first]].view(np.int64)
 
 
 def _hot_counts(docs: DataFrame) -> DataFrame:
@@ -111,7 +99,7 @@ def _hot_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             flat, off = packed(part.column("text"))
-            row, _, _, key, _ = pieces(flat, off, np.zeros(0, np.uint64))
+            row, _, _, key = pieces(flat, off, np.zeros(0, np.uint64))
             ids, n = np.unique(key, return_counts=True)
             many = n >= 8
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +126,7 @@ def piece_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for part in slices(batches, "text"):
             flat, off = packed(part.column("text"))
-            row, start, end, key, inner = pieces(flat, off, hot)
+            row, start, end, key = pieces(flat, off, hot)
             if not len(row):
                 continue
             data, base = flat.tobytes(), off[row]
@@ -146,43 +134,50 @@ def piece_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             said = np.array(said, np.uint64).view(np.int64)
             if len(hot):  # a window that is cut out alone is spread by what it says
                 key = np.where(np.isin(key.view(np.uint64), hot), said, key)
-            yield occurrence_rows(longs(part.column("doc_id"))[row], start, end, key, said, np.where(inner, INNER, ASK))
+            yield occurrence_rows(longs(part.column("doc_id"))[row], start, end, key, said)
 
     return texts(docs).mapInArrow(run, ROWS)
 
 
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of a collection in order: string, offset, and the common prefix with the suffix before (up to 255).
+_UNBORN, _GONE = 0, 0xFF  # right of a string's end, left of its begin; neither byte is in a UTF-8 text but NUL
 
-    Round r inserts the suffix of length r of every string that has one. The
-    transform holds the symbol before each suffix of the round before; dealing
-    its places out by symbol, in order, gives the next order, and the common
-    prefix of two neighbours with the same symbol is one more than the smallest
-    between their places.
-    """
-    k = len(strings)
+
+def columns_of(strings: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, int]:
+    """The strings as rows of symbols, one column per place before or behind the anchor; the anchors' column."""
     length = np.array([len(s) for s in strings], np.int64)
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    text = np.where(text == 0, 0xF8, text).astype(np.uint8)  # 0xF8 is in no UTF-8 text, 0 ends a string
-    padded = np.zeros(len(text) + k, np.uint8)  # a zero stands before each string
-    base = np.concatenate([[0], np.cumsum(length + 1)[:-1]]).astype(np.int64)
-    padded[np.arange(len(text)) + np.repeat(np.arange(k), length) + 1] = text
-    # at: place of the symbol before a suffix; the suffix begins right behind it
-    ends = base + length
-    at, common = ends.copy(), np.zeros(k, np.uint8)
-    for _ in range(int(length.max(initial=0))):
-        symbol = padded[at]
-        before = np.argsort(symbol, kind="stable")
-        before = before[np.searchsorted(symbol[before], 1) :]  # strings that are used up have no further suffix
-        said = symbol[before]
-        inner = np.zeros(len(before), np.uint8)
-        if len(before) > 1:
-            twin = np.flatnonzero(said[1:] == said[:-1]) + 1
-            inner[twin] = np.minimum(range_min(common, before[twin - 1] + 1, before[twin]), 254) + 1
-        at = np.concatenate([ends, at[before] - 1])
-        common = np.concatenate([np.zeros(k, np.uint8), inner])
-    string = np.searchsorted(base, at, "right") - 1
-    return string, at - base[string], common
+    left, right = int(anchors.max(initial=0)), int((length - anchors).max(initial=0))
+    flat = np.frombuffer(b"".join(strings), np.uint8)
+    flat = np.where(flat == _UNBORN, 0xF8, flat).astype(np.uint8)
+    row = np.repeat(np.arange(len(strings)), length)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length) + left - anchors[row]
+    symbols = np.full((left + right, len(strings)), _UNBORN, np.uint8)
+    for c in range(left):
+        symbols[c, left - anchors > c] = _GONE
+    symbols[column, row] = flat
+    return symbols, left
+
+
+def suffix_orders(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """From right to left, each column's strings in the order of their suffixes, and the common prefix with the one before (up to 255).
+
+    Strings that begin further right are left out. The symbols of the new
+    column, taken in the order of the column before, are its Burrows-Wheeler
+    transform. Dealing the strings out by symbol gives the next order; the
+    common prefix of two neighbours with the same symbol is one more than the
+    smallest between them.
+    """
+    order, common = np.arange(symbols.shape[1]), np.zeros(symbols.shape[1], np.uint8)
+    for column in range(len(symbols) - 1, -1, -1):
+        transform = symbols[column][order]
+        dealt = np.argsort(transform, kind="stable")
+        dealt = dealt[: np.searchsorted(transform[dealt], _GONE)]
+        said = transform[dealt]
+        prefix = np.zeros(len(dealt), np.uint8)
+        if len(dealt) > 1:
+            twin = np.flatnonzero((said[1:] == said[:-1]) & (said[1:] != _UNBORN)) + 1
+            prefix[twin] = np.minimum(range_min(common, dealt[twin - 1] + 1, dealt[twin]), 254) + 1
+        order, common = order[dealt], prefix
+        yield column, order, common
 
 
 def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -200,18 +195,39 @@ def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
 
 def repeats_of(doc: np.ndarray, start: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, first byte) of the windows of these pieces that also start earlier in one of them."""
-    string, offset, common = suffix_order(strings)
     length = np.array([len(s) for s in strings], np.int64)
-    full = length[string] - offset >= LENGTH
-    same = np.cumsum(common < LENGTH)  # suffixes with the same window have the same number
-    group, d, at = same[full], doc[string[full]], start[string[full]] + offset[full]
-    order = np.lexsort((at, d, group))
-    group, d, at = group[order], d[order], at[order]
-    lead = np.ones(len(group), bool)
-    lead[1:] = group[1:] != group[:-1]
-    of = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(lead) else order
-    later = (d != d[of]) | (at != at[of])
-    return d[later], at[later]
+    anchors = first_anchors(strings)
+    symbols, middle = columns_of(strings, anchors)
+    docs, places = [], []
+    for column, order, common in suffix_orders(symbols):
+        if column > middle:  # no window begins behind an anchor
+            continue
+        offset = column - middle + anchors[order]
+        same = common >= LENGTH
+        shared = np.flatnonzero((same | np.append(same[1:], False)) & (length[order] - offset >= LENGTH))
+        if not len(shared):
+            continue
+        group = np.cumsum(~same)[shared]
+        d, at = doc[order[shared]], start[order[shared]] + offset[shared]
+        by = np.lexsort((at, d, group))
+        group, d, at = group[by], d[by], at[by]
+        lead = np.ones(len(group), bool)
+        lead[1:] = group[1:] != group[:-1]
+        of = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        later = (d != d[of]) | (at != at[of])
+        docs.append(d[later])
+        places.append(at[later])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *docs]), np.concatenate([none, *places])
+
+
+def first_anchors(strings: list[bytes]) -> np.ndarray:
+    """The place of the anchor in each piece: that of its first window, which all its windows share."""
+    length = np.array([len(s) for s in strings], np.int64)
+    grams = gram_hashes(np.frombuffer(b"".join(strings), np.uint8)) >> np.uint64(32) << np.uint64(32)
+    base = np.cumsum(length) - length
+    inside = base[:, None] + np.arange(LENGTH - GRAM + 1)
+    return np.argmin(grams[inside], axis=1)
 
 
 def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +256,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = piece_rows(docs, hot_keys(docs)).repartition("k1")
     by_key = Window.partitionBy("k1", F.col("state") == CUT)
     several = F.min("k2").over(by_key) != F.max("k2").over(by_key)
-    marked = rows.withColumn("first", earliest()).withColumn("several", several | (F.col("state") == INNER))
+    marked = rows.withColumn("first", earliest()).withColumn("several", several)
     again = is_repeat()
     marked = stage(
         marked.filter(again | ((F.col("state") != CUT) & F.col("several"))).select("doc", "start", "end", "k1", again.alias("again")),
