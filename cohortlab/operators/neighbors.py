@@ -3,9 +3,11 @@
 Candidates are cut into Voronoi cells around pivots taken from the data, so
 dense regions get more cells. A query first searches its own cell; the
 distance of its k-th hit then rules out every other cell the triangle
-inequality shows to be too far, and only the cells left are searched. Within
-a cell, queries and candidates meet in blocks of bounded size; a block keeps
-k rows per query, so pairs are never written out.
+inequality shows to be too far, and only the cells left are searched. Where
+that rules out little, as between wide vectors, a query does not visit cells one
+by one but large groups of cells, so it is written once per ``CANDIDATE_BLOCK``
+candidates at most. Within a cell or group, queries and candidates meet in blocks
+of bounded size; a block keeps k rows per query, so pairs are never written out.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ CELL_ROWS = 1024
 PIVOT_BYTES = 32 << 20  # what may travel with every task
 MAX_PIVOTS = 65536
 CANDIDATE_BLOCK = 16384
+FEW_CELLS = 4  # cells a query visits one by one
 QUERY_BLOCK = 32768
 TASK_ROWS = 50_000  # candidates per task, at least
 CHUNK_CELLS = 1 << 21  # numbers in one distance matrix
@@ -72,8 +75,12 @@ def nearest_neighbors(
 
     # How far the k-th hit in the own cell is; no bound if the cell had fewer.
     reach = own.filter(F.col("rank") == k).select(F.col("query").alias("id"), F.col("distance").alias("reach"))
-    further = stage(_other_cells(asked.join(reach, "id", "left"), cells, p), "knn-further")
-    rest = _search(further, celled, k, skip_self, p, total)
+    groups = -(-total // CANDIDATE_BLOCK)
+    further = stage(_other_cells(asked.join(reach, "id", "left"), cells, p, groups), "knn-further")
+    far = further.filter("cell < 0").select(F.col("id").alias("query")).distinct()
+    own = own.join(far, "query", "left_anti")  # the groups hold the own cell as well
+    grouped = celled.withColumn("cell", -1 - F.pmod(F.col("cell"), F.lit(groups)))
+    rest = _search(further, celled.unionByName(grouped), k, skip_self, p, total)
     return _ranked(own.withColumnRenamed("carried", "c").drop("rank").unionByName(rest), k, carry)
 
 
@@ -183,8 +190,11 @@ def _cell_stats(celled: DataFrame, pivots: np.ndarray, keep: int) -> _Cells:
     return _Cells(pivots, inner, outer, enough)
 
 
-def _other_cells(asked: DataFrame, cells: _Cells, p: int) -> DataFrame:
-    """One row per query and cell that may still hold a closer neighbour."""
+def _other_cells(asked: DataFrame, cells: _Cells, p: int, groups: int) -> DataFrame:
+    """One row per query and cell that may still hold a closer neighbour.
+
+    A query with more than ``FEW_CELLS`` of them visits the ``groups`` of cells
+    they are in (numbered -1, -2 ...), and its own cell's group with them."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -210,7 +220,12 @@ def _other_cells(asked: DataFrame, cells: _Cells, p: int) -> DataFrame:
                 slack = 1e-9 * (1.0 + d)  # rounding must never lose a neighbour
                 open_ = (least - slack <= bound) & np.isfinite(cells.outer)[None, :]
                 open_[np.arange(len(d)), home] = False
+                many = np.flatnonzero(open_.sum(axis=1) > FEW_CELLS)
+                open_[many, home[many]] = True
                 at, cell = np.nonzero(open_)
+                grouped = np.isin(at, many)
+                cell = np.where(grouped, -1 - cell % groups, cell)
+                at, cell = np.unique(np.stack([at, cell]), axis=1) if grouped.any() else (at, cell)
                 if not len(at):
                     continue
                 yield pd.DataFrame({

@@ -257,7 +257,7 @@ def knn_minority(spark, sf):
 @query
 def knn_vectors(spark, sf):
     table = fx.vectors(spark, sf)
-    return _neighbors(nearest_neighbors(table, table, ["embedding"], 5, "row_id", skip_self=True))
+    return _neighbors(nearest_neighbors(table, table, ["embedding"], 5, "row_id", skip_self=True, cell_rows=64, small=0))
 
 
 def order_points(spark, sf):

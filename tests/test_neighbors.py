@@ -91,3 +91,16 @@ def test_many_ties(spark):
     grid = spark.range(400).select("id", pick(3, "x", 2, "id").cast("double").alias("x"), pick(3, "y", 2, "id").cast("double").alias("y"))
     got = nearest_neighbors(grid, grid, ["x", "y"], 5, "id", True, cell_rows=3, small=0)
     assert found(got) == brute(rows(grid), rows(grid), 5, True, 2)
+
+
+def test_wide_vectors_visit_groups_of_cells(spark, monkeypatch):
+    """Pruning fails between wide vectors: a query is written once per group, not once per cell."""
+    monkeypatch.setattr(neighbors, "CANDIDATE_BLOCK", 100)
+    wide = spark.range(300).select("id", F.array(*[uniform(3, f"w{i}", "id") for i in range(24)]).alias("v")).cache()
+    written = []
+    monkeypatch.setattr(neighbors, "stage", lambda df, name: written.append((name, df)) or df.cache())
+    got = nearest_neighbors(wide, wide, ["v"], 4, "id", True, cell_rows=10, small=0)
+    vectors = [(r["id"], r["v"]) for r in wide.collect()]
+    assert found(got) == brute(vectors, vectors, 4, True, 2)
+    further = dict(written)["knn-further"]
+    assert further.filter("cell < 0").count() > 0 and further.count() <= 4 * 300
