@@ -28,9 +28,9 @@ def duck():
     return con
 
 
-# The long studies are covered by test_studies; COHORTLAB_ALL=1 adds their SQL.
-STUDIES = {"smote_study", "report_matrices", "report_sampling", "strategy_document_nb", "strategy_comparison_nb"}
-NAMES = sorted(set(contract.oracle_sql()) - (set() if os.environ.get("COHORTLAB_ALL") else STUDIES))
+# Fits of many minutes at full rounds, whose SQL only holds row sets; COHORTLAB_ALL=1 adds them.
+SLOW = {"score_rf", "score_gbt", "score_leafwise", "score_symmetric", "score_adaboost", "score_mlp"}
+NAMES = sorted(set(contract.oracle_sql()) - (set() if os.environ.get("COHORTLAB_ALL") else SLOW))
 
 
 @pytest.mark.parametrize("name", NAMES)
