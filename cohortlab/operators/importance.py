@@ -13,6 +13,9 @@ from cohortlab.functions.text import names_text
 METHOD = "boosted_tree_importance_top_k"
 
 
+# Reasons in the results.
+FEW, ONE_CLASS, CHOSEN = "feature_count_within_limit", "single_class_train_data", "top_k_selected"
+
 @dataclass(frozen=True)
 class FeatureChoice:
     applied: bool
@@ -33,14 +36,14 @@ def choose_features(
     from cohortlab.models.catalogue import make_model
 
     if len(features) <= top_k:
-        return FeatureChoice(False, "feature_count_within_limit", top_k, tuple(features))
+        return FeatureChoice(False, FEW, top_k, tuple(features))
     classes = train.select(label).distinct().limit(2).count()
     if classes < 2:
-        return FeatureChoice(False, "single_class_train_data", top_k, tuple(features))
+        return FeatureChoice(False, ONE_CLASS, top_k, tuple(features))
     fitted = make_model("xgboost", params, seed).fit(train, features, label)
     weights = dict(zip(features, fitted.importances))
     chosen = sorted(features, key=lambda c: -weights[c])[:top_k]  # stable
-    return FeatureChoice(True, "top_k_selected", top_k, tuple(chosen), {c: weights[c] for c in chosen})
+    return FeatureChoice(True, CHOSEN, top_k, tuple(chosen), {c: weights[c] for c in chosen})
 
 
 def choice_table(spark: SparkSession, choices: Mapping[str, FeatureChoice]) -> DataFrame:

@@ -21,6 +21,9 @@ INFO_SCHEMA = (
 )
 
 
+# Reasons in the results.
+ONE_CLASS, BALANCED = "single_class_train_data", "already_balanced"
+
 @dataclass(frozen=True)
 class SamplingInfo:
     applied: bool
@@ -104,9 +107,9 @@ def sampling_info(df: DataFrame, label: str, k: int = 5) -> SamplingInfo:
     """What balancing ``df`` does, or why it does nothing, from its class counts."""
     before = count_map(df, label)
     if min(before.values()) == 0:
-        return SamplingInfo.untouched(before, "single_class_train_data")
+        return SamplingInfo.untouched(before, ONE_CLASS)
     if before[0] == before[1]:
-        return SamplingInfo.untouched(before, "already_balanced")
+        return SamplingInfo.untouched(before, BALANCED)
     minority, larger = min(before, key=before.get), max(before.values())
     after = {0: larger, 1: larger}
     return SamplingInfo(True, None, minority, before, after, larger - before[minority], min(k, before[minority] - 1))

@@ -17,7 +17,9 @@ from cohortlab.session import side_by_side, stage
 from cohortlab.spec import TableSpec
 
 TOP_K = 10
+# Reasons in the results.
 EMPTY_TEST, WEAK_TRAIN = "empty_test_cohort", "insufficient_train_cohort"
+DEFAULT_MODEL, NO_SMOTE = "fixed_default_model", "smote_disabled"
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,7 @@ class ModelInfo:
 
     @classmethod
     def of(cls, key: str, label: str, params: Mapping | None = None, status: str = "applied",
-           reason: str = "fixed_default_model") -> ModelInfo:
+           reason: str = DEFAULT_MODEL) -> ModelInfo:
         known = entry(key)
         return cls(key, known.name, status, reason, label, dict(sorted({**known.defaults, **(params or {})}.items())))
 
@@ -102,7 +104,7 @@ class Prepared:
                 )
                 self.balanced[scope] = (stage(grown, "balanced") if info.applied else grown, info)
             else:
-                info = SamplingInfo.untouched(count_map(train, spec.label), "smote_disabled")
+                info = SamplingInfo.untouched(count_map(train, spec.label), NO_SMOTE)
                 self.balanced[scope] = (train.select(spec.row_id, *features, spec.label), info)
         return self.balanced[scope]
 
