@@ -16,6 +16,7 @@ METHOD = "boosted_tree_importance_top_k"
 # Reasons in the results.
 FEW, ONE_CLASS, CHOSEN = "feature_count_within_limit", "single_class_train_data", "top_k_selected"
 
+
 @dataclass(frozen=True)
 class FeatureChoice:
     applied: bool

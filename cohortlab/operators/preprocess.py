@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.operators.clean import assign_cohort, dedup_rows, drop_sentinel, nan_to_null
+from cohortlab.operators.clean import assign_cohort, dedup_rows, drop_sentinel, nan_to_null, normalize_columns, with_content_key
 from cohortlab.operators.sampling import stratified_split
 from cohortlab.session import stage
 from cohortlab.sources.tables import require_columns
@@ -89,6 +89,14 @@ def clean(df: DataFrame, spec: TableSpec) -> DataFrame:
     return dedup_rows(kept, spec.row_id)
 
 
+def clean_raw(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """``clean`` for a raw file: headers are normalised, and a table without a key gets one from its content."""
+    named = normalize_columns(df)
+    if spec.row_id not in named.columns:
+        named = with_content_key(dedup_rows(named), spec.row_id)
+    return clean(named, spec)
+
+
 @dataclass(frozen=True)
 class Prepared:
     train: DataFrame

@@ -24,6 +24,7 @@ INFO_SCHEMA = (
 # Reasons in the results.
 ONE_CLASS, BALANCED = "single_class_train_data", "already_balanced"
 
+
 @dataclass(frozen=True)
 class SamplingInfo:
     applied: bool

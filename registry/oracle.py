@@ -587,3 +587,5 @@ ORACLE["refit_flipped"] = with_(
 ) + " UNION ALL ".join(
     f"SELECT row_id, '{n}' AS fitted_on, prediction, {r('probability')} FROM {t}" for n, t in (("train", "nb"), ("flipped", "fnb"))
 )
+ORACLE["clean_raw_headers"] = with_(ORD) + "SELECT DISTINCT acctbal, totalprice, order_days, prio, near, label FROM ord"
+ORACLE["tree_attribution_sums"] = with_(*NB) + "SELECT row_id, TRUE AS adds_up FROM te"

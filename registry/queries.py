@@ -59,6 +59,14 @@ def scan_orders(spark, sf):
     return fx.source(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
 
 
+@query
+def clean_raw_headers(spark, sf):
+    """A file without a key, its headers in words."""
+    raw = fx.orders(spark, sf).drop("row_id")
+    raw = raw.toDF(*[c.replace("_", " ").title() for c in raw.columns])
+    return preprocess.clean_raw(raw, ORDERS).drop("row_id")
+
+
 @query
 def cohort_split(spark, sf):
     path = f"{shared_dir(spark)}/staged/cohorts-{uuid.uuid4().hex}"
@@ -552,6 +560,17 @@ def tree_attribution(spark, sf):
     return att.attribution_long(explained, "row_id", ORDERS.features).select("row_id", "feature", r("attribution"))
 
 
+@query
+def tree_attribution_sums(spark, sf):
+    """Base plus attributions is the log-odds of every test row."""
+    train, test = _sides(spark, sf)
+    model = make_model("xgboost", {"n_estimators": 10}, SEED).fit(train, ORDERS.features, "label")
+    explained = att.tree_attribution(model, model.score(test), "row_id")
+    odds = model.score(test).select("row_id", F.log(F.col("probability") / (1 - F.col("probability"))).alias("odds"))
+    total = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda acc, x: acc + x)
+    return explained.join(odds, "row_id").select("row_id", (F.abs(total - F.col("odds")) < 1e-6).alias("adds_up"))
+
+
 # ---- metrics -----------------------------------------------------------------
 
 @query
