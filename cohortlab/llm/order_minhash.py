@@ -181,22 +181,40 @@ def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
 def components(edges: DataFrame) -> DataFrame:
     """node, class: the smallest node of its component, for all nodes of the edges (a, b).
 
-    Each round passes the smallest label to neighbours and follows it once; the
-    tables of a round are written, so rounds do not pile up. Ends when a round
-    changes nothing.
+    Each node points to its smallest neighbour, pointers are followed to their
+    roots, and the edges are drawn anew between the roots, of which there are at
+    most half as many as nodes; so the edges are read whole only once. The tables of a
+    round are written, so rounds do not pile up. Ends when no edge is left.
     """
-    ways = stage(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b"), "omh-ways")
-    labels = stage(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class")), "omh-labels")
+    edges, found = stage(edges.select("a", "b"), "omh-edges"), None
     while True:
-        told = ways.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "class")
-        least = told.unionByName(labels).groupBy("node").agg(F.min("class").alias("class"))
-        least = stage(least, "omh-labels")
-        above = least.select(F.col("node").alias("class"), F.col("class").alias("up"))
-        new = stage(least.join(above, "class", "left").select("node", F.least("class", F.coalesce("up", "class")).alias("class")), "omh-labels")
-        totals = [t.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0] for t in (labels, new)]
-        labels = new
-        if totals[0] == totals[1]:
+        ways = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        labels = ways.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("least"))
+        labels = _roots(stage(labels.select("node", F.least("node", "least").alias("class")), "omh-labels"))
+        to = labels.select(F.col("node").alias("class"), F.col("class").alias("root"))
+        if found is None:
+            found = labels
+        else:
+            found = stage(found.join(to, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "omh-found")
+        ends = edges.join(labels.select(F.col("node").alias("a"), F.col("class").alias("x")), "a").join(
+            labels.select(F.col("node").alias("b"), F.col("class").alias("y")), "b"
+        )
+        edges = stage(ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "omh-edges")
+        if edges.isEmpty():
+            return found
+
+
+def _roots(labels: DataFrame) -> DataFrame:
+    """Pointers (node, class) to smaller nodes, followed to their ends; each step doubles their reach."""
+    total = lambda t: t.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0]
+    before = total(labels)
+    while True:
+        up = labels.select(F.col("node").alias("class"), F.col("class").alias("up"))
+        labels = stage(labels.join(up, "class").select("node", F.col("up").alias("class")), "omh-labels")
+        now = total(labels)
+        if now == before:
             return labels
+        before = now
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES) -> DataFrame:

@@ -73,13 +73,12 @@ def test_suffix_orders():
 
 
 def test_line_dedup_is_brute_force(spark, small):
-    seen, want = set(), {}
+    first, want = {}, {}
     for r in sorted(small.collect(), key=lambda r: r.doc_id):
         mask = bytearray(len(r.text))
         for a, b, said in sorted(line_dedup.units(r.text)):
-            if said in seen:
+            if first.setdefault(said, (r.doc_id, a)) != (r.doc_id, a):
                 mask[a:b] = b"\1" * (b - a)
-            seen.add(said)
         want[r.doc_id] = "".join(c for c, gone in zip(r.text, mask, strict=True) if not gone)
     got = line_dedup.dedup_lines(small.repartition(7)).collect()
     texts = {r.doc_id: r.text for r in small.collect()}
@@ -143,3 +142,15 @@ def test_near_duplicates_are_brute_force(spark):
     rows = order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in rows} == {i: find(i) for i in range(len(docs))}
     assert all((r.n_links > 0) == bool({j for j in degree[r.doc_id] if words[j] != words[r.doc_id]} or any(r.doc_id in degree[k] and words[k] != words[r.doc_id] for k in degree)) for r in rows)
+
+
+def test_components(spark):
+    """Paths, stars, cliques and single edges in shuffled numbers."""
+    rand = random.Random(3)
+    names = rand.sample(range(10_000), 400)
+    edges = [(names[i], names[i + 1]) for i in range(99)] + [(names[100], names[i]) for i in range(101, 200)]
+    edges += [(names[i], names[j]) for i in range(200, 212) for j in range(200, i)] + [(names[i], names[i + 1]) for i in range(300, 400, 2)]
+    groups = [names[:100], names[100:200], names[200:212], *[names[i : i + 2] for i in range(300, 400, 2)]]
+    table = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
+    assert {r.node: r["class"] for r in order_minhash.components(table).collect()} == {n: min(g) for g in groups for n in g}
+    assert order_minhash.components(table.filter("false")).collect() == []
