@@ -1,8 +1,8 @@
 """Operator 8: substring dedup by hashing lines and the parts of lines.
 
 Units are whole lines and their parts: sentences, cut once more before a
-capitalised word, where a passage may have been put into a sentence. Units are
-normalised and hashed, digests are grouped over all documents, the occurrence
+capitalised word, where a passage may have been put into a sentence, and long
+sentences behind words that their hash selects. Units are normalised and hashed, digests are grouped over all documents, the occurrence
 with the smallest (doc_id, offset) stays and all others are removed. A unit of
 few words says little alone and is hashed together with its neighbours.
 """
@@ -10,6 +10,7 @@ few words says little alone and is hashed together with its neighbours.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,12 @@ from cohortlab.llm.firsts import ROWS, earliest, is_repeat, lists, occurrence_ro
 
 #: Words of a unit that is hashed alone.
 MIN_WORDS = 6
+#: From this many words on a sentence is cut further, behind one word in STEP.
+LONG, STEP = 20, 10
 
 _LINE = re.compile(r"[^\n]+")
 _CUT = re.compile(r"(?<=[.!?])\s+|(?<=[^\s.!?])\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
+_TOKEN = re.compile(r"\S+")
 _EDGE = " \t\r\x0b\x0c.,;:!?\"'()"
 
 
@@ -51,10 +55,25 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
     for i, (a, b, norm, words) in enumerate(parts):
         if words >= min_words:
             yield a, b, norm
+            if words >= LONG:
+                yield from stretches(text, a, b, min_words)
         elif words and 0 < i < len(parts) - 1:
             yield a, b, f"{parts[i - 1][2]}\n{norm}\n{parts[i + 1][2]}"
 
 
+def stretches(text: str, a: int, b: int, min_words: int) -> Iterator[tuple[int, int, str]]:
+    """Parts of a long sentence, cut behind words whose hash selects them: an edit or a fused begin spoils one part only."""
+    at, words = a, 0
+    for word in _TOKEN.finditer(text, a, b):
+        words += 1
+        if zlib.crc32(word.group().lower().strip(_EDGE).encode()) % STEP == 0:
+            if words >= min_words and (at > a or word.end() < b):
+                yield at, word.end(), normalised(text[at : word.end()])
+            at, words = word.end(), 0
+    if words >= min_words and at > a:
+        yield at, b, normalised(text[at:b])
+
+
 def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Units of all documents as occurrence rows."""
 
