@@ -34,15 +34,15 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds at most SLICE_BYTES of ``column``, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds at most ``limit`` bytes of ``column``, or one row."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         _, off = packed(batch.column(column))
         first = 0
         while first < batch.num_rows:
-            last = int(np.searchsorted(off, off[first] + SLICE_BYTES, "right")) - 1
+            last = int(np.searchsorted(off, off[first] + limit, "right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last

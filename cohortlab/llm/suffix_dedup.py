@@ -40,6 +40,8 @@ LENGTH = 100
 GRAM = 20
 #: A gram is cut finer from this share of all pieces, and from this many at least: so at most 1/HOT_SHARE are.
 HOT_SHARE, HOT_LEAST = 1e-4, 256
+#: Bytes of texts that are cut at a time; each takes some 80 bytes of memory.
+SLICE = 2 << 20
 #: Bytes of pieces in one construction, unless one gram has more.
 BATCH_BYTES = 2 << 20
 
@@ -97,7 +99,7 @@ def _hot_counts(docs: DataFrame) -> DataFrame:
     """key, n: keys with several different pieces in a slice, and under the null key the number of all pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             flat, off = packed(part.column("text"))
             row, _, _, key = pieces(flat, off, np.zeros(0, np.uint64))
             ids, n = np.unique(key, return_counts=True)
@@ -124,7 +126,7 @@ def piece_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             flat, off = packed(part.column("text"))
             row, start, end, key = pieces(flat, off, hot)
             if not len(row):
