@@ -38,6 +38,9 @@ BUCKETS = 40
 #: Probabilities of the deleted part are counted in steps of 1/8 octave; that bounds what reaches the driver.
 OCTAVE = 8
 
+#: Bytes of text hashed at a time.
+HASHED = 1 << 20
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,6 +67,24 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted hashes as their steps, byte by byte, so that the empty high bytes compress away."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return pack(steps.view(np.uint8).reshape(-1, 8).T.copy())
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    columns = unpack(data, np.uint8).reshape(8, -1)
+    return np.cumsum(columns.T.copy().view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _stream(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a batch; its texts are hashed a little at a time."""
+    said = [tokens(*packed(x.column("text"))) for x in slices(iter([part]), "text", HASHED)]
+    sizes = np.concatenate([np.diff(first) for _, first in said])
+    return np.concatenate([stream for stream, _ in said]), np.concatenate([[0], np.cumsum(sizes)])
+
+
 BLOCK = "deleted boolean, docs binary, missing binary, counted binary, first binary, vocabulary binary, tokens binary, trained long"
 
 
@@ -79,11 +100,11 @@ def blocks(docs: DataFrame) -> DataFrame:
                 mine = np.flatnonzero((fold == DELETED) == deleted)
                 if not len(mine):
                     continue
-                stream, first = tokens(*packed(part.column("text").take(pa.array(mine))))
+                stream, first = _stream(part.take(pa.array(mine)))
                 vocabulary, at = np.unique(np.append(stream, START), return_inverse=True)
                 known = np.array([ids[i] or 0 for i in mine], np.int64)
                 missing, counted = np.array([ids[i] is None for i in mine]), fold[mine] != HELD_OUT
-                rows.append((deleted, known.tobytes(), missing.tobytes(), counted.tobytes(), first.tobytes(), vocabulary.tobytes(), pack(at[:-1].astype("<i4")), int(np.diff(first)[counted].sum())))
+                rows.append((deleted, known.tobytes(), missing.tobytes(), counted.tobytes(), first.tobytes(), pack_sorted(vocabulary), pack(at[:-1].astype("<i4")), int(np.diff(first)[counted].sum())))
             kinds = [pa.bool_(), *[pa.binary()] * 6, pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -101,7 +122,7 @@ class Block:
         self.docs, self.missing = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["missing"], bool)
         self.first = np.frombuffer(row["first"], np.int64)
         counted = np.frombuffer(row["counted"], bool)
-        self.words = np.frombuffer(row["vocabulary"], np.uint64)
+        self.words = unpack_sorted(row["vocabulary"])
         self.word = unpack(row["tokens"], "<i4").astype(np.int64)
         self.start = int(np.searchsorted(self.words, START))
         self.context = np.empty_like(self.word)
@@ -135,7 +156,7 @@ def entries(made: DataFrame, bits: int) -> DataFrame:
                 edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(2**bits + 1))
                 for part in np.flatnonzero(np.diff(edges)).tolist():
                     a, b = edges[part], edges[part + 1]
-                    out.append((order, part, keys[a:b].tobytes(), n[a:b].astype("<i4").tobytes()))
+                    out.append((order, part, pack_sorted(keys[a:b]), pack(n[a:b].astype("<i4"))))
             order, part, keys, n = zip(*out, strict=True)
             size = len(out)
             yield pa.RecordBatch.from_arrays(
@@ -162,9 +183,9 @@ def sums(rows: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            size = np.array([len(r[4]) // 8 for r in held])
-            keys = np.frombuffer(b"".join(r[4] for r in held), np.uint64)
-            n = np.frombuffer(b"".join(r[5] for r in held), "<i4")
+            keys = [unpack_sorted(r[4]) for r in held]
+            size = np.array([len(k) for k in keys])
+            keys, n = np.concatenate(keys), np.concatenate([unpack(r[5], "<i4") for r in held])
             found, at = np.unique(keys, return_inverse=True)
             whole = np.bincount(at, n, len(found))
             kept = np.bincount(at, np.where(np.repeat([r[1] for r in held], size), 0, n), len(found))
@@ -177,7 +198,7 @@ def sums(rows: DataFrame) -> DataFrame:
                 [
                     pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.bool_()),
                     pa.array([r[2] for r in held], pa.int32()), pa.array([r[3] for r in held], pa.int32()),
-                    pa.array([kept[x].astype("<i8").tobytes() if r[1] else b"" for x, r in zip(back, held, strict=True)], pa.binary()),
+                    pa.array([pack(kept[x].astype("<i8")) if r[1] else b"" for x, r in zip(back, held, strict=True)], pa.binary()),
                     pa.array([pack(whole[x].astype("<i8")) for x in back], pa.binary()),
                     pa.array(distinct, pa.int64()), pa.array(total, pa.int64()),
                 ],
@@ -203,10 +224,10 @@ def with_counts(made: DataFrame, found: DataFrame, column: str) -> DataFrame:
     return made.join(lists, "block")
 
 
-def counts_of(row: dict, compressed: bool) -> list[np.ndarray]:
+def counts_of(row: dict) -> list[np.ndarray]:
     out: list[list[bytes]] = [[], []]
     for entry in row["counts"]:
-        out[entry["order"]].append(unpack(entry["n"], "<i8") if compressed else np.frombuffer(entry["n"], "<i8"))
+        out[entry["order"]].append(unpack(entry["n"], "<i8"))
     return [np.concatenate(x) for x in out]
 
 
@@ -221,7 +242,7 @@ def deleted_events(made: DataFrame, found: DataFrame, total: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in block_rows(batches):
             block = Block(row)
-            ones, twos = counts_of(row, compressed=False)
+            ones, twos = counts_of(row)
             seen = ones[block.context]
             p1 = ones[block.word] / max(total, 1)
             p2 = twos[block.pair] / np.maximum(seen, 1)
@@ -289,7 +310,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in block_rows(batches):
             block = Block(row)
-            ones, twos = counts_of(row, compressed=True)
+            ones, twos = counts_of(row)
             c, seen = ones[block.word], ones[block.context]
             mine = weights[bucket(seen)]
             p = mine[:, 0] * uniform + mine[:, 1] * c / max(train, 1) + mine[:, 2] * twos[block.pair] / np.maximum(seen, 1)
