@@ -8,9 +8,11 @@ the edit distance of their words over the longer length, found by an alignment
 in a band of the allowed edits, and 0.8 or more makes a link. Classes are the
 connected components of the links.
 
-Equal texts are one text before anything is paired. A bucket of a sketch pairs
-each member with its first and its last text, never all with all: what a group
-of n close texts costs is 2n pairs, and buckets of three are complete.
+Equal texts are one text before anything is paired. A bucket of a sketch first
+pairs its smallest member with the others, which joins most groups of close
+texts. Where several classes still meet in a bucket, all pairs between them are
+compared. So no pair of a bucket is left out, and links are counted inside the
+classes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import longs, packed, slices, table, texts
@@ -31,6 +33,8 @@ from cohortlab.session import stage
 
 #: Words of a k-mer, sketches of a text, and the similarity of a link.
 K, SKETCHES, SIMILARITY = 5, 64, 0.8
+#: Texts of a block that a task compares with another one, and counters of a bag of words.
+BLOCK, BAG = 512, 128
 _PLACE = (1 << 24) - 1
 
 
@@ -103,21 +107,84 @@ def sketched(docs: DataFrame, n: int = SKETCHES) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc long, n_words long, d1 long, d2 long, sketch array<long>")
 
 
-def candidates(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of texts that share a sketch and whose lengths allow the similarity.
+def buckets(members: DataFrame) -> DataFrame:
+    """Members of the buckets of two texts or more: j, s, rep, n_words, low (the smallest member), size.
 
-    ``members``: rep, n_words, sketch. Leaders of a bucket are found by partial
+    ``members``: rep, n_words, sketch. The smallest member is found by partial
     sums, so that a sketch of very many texts is no burden for one task.
     """
     rows = members.select("rep", "n_words", F.posexplode("sketch").alias("j", "s"))
     ends = F.struct("rep", "n_words")
-    leaders = rows.groupBy("j", "s").agg(F.min(ends).alias("low"), F.max(ends).alias("high")).filter("low.rep < high.rep")
-    met = rows.join(stage(leaders, "omh-leaders"), ["j", "s"])
-    pairs = met.select("rep", "n_words", F.explode(F.array("low", "high")).alias("lead"))
-    allowed = 1 - SIMILARITY + 1e-9
-    near = F.abs(F.col("n_words") - F.col("lead.n_words")) <= allowed * F.greatest("n_words", "lead.n_words")
-    ordered = pairs.filter((F.col("rep") != F.col("lead.rep")) & near)
-    return ordered.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+    found = rows.groupBy("j", "s").agg(F.min(ends).alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low.rep < high").drop("high")
+    return rows.join(stage(found, "omh-buckets"), ["j", "s"])
+
+
+def candidates(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b), a < b, of the smallest member of a bucket with the others whose lengths allow the similarity."""
+    allowed = 1 - similarity + 1e-9
+    near = F.abs(F.col("n_words") - F.col("low.n_words")) <= allowed * F.greatest("n_words", "low.n_words")
+    return met.filter((F.col("rep") != F.col("low.rep")) & near).select(F.col("low.rep").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def wanted_texts(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """rep, text and bag (counts of the words by hash) of the texts that are in a bucket with others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            words, off = word_hashes(*packed(part.column("text")))
+            at = np.repeat(np.arange(part.num_rows), np.diff(off)) * BAG + (words % np.uint64(BAG)).astype(np.int64)
+            bags = np.minimum(np.bincount(at, minlength=part.num_rows * BAG), 255).astype(np.uint8)
+            said = pa.array([x.tobytes() for x in bags.reshape(-1, BAG)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("text"), said], names=["rep", "text", "bag"])
+
+    source = texts(docs).select(doc_key().alias("rep"), "text").join(met.select("rep").distinct(), "rep")
+    return source.groupBy("rep").agg(F.max("text").alias("text")).mapInArrow(run, "rep long, text string, bag binary")
+
+
+def _paired_blocks(rows: DataFrame, keys: list[str], size: str, what: Column) -> DataFrame:
+    """Rows of a key dealt into blocks of about BLOCK by ``rep``; a row per key and two blocks (x <= y) with the list ``m`` of their rows."""
+    parts = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    way = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "side").alias("x"), F.greatest(i, "side").alias("y")))
+    spread = dealt.select(*keys, "side", what.alias("row"), F.explode(way).alias("way"))
+    return spread.groupBy(*keys, "way").agg(F.collect_list(F.struct("row", "side")).alias("m")).select("way.x", "way.y", "m")
+
+
+def crossings(met: DataFrame, labels: DataFrame, said: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different classes that their lengths and words in common allow, the smallest member's aside.
+
+    Only buckets in which classes still meet are looked at. All their pairs are
+    compared inside the tasks, by blocks, so that no table holds them.
+    """
+    named = met.filter("size > 2").join(labels.select(F.col("node").alias("rep"), "class"), "rep", "left")
+    named = named.select("j", "s", "rep", "n_words", "size", F.coalesce("class", "rep").alias("class"), F.col("low.rep").alias("low"))
+    mixed = named.filter("rep <> low").groupBy("j", "s").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("j", "s")
+    rows = named.filter("rep <> low").join(stage(mixed, "omh-mixed"), ["j", "s"]).join(said.select("rep", "bag"), "rep")
+    met = _paired_blocks(rows, ["j", "s"], "size", F.struct("rep", "n_words", "class", "bag"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
+                row, side = m.values.field("row"), m.values.field("side").to_numpy()
+                rep, n, kind = (row.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n_words", "class"))
+                bag = packed(row.field("bag"))[0].reshape(-1, BAG).astype(np.int16)
+                found = []
+                for i in range(len(rep) - 1):
+                    allowed = (1 - similarity) * np.maximum(n[i], n[i + 1 :]) + 1e-9
+                    ask = (kind[i + 1 :] != kind[i]) & (np.abs(n[i + 1 :] - n[i]) <= allowed)
+                    if x.as_py() != y.as_py():
+                        ask &= side[i + 1 :] != side[i]
+                    at = np.flatnonzero(ask)
+                    if len(at):
+                        more = bag[i + 1 + at] - bag[i]
+                        new = np.maximum(more, 0).sum(1, dtype=np.int64)
+                        at = at[np.maximum(new, new - more.sum(1, dtype=np.int64)) <= allowed[at]]
+                        found.append(np.column_stack([np.full(len(at), rep[i]), rep[i + 1 + at]]))
+                if found:
+                    pairs = np.sort(np.concatenate(found), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def aligned_within(x: list[int], y: list[int], allowed: int) -> int | None:
@@ -150,15 +217,12 @@ def aligned_within(x: list[int], y: list[int], allowed: int) -> int | None:
     return None
 
 
-def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Of the pairs (a, b) of documents, those whose words align: a, b, distance, similarity."""
-    both = pairs.select(F.explode(F.array("a", "b")).alias("doc"), "a", "b")
-    asked = both.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).withColumnRenamed("doc", "doc_key")
-    source = texts(docs).select(doc_key().alias("doc_key"), "text")
-    sides = source.join(asked, "doc_key").select("doc_key", "text", F.explode_outer("pairs").alias("p"))
-    side = lambda c: F.when(F.col("doc_key") == F.col(f"p.{c}"), F.col("text"))
-    said = sides.select("p.a", "p.b", side("a").alias("x"), side("b").alias("y"))
-    met = said.groupBy("a", "b").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+def links(said: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Of the pairs (a, b), those whose texts (``said``: rep, text) align: a, b, distance, similarity."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "a", "b")
+    sides = said.select("rep", "text").join(both, "rep")
+    side = lambda c: F.when(F.col("rep") == F.col(c), F.col("text"))
+    met = sides.groupBy("a", "b").agg(F.max(side("a")).alias("x"), F.max(side("b")).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "x"):
@@ -178,6 +242,62 @@ def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
     return met.mapInArrow(run, "a long, b long, distance long, similarity double")
 
 
+def link_counts(said: list[list[int]], asked: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Links of each text among the pairs that ``asked`` (symmetric, without the diagonal) holds.
+
+    The edit distance obeys the triangle inequality, so the distances to one
+    text settle most pairs of a group of close texts; the others are aligned.
+    """
+    n = np.array([len(x) for x in said])
+    allowed = ((1 - similarity) * np.maximum.outer(n, n) + 1e-9).astype(np.int64)
+    near = np.abs(np.subtract.outer(n, n)) <= allowed
+    count, undecided = np.zeros(len(said), np.int64), asked & near
+    while True:
+        left = undecided.sum(1)
+        p = int(left.argmax())
+        if not left[p]:
+            return count
+        at = np.flatnonzero(undecided[p])
+        if len(at) >= 8:  # worth the distances to the texts that are not asked too
+            at = np.flatnonzero((left > 0) & near[p] & (np.arange(len(said)) != p))
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), 1 << 40)
+        for i, j in enumerate(at.tolist()):
+            distance = aligned_within(said[p], said[j], int(allowed[p, j]))
+            if distance is None:
+                low[i] = allowed[p, j] + 1
+            else:
+                low[i] = high[i] = distance
+                count[[p, j]] += undecided[p, j]
+        undecided[p] = undecided[:, p] = False
+        square = np.ix_(at, at)
+        limit, still = allowed[square], undecided[square]
+        linked = still & (np.add.outer(high, high) <= limit)
+        apart = still & ((np.subtract.outer(low, high) > limit) | (np.subtract.outer(low, high).T > limit))
+        count[at] += linked.sum(1)
+        undecided[square] = still & ~linked & ~apart
+
+
+def degrees(members: DataFrame, said: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """rep, n_links: how many texts of its class each text is linked to. ``members``: rep, class, size.
+
+    Linked texts are of one class, so the pairs of each class are all there are.
+    They are settled inside the tasks, by blocks, so that no table holds them.
+    """
+    met = _paired_blocks(members.filter("size > 2").join(said.select("rep", "text"), "rep"), ["class"], "size", F.struct("rep", "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
+                row, side = m.values.field("row"), m.values.field("side").to_numpy()
+                words, off = word_hashes(*packed(row.field("text")))
+                asked = ~np.eye(len(side), dtype=bool) if x.as_py() == y.as_py() else np.not_equal.outer(side, side)
+                found = link_counts([words[a:b].tolist() for a, b in zip(off, off[1:], strict=False)], asked, similarity)
+                yield pa.RecordBatch.from_arrays([row.field("rep"), pa.array(found)], names=["rep", "n_links"])
+
+    counted = met.mapInArrow(run, "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    return counted.unionByName(members.filter("size = 2").select("rep", F.lit(1).cast("long").alias("n_links")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, class: the smallest node of its component, for all nodes of the edges (a, b).
 
@@ -217,6 +337,17 @@ def _roots(labels: DataFrame) -> DataFrame:
         before = now
 
 
+def joined_classes(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes (node, class) with further edges (a, b) between them."""
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("class").alias(name))
+    ends = edges.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    ends = ends.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    roots = components(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    known = labels.unionByName(roots.select("node", F.col("node").alias("class"))).distinct()  # texts without a class so far
+    to = roots.select(F.col("node").alias("class"), F.col("class").alias("root"))
+    return stage(known.join(to, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "omh-found")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES) -> DataFrame:
     """The class of every document: doc (key), class (key of its first document), n_links (of its text).
 
@@ -225,9 +356,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES)
     found = stage(sketched(docs, n), "omh-sketches")
     reps = found.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
     reps = stage(reps, "omh-texts")
-    edges = stage(links(docs, candidates(reps), similarity), "omh-links")
-    labels = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    met = stage(buckets(reps.select("rep", "n_words", "sketch")), "omh-met")
+    said = stage(wanted_texts(docs, met), "omh-said")
+    labels = components(links(said, candidates(met, similarity), similarity))
+    crossed = stage(links(said, crossings(met, labels, said, similarity), similarity).select("a", "b"), "omh-links")
+    if not crossed.isEmpty():
+        labels = joined_classes(labels, crossed)
+    sizes = labels.groupBy("class").agg(F.count("*").alias("size"))
+    members = labels.withColumnRenamed("node", "rep").join(sizes, "class")
+    degree = degrees(stage(members, "omh-members"), said, similarity)
     named = reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = stage(named.select("d1", "d2", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-classes")
     return found.select("doc", "d1", "d2").join(named, ["d1", "d2"]).select("doc", "class", "n_links").distinct()
@@ -236,8 +373,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES)
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES) -> DataFrame:
     """Class of every document: doc_id, class_id (smallest doc_id of the class), n_links.
 
-    n_links counts the verified links of the document's text to different
-    texts. Words are lower case; punctuation does not count. A text without
+    n_links counts the different texts of the class that the document's text
+    is linked to. Words are lower case; punctuation does not count. A text without
     words (null, empty) is like no other and is its own class. Rows with one
     doc_id are one document and give one row; a null doc_id ranks first; an
     empty table gives no rows; other columns are ignored.
