@@ -1,6 +1,7 @@
 """Operator 6: near-duplicates by Order MinHash, verified by banded alignment.
 
-A text's k-mers are its runs of five words, labelled with their occurrence
+A text's k-mers are its runs of two words, of which every allowed edit leaves
+some unchanged, labelled with their occurrence
 number. A sketch takes the two k-mers with the smallest hashes and keeps them
 in the order of the text, so it agrees for texts that are close in edit
 distance. Texts that share a sketch are candidates; the similarity is one minus
@@ -32,9 +33,9 @@ from cohortlab.llm.words import mix, word_hashes
 from cohortlab.session import stage
 
 #: Words of a k-mer, sketches of a text, and the similarity of a link.
-K, SKETCHES, SIMILARITY = 5, 64, 0.8
-#: Texts of a block that a task compares with another one, and counters of a bag of words.
-BLOCK, BAG = 512, 128
+K, SKETCHES, SIMILARITY = 2, 64, 0.8
+#: Texts of a block that a task compares with another one, with and without their words; counters of a bag of words; pivots of a large class.
+BLOCK, WIDE, BAG, PIVOTS = 512, 4096, 1024, 4
 _PLACE = (1 << 24) - 1
 
 
@@ -127,7 +128,7 @@ def candidates(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def wanted_texts(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """rep, text and bag (counts of the words by hash) of the texts that are in a bucket with others."""
+    """rep, text, n_words and bag (counts of the words by hash) of the texts that are in a bucket with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -135,15 +136,15 @@ def wanted_texts(docs: DataFrame, met: DataFrame) -> DataFrame:
             at = np.repeat(np.arange(part.num_rows), np.diff(off)) * BAG + (words % np.uint64(BAG)).astype(np.int64)
             bags = np.minimum(np.bincount(at, minlength=part.num_rows * BAG), 255).astype(np.uint8)
             said = pa.array([x.tobytes() for x in bags.reshape(-1, BAG)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("text"), said], names=["rep", "text", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("text"), pa.array(np.diff(off)), said], names=["rep", "text", "n_words", "bag"])
 
     source = texts(docs).select(doc_key().alias("rep"), "text").join(met.select("rep").distinct(), "rep")
-    return source.groupBy("rep").agg(F.max("text").alias("text")).mapInArrow(run, "rep long, text string, bag binary")
+    return source.groupBy("rep").agg(F.max("text").alias("text")).mapInArrow(run, "rep long, text string, n_words long, bag binary")
 
 
-def _paired_blocks(rows: DataFrame, keys: list[str], size: str, what: Column) -> DataFrame:
-    """Rows of a key dealt into blocks of about BLOCK by ``rep``; a row per key and two blocks (x <= y) with the list ``m`` of their rows."""
-    parts = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+def _paired_blocks(rows: DataFrame, keys: list[str], what: Column, block: int) -> DataFrame:
+    """Rows of a key, ``size`` of them, dealt into blocks by ``rep``; a row per key and two blocks (x <= y) with the list ``m`` of their rows."""
+    parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     way = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "side").alias("x"), F.greatest(i, "side").alias("y")))
     spread = dealt.select(*keys, "side", what.alias("row"), F.explode(way).alias("way"))
@@ -160,14 +161,14 @@ def crossings(met: DataFrame, labels: DataFrame, said: DataFrame, similarity: fl
     named = named.select("j", "s", "rep", "n_words", "size", F.coalesce("class", "rep").alias("class"), F.col("low.rep").alias("low"))
     mixed = named.filter("rep <> low").groupBy("j", "s").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("j", "s")
     rows = named.filter("rep <> low").join(stage(mixed, "omh-mixed"), ["j", "s"]).join(said.select("rep", "bag"), "rep")
-    met = _paired_blocks(rows, ["j", "s"], "size", F.struct("rep", "n_words", "class", "bag"))
+    met = _paired_blocks(rows, ["j", "s"], F.struct("rep", "n_words", "class", "bag"), BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
                 row, side = m.values.field("row"), m.values.field("side").to_numpy()
                 rep, n, kind = (row.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n_words", "class"))
-                bag = packed(row.field("bag"))[0].reshape(-1, BAG).astype(np.int16)
+                bag, coarse = _bags(row.field("bag"))
                 found = []
                 for i in range(len(rep) - 1):
                     allowed = (1 - similarity) * np.maximum(n[i], n[i + 1 :]) + 1e-9
@@ -176,10 +177,8 @@ def crossings(met: DataFrame, labels: DataFrame, said: DataFrame, similarity: fl
                         ask &= side[i + 1 :] != side[i]
                     at = np.flatnonzero(ask)
                     if len(at):
-                        more = bag[i + 1 + at] - bag[i]
-                        new = np.maximum(more, 0).sum(1, dtype=np.int64)
-                        at = at[np.maximum(new, new - more.sum(1, dtype=np.int64)) <= allowed[at]]
-                        found.append(np.column_stack([np.full(len(at), rep[i]), rep[i + 1 + at]]))
+                        at = _allowed_by_bags(bag, coarse, i, i + 1 + at, allowed[at])
+                        found.append(np.column_stack([np.full(len(at), rep[i]), rep[at]]))
                 if found:
                     pairs = np.sort(np.concatenate(found), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -242,8 +241,8 @@ def links(said: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
     return met.mapInArrow(run, "a long, b long, distance long, similarity double")
 
 
-def link_counts(said: list[list[int]], asked: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Links of each text among the pairs that ``asked`` (symmetric, without the diagonal) holds.
+def link_counts(said: list[list[int]], similarity: float = SIMILARITY) -> np.ndarray:
+    """Links of each text among all texts given.
 
     The edit distance obeys the triangle inequality, so the distances to one
     text settle most pairs of a group of close texts; the others are aligned.
@@ -251,15 +250,13 @@ def link_counts(said: list[list[int]], asked: np.ndarray, similarity: float = SI
     n = np.array([len(x) for x in said])
     allowed = ((1 - similarity) * np.maximum.outer(n, n) + 1e-9).astype(np.int64)
     near = np.abs(np.subtract.outer(n, n)) <= allowed
-    count, undecided = np.zeros(len(said), np.int64), asked & near
+    count, undecided = np.zeros(len(said), np.int64), near & ~np.eye(len(said), dtype=bool)
     while True:
         left = undecided.sum(1)
         p = int(left.argmax())
         if not left[p]:
             return count
         at = np.flatnonzero(undecided[p])
-        if len(at) >= 8:  # worth the distances to the texts that are not asked too
-            at = np.flatnonzero((left > 0) & near[p] & (np.arange(len(said)) != p))
         low, high = np.zeros(len(at), np.int64), np.full(len(at), 1 << 40)
         for i, j in enumerate(at.tolist()):
             distance = aligned_within(said[p], said[j], int(allowed[p, j]))
@@ -267,7 +264,7 @@ def link_counts(said: list[list[int]], asked: np.ndarray, similarity: float = SI
                 low[i] = allowed[p, j] + 1
             else:
                 low[i] = high[i] = distance
-                count[[p, j]] += undecided[p, j]
+                count[[p, j]] += 1
         undecided[p] = undecided[:, p] = False
         square = np.ix_(at, at)
         limit, still = allowed[square], undecided[square]
@@ -277,25 +274,101 @@ def link_counts(said: list[list[int]], asked: np.ndarray, similarity: float = SI
         undecided[square] = still & ~linked & ~apart
 
 
+def _allowed_by_bags(bag: np.ndarray, coarse: np.ndarray, one: int, others: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Those of ``others`` whose counts of words do not rule the allowed edits out, by a few sums of the counts first."""
+    for counts in (coarse, bag):
+        more = counts[others] - counts[one]
+        new = np.maximum(more, 0).sum(1, dtype=np.int64)
+        keep = np.maximum(new, new - more.sum(1, dtype=np.int64)) <= allowed
+        others, allowed = others[keep], allowed[keep]
+    return others
+
+
+def _bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    bag = packed(column)[0].reshape(-1, BAG).astype(np.int16)
+    return bag, bag.reshape(len(bag), -1, 16).sum(2, dtype=np.int16)
+
+
+def _pivot_distances(members: DataFrame, said: DataFrame, similarity: float) -> DataFrame:
+    """members with n_words, bag and ``spots``: for each pivot of the class its n_words and the distance, -1 beyond the allowed edits."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep"))["rep"] for i in range(PIVOTS)]
+    pivots = members.groupBy("class").agg(F.array(*drawn).alias("pivots"))
+    met = stage(members.join(pivots, "class").select("class", "size", "rep", F.posexplode("pivots").alias("i", "pivot")), "omh-pivots")
+    pairs = met.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    known = stage(links(said, pairs, similarity).select("a", "b", "distance"), "omh-distances")
+    length = said.select(F.col("rep").alias("pivot"), F.col("n_words").alias("n"))
+    long = met.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(known, ["a", "b"], "left").join(length, "pivot")
+    spot = F.struct("i", "n", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.coalesce("distance", F.lit(-1))).cast("long").alias("d"))
+    spots = long.groupBy("class", "size", "rep").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
+    return spots.join(said.select("rep", "n_words", "bag"), "rep")
+
+
+def _settled(members: DataFrame, said: DataFrame, similarity: float) -> DataFrame:
+    """Of classes of many texts: links of ``a`` that the distances to the pivots prove (b is null), and pairs (a, b) that they leave open."""
+    rows = _pivot_distances(members, said, similarity)
+    met = _paired_blocks(rows, ["class"], F.struct("rep", "n_words", "bag", "spots"), WIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
+                row, side = m.values.field("row"), m.values.field("side").to_numpy()
+                rep, n = (row.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n_words"))
+                bag, coarse = _bags(row.field("bag"))
+                spot = row.field("spots").flatten()
+                d, of = (spot.field(c).to_numpy(zero_copy_only=False).reshape(len(rep), -1) for c in ("d", "n"))
+                low = np.where(d < 0, ((1 - similarity) * np.maximum(n[:, None], of) + 1e-9).astype(np.int64) + 1, d)
+                high = np.where(d < 0, 1 << 40, d)
+                count, pairs = np.zeros(len(rep), np.int64), [np.zeros((0, 2), np.int64)]
+                for i in range(len(rep) - 1):
+                    limit = ((1 - similarity) * np.maximum(n[i], n[i + 1 :]) + 1e-9).astype(np.int64)
+                    ask = np.abs(n[i + 1 :] - n[i]) <= limit
+                    if x.as_py() != y.as_py():
+                        ask &= side[i + 1 :] != side[i]
+                    linked = ask & ((high[i + 1 :] + high[i]).min(1) <= limit)
+                    apart = np.maximum(low[i + 1 :] - high[i], low[i] - high[i + 1 :]).max(1) > limit
+                    count[i] += linked.sum()
+                    count[i + 1 :] += linked
+                    at = np.flatnonzero(ask & ~linked & ~apart)
+                    if len(at):
+                        at = _allowed_by_bags(bag, coarse, i, i + 1 + at, limit[at])
+                        pairs.append(np.column_stack([np.full(len(at), rep[i]), rep[at]]))
+                open_ = np.sort(np.concatenate(pairs), axis=1)
+                a, b = np.concatenate([rep, open_[:, 0]]), np.concatenate([rep, open_[:, 1]])
+                none = np.arange(len(a)) < len(rep)
+                found = np.concatenate([count, np.zeros(len(open_), np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=none), pa.array(found)], names=["a", "b", "n"])
+
+    return met.mapInArrow(run, "a long, b long, n long")
+
+
 def degrees(members: DataFrame, said: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """rep, n_links: how many texts of its class each text is linked to. ``members``: rep, class, size.
 
     Linked texts are of one class, so the pairs of each class are all there are.
-    They are settled inside the tasks, by blocks, so that no table holds them.
+    A class of up to BLOCK texts is settled with them in one task. In larger ones the distances
+    to a few pivots go to the tasks in place of the texts; only pairs that they leave open are aligned.
     """
-    met = _paired_blocks(members.filter("size > 2").join(said.select("rep", "text"), "rep"), ["class"], "size", F.struct("rep", "text"))
+    small = members.filter(f"size > 2 AND size <= {BLOCK}").join(said.select("rep", "text"), "rep")
+    met = small.groupBy("class").agg(F.collect_list(F.struct("rep", "text")).alias("m")).select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
-                row, side = m.values.field("row"), m.values.field("side").to_numpy()
-                words, off = word_hashes(*packed(row.field("text")))
-                asked = ~np.eye(len(side), dtype=bool) if x.as_py() == y.as_py() else np.not_equal.outer(side, side)
-                found = link_counts([words[a:b].tolist() for a, b in zip(off, off[1:], strict=False)], asked, similarity)
-                yield pa.RecordBatch.from_arrays([row.field("rep"), pa.array(found)], names=["rep", "n_links"])
-
-    counted = met.mapInArrow(run, "rep long, n_links long").groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    return counted.unionByName(members.filter("size = 2").select("rep", F.lit(1).cast("long").alias("n_links")))
+            for m in batch.column("m"):
+                words, off = word_hashes(*packed(m.values.field("text")))
+                said = [words[a:b].tolist() for a, b in zip(off, off[1:], strict=False)]
+                found = link_counts(said, similarity)
+                yield pa.RecordBatch.from_arrays([m.values.field("rep"), pa.array(found)], names=["rep", "n_links"])
+
+    one = members.filter("size = 2").select("rep", F.lit(1).cast("long").alias("n_links"))
+    counted = met.mapInArrow(run, "rep long, n_links long").unionByName(one)
+    many = stage(members.filter(f"size > {BLOCK}"), "omh-many")
+    if many.isEmpty():
+        return counted
+    settled = stage(_settled(many, said, similarity), "omh-settled")
+    aligned = links(said, settled.filter("b IS NOT NULL").select("a", "b"), similarity)
+    ends = aligned.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n_links"))
+    proven = settled.filter("b IS NULL").select(F.col("a").alias("rep"), F.col("n").alias("n_links"))
+    return counted.unionByName(proven.unionByName(ends).groupBy("rep").agg(F.sum("n_links").alias("n_links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,8 +421,8 @@ def joined_classes(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return stage(known.join(to, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "omh-found")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES) -> DataFrame:
-    """The class of every document: doc (key), class (key of its first document), n_links (of its text).
+def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES, counted: bool = True) -> DataFrame:
+    """The class of every document: doc (key), class (key of its first document), n_links (of its text; null if not ``counted``).
 
     See ``near_duplicates`` for the cases of empty and repeated rows.
     """
@@ -362,11 +435,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES)
     crossed = stage(links(said, crossings(met, labels, said, similarity), similarity).select("a", "b"), "omh-links")
     if not crossed.isEmpty():
         labels = joined_classes(labels, crossed)
-    sizes = labels.groupBy("class").agg(F.count("*").alias("size"))
-    members = labels.withColumnRenamed("node", "rep").join(sizes, "class")
-    degree = degrees(stage(members, "omh-members"), said, similarity)
-    named = reps.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = stage(named.select("d1", "d2", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-classes")
+    labels = labels.withColumnRenamed("node", "rep")
+    named = reps.select("d1", "d2", "rep").join(labels, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    if counted:
+        members = labels.join(labels.groupBy("class").agg(F.count("*").alias("size")), "class")
+        degree = degrees(stage(members, "omh-members"), said, similarity)
+        named = named.join(degree, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = stage(named.select("d1", "d2", "class", "n_links"), "omh-classes")
     return found.select("doc", "d1", "d2").join(named, ["d1", "d2"]).select("doc", "class", "n_links").distinct()
 
 
@@ -388,7 +465,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SK
 
 def first_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are the first of their class, with their own columns; texts without words stay."""
-    gone = classes(docs, similarity).filter("doc <> class").select("doc")
+    gone = classes(docs, similarity, counted=False).filter("doc <> class").select("doc")
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
     return docs.join(gone, key == gone["doc"], "left_anti")
 

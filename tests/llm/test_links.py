@@ -39,6 +39,7 @@ def found(spark, docs):
 def test_links_of_a_group_are_all_pairs(spark, monkeypatch, block):
     """A group whose texts are up to 22 % apart, pairs of copies between texts that share a passage with all."""
     monkeypatch.setattr(order_minhash, "BLOCK", block)
+    monkeypatch.setattr(order_minhash, "WIDE", 2 * block)
     rand = random.Random(12)
     plain = lambda seed, n: prose(seed, n).lower().replace(".", "")
     base, passage = plain(1, 60).split(), plain(2, 25)
@@ -50,3 +51,17 @@ def test_links_of_a_group_are_all_pairs(spark, monkeypatch, block):
     want = brute(docs)
     assert len({n for _, n in want.values()}) > 5
     assert found(spark, docs) == want
+
+
+def test_pairs_near_the_limit_are_found(spark):
+    """Pairs of similarity 0.8 to 0.85; replaced words at random places or evenly spread."""
+    rand, docs = random.Random(21), []
+    for n in (20, 40, 80, 200):
+        for i in range(16):
+            words = prose(1000 * n + i, n).lower().replace(".", "").split()
+            edits = n // 5 if i % 4 < 3 else int(n * 0.15)
+            at = range(2, n, 5) if i % 2 else rand.sample(range(n), edits)
+            other = [f"n{rand.randrange(10**9)}" if k in list(at)[:edits] else w for k, w in enumerate(words)]
+            docs += [" ".join(words), " ".join(other)]
+    rows = found(spark, docs)
+    assert rows == {i: (i - i % 2, 1) for i in range(len(docs))}
