@@ -117,17 +117,18 @@ class Finder:
         data = folded(flat).tobytes()
         starts = defaultdict(set)
         for end, (length, places) in self.automaton.iter(data.decode("latin-1")):
+            hit = end + 1 - length
             for item, offset in places:
-                starts[item].add(end + 1 - length - offset)
+                starts[item].add((hit, hit - offset))
         for item, found in starts.items():
             item_id, text, errors = self.items[item]
-            at = np.array(sorted(found))
-            rows = np.searchsorted(off, np.clip(at, 0, len(flat) - 1), "right") - 1
-            for row in np.unique(np.concatenate([rows, np.maximum(rows - 1, 0)[at - off[rows] < errors], np.minimum(rows + 1, len(off) - 2)[off[rows + 1] - at <= len(text)]])):
+            hits, at = np.array(sorted(found)).T
+            rows = np.searchsorted(off, hits, "right") - 1  # the text that the hit itself begins in, whose start may lie before it
+            for row in np.unique(rows):
                 low, high = int(off[row]), int(off[row + 1])
                 if high - low < len(text) - errors:
                     continue
-                mine = at[(at >= low - errors) & (at + len(text) <= high + errors)]
+                mine = np.unique(at[(rows == row) & (at >= low - errors) & (at + len(text) <= high + errors)])
                 for a, b in _regions(mine, len(text), errors, low, high):
                     for start, stop, distance in matches(text, errors, data[a:b]):
                         yield int(row), item_id, a + start - low, a + stop - low, distance
