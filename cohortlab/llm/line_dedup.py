@@ -46,10 +46,9 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
         for cut in _CUT.finditer(text, a, b):
             parts.append((at, cut.end(), norm := normalised(text[at : cut.start()]), norm.count(" ") + bool(norm)))
             at = cut.end()
-        if at > a:
-            whole = normalised(line.group())
-            if whole.count(" ") + 1 >= min_words:
-                yield a, b, whole
+        whole = normalised(line.group()) or line.group().strip()
+        if whole and (at > a or whole.count(" ") + 1 < min_words):
+            yield a, b, whole
         if at < b:
             parts.append((at, b, norm := normalised(text[at:b]), norm.count(" ") + bool(norm)))
     for i, (a, b, norm, words) in enumerate(parts):
