@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -48,15 +50,40 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside, but for those to keep, are deleted at the end.
+
+    For work that has read all of them by then; what it returns may only
+    depend on the tables it kept and on its input.
+    """
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage(df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several jobs read the same shuffled result. The copy is
     columnar, outlives lost executors, and ends the lineage. With ``by`` it
     is partitioned by that column, so a filter on it skips the other files.
+    Inside ``scratch`` it is deleted at the end, unless it is to ``keep``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    passing = _passing.get()
+    if passing is not None and not keep:
+        passing.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
