@@ -15,6 +15,7 @@ def numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> Dat
     ``order`` should be told apart by a last column. Only the counts of each
     range and group are put in line; there are at most as many as groups and ranges.
     """
+    rows = stage(rows, f"{name}-rows")  # finding the ranges reads them once more
     sorted_rows = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
     placed = stage(sorted_rows.withColumn("at_", F.monotonically_increasing_id()), name)
     part = F.shiftright("at_", 33)
