@@ -29,8 +29,8 @@ from cohortlab.llm.common import bounded_batches, slices, table
 
 #: States a task remembers; beyond, it starts afresh.
 STATES = 1 << 18
-#: Bytes of a piece after which settled tokens are emitted.
-WINDOW = 1024
+#: Bytes of a piece after which settled tokens are emitted; bytes of the longest piece whose path is remembered.
+WINDOW, SHORT = 1024, 64
 _NEVER = 1 << 40
 
 
@@ -145,6 +145,7 @@ class Transducer:
                     self.depth.append(at + 1)
                 node = to
             self.token[node] = rank
+        self.paths: dict[bytes, list[int]] = {}
         self.start = State(self, ((-1, 0),))
         self.states = {self.start.guesses: self.start}
 
@@ -193,13 +194,31 @@ class Transducer:
         return max(set.intersection(*ways))
 
     def encode(self, pieces: Iterable[bytes]) -> list[int]:
-        """Tokens of the pieces, in one pass over their bytes.
+        """Tokens of the pieces, in order.
 
-        The tokens of a piece are emitted at its end; in longer ones, every
-        WINDOW bytes, as far as they are settled, so little is held at any time.
+        A short piece that was read before takes the remembered path through
+        the machine in one step, the path's tokens with it.
         """
         out: list[int] = []
         for piece in pieces:
+            found = self.paths.get(piece)
+            if found is None:
+                found = self.run(piece)
+                if len(self.paths) >= self.limit:
+                    self.paths.clear()
+                if len(piece) <= SHORT:
+                    self.paths[piece] = found
+            out += found
+        return out
+
+    def run(self, piece: bytes) -> list[int]:
+        """Tokens of one piece, byte by byte through the states.
+
+        They are emitted at its end; in a long one, every WINDOW bytes, as far
+        as they are settled, so little is held at any time.
+        """
+        out: list[int] = []
+        if piece:
             state, begin = self.start, 0
             states = [state := state[byte] for byte in piece[:WINDOW]]
             while begin + WINDOW < len(piece):
