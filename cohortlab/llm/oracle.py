@@ -11,7 +11,7 @@ def merkle_sql(lang_levels: int = 9, top_levels: int = 3, arity: int = 8) -> str
     crc = (
         "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, "
         "[ord(ch)::BIGINT FOR ch IN string_split(CAST(doc_id AS VARCHAR), '')]), "
-        "(c, b) -> xor(xor(c, b) >> 8, list_reduce(list_prepend(xor(c, b) & 255, range(8)), (x, i) -> xor(x >> 1, 3988292384 * (x & 1))))))"
+        "lambda c, b: xor(xor(c, b) >> 8, list_reduce(list_prepend(xor(c, b) & 255, range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))))"
     )
     parts = [
         f"""rows AS (SELECT doc_id, coalesce('+' || lang, '') AS t, {leaf.format(field('text'))} AS leaf,

@@ -9,11 +9,13 @@ the edit distance of their words over the longer length, found by an alignment
 in a band of the allowed edits, and 0.8 or more makes a link. Classes are the
 connected components of the links.
 
-Equal texts are one text before anything is paired. A bucket of a sketch first
-pairs its smallest member with the others, which joins most groups of close
-texts. Where several classes still meet in a bucket, all pairs between them are
-compared. So no pair of a bucket is left out, and links are counted inside the
-classes.
+Equal texts are one text before anything is paired. Rows of a sketch are
+shuffled once; of those that meet in one batch before, only a leader goes
+on, so a sketch of very many texts has few rows. The members of a bucket are paired with its leader, the
+shortest text, which joins most groups of close texts; a bucket of m texts gives fewer than m pairs. Where several
+classes still meet in a bucket, all pairs between them are compared inside the
+tasks by their counts of words, and only those that these leave open are
+written. So no pair of a bucket is left out, and no table holds all pairs of a group.
 """
 
 from __future__ import annotations
@@ -26,16 +28,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortlab.llm.common import longs, packed, slices, table, texts
 from cohortlab.llm.firsts import doc_key
 from cohortlab.llm.words import mix, word_hashes
-from cohortlab.session import stage
+from cohortlab.session import scratch, stage
 
 #: Words of a k-mer, sketches of a text, and the similarity of a link.
 K, SKETCHES, SIMILARITY = 2, 64, 0.8
-#: Texts of a block that a task compares with another one, with and without their words; counters of a bag of words; pivots of a large class.
-BLOCK, WIDE, BAG, PIVOTS = 512, 4096, 1024, 4
+#: Texts of a block that a task compares with another one; counters of a bag of words.
+BLOCK, BAG = 4096, 256
 _PLACE = (1 << 24) - 1
 
 
@@ -84,62 +87,122 @@ def sketches(labels: np.ndarray, off: np.ndarray, n: int = SKETCHES) -> np.ndarr
     return out
 
 
+def _bags_of(words: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Per text, how often its words fall on each of BAG counters by their hashes; 255 stands for more."""
+    n = len(off) - 1
+    at = np.repeat(np.arange(n), np.diff(off)) * BAG + (words % np.uint64(BAG)).astype(np.int64)
+    bags = np.minimum(np.bincount(at, minlength=n * BAG), 255).astype(np.uint8)
+    return pa.array([x.tobytes() for x in bags.reshape(-1, BAG)], pa.binary())
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts with words, by slices: their keys, hashes of the words, offsets, and both halves of the digests of the words."""
+    for part in slices(batches, "text"):
+        words, off = word_hashes(*packed(part.column("text")))
+        full = np.flatnonzero(np.diff(off))
+        if len(full):
+            data = [xxhash.xxh3_128_digest(words[off[i] : off[i + 1]].tobytes()) for i in full.tolist()]
+            halves = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
+            yield pa.array(longs(part.column("doc_id"))[full]), words, np.append(off[full], off[-1]), halves[:, 0].copy(), halves[:, 1].copy()
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """doc, d1, d2 (digest of the words) of every text that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, _, _, d1, d2 in _hashed(batches):
+            yield pa.RecordBatch.from_arrays([doc, pa.array(d1), pa.array(d2)], names=["doc", "d1", "d2"])
+
+    return texts(docs).mapInArrow(run, "doc long, d1 long, d2 long")
+
+
 def sketched(docs: DataFrame, n: int = SKETCHES) -> DataFrame:
-    """doc, n_words, d1, d2 (digest of the words) and the sketches of every text that has words."""
+    """doc, n_words, d1, d2 (digest of the words), the sketches and the bag of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            words, off = word_hashes(*packed(part.column("text")))
-            full = np.flatnonzero(np.diff(off))
-            if not len(full):
-                continue
+        for doc, words, off, d1, d2 in _hashed(batches):
             found = sketches(*kmers(words, off), n)
-            data = [xxhash.xxh3_128_digest(words[off[i] : off[i + 1]].tobytes()) for i in full.tolist()]
-            halves = np.frombuffer(b"".join(data), "<i8").reshape(-1, 2)
             offsets = pa.array(np.arange(0, found.size + 1, n), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(longs(part.column("doc_id"))[full]), pa.array(np.diff(off)[full]), pa.array(halves[:, 0].copy()),
-                    pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(found.ravel())),
-                ],
-                names=["doc", "n_words", "d1", "d2", "sketch"],
+                [doc, pa.array(np.diff(off)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(offsets, pa.array(found.ravel())), _bags_of(words, off)],
+                names=["doc", "n_words", "d1", "d2", "sketch", "bag"],
             )
 
-    return texts(docs).mapInArrow(run, "doc long, n_words long, d1 long, d2 long, sketch array<long>")
+    return texts(docs).mapInArrow(run, "doc long, n_words long, d1 long, d2 long, sketch array<long>, bag binary")
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sketches. Of those that share one in a batch, the shortest text leads and goes on; the others have their leader already."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rep, n = batch.column("rep").to_numpy(), batch.column("n_words").to_numpy()
+        sketch = batch.column("sketch")
+        off = sketch.offsets.to_numpy()
+        row, key = np.repeat(np.arange(len(rep)), np.diff(off)), sketch.values.to_numpy()[off[0] : off[-1]]
+        rank = np.empty(len(rep), np.int64)
+        rank[np.lexsort((rep, n))] = np.arange(len(rep))
+        order = np.lexsort((rank[row], key))
+        row, key = row[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        lead = row[new][np.cumsum(new) - 1] if len(key) else row
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.where(new, key, mix(rep[row].view(np.uint64)).view(np.int64))), pa.array(key), pa.array(rep[row]), pa.array(n[row]),
+                pa.array(rep[lead], mask=new), pa.array(n[lead], mask=new),
+            ],
+            names=["spot", "key", "rep", "n_words", "lead", "lead_n"],
+        )
 
 
 def buckets(members: DataFrame) -> DataFrame:
-    """Members of the buckets of two texts or more: j, s, rep, n_words, low (the smallest member), size.
+    """Members of the buckets of two texts or more with their leader: key, rep, n_words, lead, lead_n, settled (led inside a batch).
 
-    ``members``: rep, n_words, sketch. The smallest member is found by partial
-    sums, so that a sketch of very many texts is no burden for one task.
+    ``members``: rep, n_words, sketch. The shortest text leads, of equals the smallest; it has no row of its own.
     """
-    rows = members.select("rep", "n_words", F.posexplode("sketch").alias("j", "s"))
-    ends = F.struct("rep", "n_words")
-    found = rows.groupBy("j", "s").agg(F.min(ends).alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).filter("low.rep < high").drop("high")
-    return rows.join(stage(found, "omh-buckets"), ["j", "s"])
+    rows = members.select("rep", "n_words", "sketch").mapInArrow(_led, "spot long, key long, rep long, n_words long, lead long, lead_n long")
+    rows = rows.withColumn("settled", F.col("lead").isNotNull())
+    first = F.first(F.struct("rep", "n_words")).over(Window.partitionBy("spot", "settled").orderBy("n_words", "rep"))
+    led = rows.withColumn("first", first).select(
+        "key", "rep", "n_words", F.coalesce("lead", "first.rep").alias("lead"), F.coalesce("lead_n", "first.n_words").alias("lead_n"), "settled"
+    )
+    return led.filter("rep <> lead")
 
 
 def candidates(met: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b), a < b, of the smallest member of a bucket with the others whose lengths allow the similarity."""
+    """Pairs (a, b), a < b, of members of a bucket and their leader whose lengths allow the similarity."""
     allowed = 1 - similarity + 1e-9
-    near = F.abs(F.col("n_words") - F.col("low.n_words")) <= allowed * F.greatest("n_words", "low.n_words")
-    return met.filter((F.col("rep") != F.col("low.rep")) & near).select(F.col("low.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    near = F.abs(F.col("n_words") - F.col("lead_n")) <= allowed * F.greatest("n_words", "lead_n")
+    return met.filter(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
 
 
-def wanted_texts(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """rep, text, n_words and bag (counts of the words by hash) of the texts that are in a bucket with others."""
+def likely(pairs: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose counts of words do not rule the similarity out. ``members``: rep, n_words, bag."""
+    of = lambda c: members.select(F.col("rep").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bag_a", "bag_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            words, off = word_hashes(*packed(part.column("text")))
-            at = np.repeat(np.arange(part.num_rows), np.diff(off)) * BAG + (words % np.uint64(BAG)).astype(np.int64)
-            bags = np.minimum(np.bincount(at, minlength=part.num_rows * BAG), 255).astype(np.uint8)
-            said = pa.array([x.tobytes() for x in bags.reshape(-1, BAG)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("text"), pa.array(np.diff(off)), said], names=["rep", "text", "n_words", "bag"])
+        for batch in batches:
+            n = np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            more = _bags(batch.column("bag_b"))[0] - _bags(batch.column("bag_a"))[0]
+            new = np.maximum(more, 0).sum(1, dtype=np.int64)
+            keep = np.maximum(new, new - more.sum(1, dtype=np.int64)) <= (1 - similarity) * n + 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """One pair (a, b) of each text ``b``, that with the smallest ``a``; in most groups these alone join all."""
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
-    source = texts(docs).select(doc_key().alias("rep"), "text").join(met.select("rep").distinct(), "rep")
-    return source.groupBy("rep").agg(F.max("text").alias("text")).mapInArrow(run, "rep long, text string, n_words long, bag binary")
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are not of one class (``labels``: node, class) yet."""
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("class").alias(name))
+    named = pairs.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    return named.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
 def _paired_blocks(rows: DataFrame, keys: list[str], what: Column, block: int) -> DataFrame:
@@ -151,39 +214,50 @@ def _paired_blocks(rows: DataFrame, keys: list[str], what: Column, block: int) -
     return spread.groupBy(*keys, "way").agg(F.collect_list(F.struct("row", "side")).alias("m")).select("way.x", "way.y", "m")
 
 
-def crossings(met: DataFrame, labels: DataFrame, said: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different classes that their lengths and words in common allow, the smallest member's aside.
+def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different classes that their lengths and words in common allow.
 
-    Only buckets in which classes still meet are looked at. All their pairs are
+    ``labels``: node, class. ``members``: rep, n_words, bag. Only buckets in
+    which classes still meet beside the leader are looked at, since the leader has met all
+    members; where members were led inside batches, leaders count too. Their pairs are
     compared inside the tasks, by blocks, so that no table holds them.
     """
-    named = met.filter("size > 2").join(labels.select(F.col("node").alias("rep"), "class"), "rep", "left")
-    named = named.select("j", "s", "rep", "n_words", "size", F.coalesce("class", "rep").alias("class"), F.col("low.rep").alias("low"))
-    mixed = named.filter("rep <> low").groupBy("j", "s").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("j", "s")
-    rows = named.filter("rep <> low").join(stage(mixed, "omh-mixed"), ["j", "s"]).join(said.select("rep", "bag"), "rep")
-    met = _paired_blocks(rows, ["j", "s"], F.struct("rep", "n_words", "class", "bag"), BLOCK)
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("class").alias(name))
+    named = met.join(of("rep", "own"), "rep", "left").join(of("lead", "led"), "lead", "left")
+    named = named.select("key", "settled", F.coalesce("own", "rep").alias("own"), F.coalesce("led", "lead").alias("led"))
+    sums = named.groupBy("key").agg(
+        F.min("own").alias("low"), F.max("own").alias("high"), F.min("led").alias("low_led"), F.max("led").alias("high_led"), F.bool_or("settled").alias("deep")
+    )
+    mixed = sums.filter("low < high OR (deep AND least(low, low_led) < greatest(high, high_led))").select("key")
+    ends = met.join(stage(mixed, "omh-mixed"), "key").select("key", F.explode(F.array("rep", "lead")).alias("rep")).distinct()
+    ends = stage(ends.join(of("rep", "class"), "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class")), "omh-ends")
+    rows = ends.join(ends.groupBy("key").agg(F.count("*").alias("size")), "key").join(members.select("rep", "n_words", "bag"), "rep")
+    blocks = _paired_blocks(rows, ["key"], F.struct("rep", "n_words", "class", "bag"), BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
-                row, side = m.values.field("row"), m.values.field("side").to_numpy()
-                rep, n, kind = (row.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n_words", "class"))
-                bag, coarse = _bags(row.field("bag"))
+                row = m.values.field("row")
+                order = np.argsort(row.field("n_words").to_numpy(zero_copy_only=False), kind="stable")
+                rep, n, kind = (row.field(c).to_numpy(zero_copy_only=False)[order] for c in ("rep", "n_words", "class"))
+                side = m.values.field("side").to_numpy()[order]
+                bag, coarse = (b[order] for b in _bags(row.field("bag")))
+                reach = np.searchsorted(n, n / similarity + 1e-6, "right")  # longer texts beyond allow no link
                 found = []
                 for i in range(len(rep) - 1):
-                    allowed = (1 - similarity) * np.maximum(n[i], n[i + 1 :]) + 1e-9
-                    ask = (kind[i + 1 :] != kind[i]) & (np.abs(n[i + 1 :] - n[i]) <= allowed)
+                    last = reach[i]
+                    ask = kind[i + 1 : last] != kind[i]
                     if x.as_py() != y.as_py():
-                        ask &= side[i + 1 :] != side[i]
-                    at = np.flatnonzero(ask)
+                        ask &= side[i + 1 : last] != side[i]
+                    at = i + 1 + np.flatnonzero(ask)
                     if len(at):
-                        at = _allowed_by_bags(bag, coarse, i, i + 1 + at, allowed[at])
+                        at = _allowed_by_bags(bag, coarse, i, at, (1 - similarity) * n[at] + 1e-9)
                         found.append(np.column_stack([np.full(len(at), rep[i]), rep[at]]))
                 if found:
                     pairs = np.sort(np.concatenate(found), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
 def aligned_within(x: list[int], y: list[int], allowed: int) -> int | None:
@@ -216,10 +290,10 @@ def aligned_within(x: list[int], y: list[int], allowed: int) -> int | None:
     return None
 
 
-def links(said: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Of the pairs (a, b), those whose texts (``said``: rep, text) align: a, b, distance, similarity."""
+def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Of the pairs (a, b) of document keys, those whose texts align: a, b, distance, similarity."""
     both = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "a", "b")
-    sides = said.select("rep", "text").join(both, "rep")
+    sides = texts(docs).select(doc_key().alias("rep"), "text").join(both, "rep")
     side = lambda c: F.when(F.col("rep") == F.col(c), F.col("text"))
     met = sides.groupBy("a", "b").agg(F.max(side("a")).alias("x"), F.max(side("b")).alias("y"))
 
@@ -241,39 +315,6 @@ def links(said: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
     return met.mapInArrow(run, "a long, b long, distance long, similarity double")
 
 
-def link_counts(said: list[list[int]], similarity: float = SIMILARITY) -> np.ndarray:
-    """Links of each text among all texts given.
-
-    The edit distance obeys the triangle inequality, so the distances to one
-    text settle most pairs of a group of close texts; the others are aligned.
-    """
-    n = np.array([len(x) for x in said])
-    allowed = ((1 - similarity) * np.maximum.outer(n, n) + 1e-9).astype(np.int64)
-    near = np.abs(np.subtract.outer(n, n)) <= allowed
-    count, undecided = np.zeros(len(said), np.int64), near & ~np.eye(len(said), dtype=bool)
-    while True:
-        left = undecided.sum(1)
-        p = int(left.argmax())
-        if not left[p]:
-            return count
-        at = np.flatnonzero(undecided[p])
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), 1 << 40)
-        for i, j in enumerate(at.tolist()):
-            distance = aligned_within(said[p], said[j], int(allowed[p, j]))
-            if distance is None:
-                low[i] = allowed[p, j] + 1
-            else:
-                low[i] = high[i] = distance
-                count[[p, j]] += 1
-        undecided[p] = undecided[:, p] = False
-        square = np.ix_(at, at)
-        limit, still = allowed[square], undecided[square]
-        linked = still & (np.add.outer(high, high) <= limit)
-        apart = still & ((np.subtract.outer(low, high) > limit) | (np.subtract.outer(low, high).T > limit))
-        count[at] += linked.sum(1)
-        undecided[square] = still & ~linked & ~apart
-
-
 def _allowed_by_bags(bag: np.ndarray, coarse: np.ndarray, one: int, others: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     """Those of ``others`` whose counts of words do not rule the allowed edits out, by a few sums of the counts first."""
     for counts in (coarse, bag):
@@ -289,88 +330,6 @@ def _bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bag, bag.reshape(len(bag), -1, 16).sum(2, dtype=np.int16)
 
 
-def _pivot_distances(members: DataFrame, said: DataFrame, similarity: float) -> DataFrame:
-    """members with n_words, bag and ``spots``: for each pivot of the class its n_words and the distance, -1 beyond the allowed edits."""
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(i), "rep"), "rep"))["rep"] for i in range(PIVOTS)]
-    pivots = members.groupBy("class").agg(F.array(*drawn).alias("pivots"))
-    met = stage(members.join(pivots, "class").select("class", "size", "rep", F.posexplode("pivots").alias("i", "pivot")), "omh-pivots")
-    pairs = met.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    known = stage(links(said, pairs, similarity).select("a", "b", "distance"), "omh-distances")
-    length = said.select(F.col("rep").alias("pivot"), F.col("n_words").alias("n"))
-    long = met.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(known, ["a", "b"], "left").join(length, "pivot")
-    spot = F.struct("i", "n", F.when(F.col("rep") == F.col("pivot"), 0).otherwise(F.coalesce("distance", F.lit(-1))).cast("long").alias("d"))
-    spots = long.groupBy("class", "size", "rep").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
-    return spots.join(said.select("rep", "n_words", "bag"), "rep")
-
-
-def _settled(members: DataFrame, said: DataFrame, similarity: float) -> DataFrame:
-    """Of classes of many texts: links of ``a`` that the distances to the pivots prove (b is null), and pairs (a, b) that they leave open."""
-    rows = _pivot_distances(members, said, similarity)
-    met = _paired_blocks(rows, ["class"], F.struct("rep", "n_words", "bag", "spots"), WIDE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
-                row, side = m.values.field("row"), m.values.field("side").to_numpy()
-                rep, n = (row.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n_words"))
-                bag, coarse = _bags(row.field("bag"))
-                spot = row.field("spots").flatten()
-                d, of = (spot.field(c).to_numpy(zero_copy_only=False).reshape(len(rep), -1) for c in ("d", "n"))
-                low = np.where(d < 0, ((1 - similarity) * np.maximum(n[:, None], of) + 1e-9).astype(np.int64) + 1, d)
-                high = np.where(d < 0, 1 << 40, d)
-                count, pairs = np.zeros(len(rep), np.int64), [np.zeros((0, 2), np.int64)]
-                for i in range(len(rep) - 1):
-                    limit = ((1 - similarity) * np.maximum(n[i], n[i + 1 :]) + 1e-9).astype(np.int64)
-                    ask = np.abs(n[i + 1 :] - n[i]) <= limit
-                    if x.as_py() != y.as_py():
-                        ask &= side[i + 1 :] != side[i]
-                    linked = ask & ((high[i + 1 :] + high[i]).min(1) <= limit)
-                    apart = np.maximum(low[i + 1 :] - high[i], low[i] - high[i + 1 :]).max(1) > limit
-                    count[i] += linked.sum()
-                    count[i + 1 :] += linked
-                    at = np.flatnonzero(ask & ~linked & ~apart)
-                    if len(at):
-                        at = _allowed_by_bags(bag, coarse, i, i + 1 + at, limit[at])
-                        pairs.append(np.column_stack([np.full(len(at), rep[i]), rep[at]]))
-                open_ = np.sort(np.concatenate(pairs), axis=1)
-                a, b = np.concatenate([rep, open_[:, 0]]), np.concatenate([rep, open_[:, 1]])
-                none = np.arange(len(a)) < len(rep)
-                found = np.concatenate([count, np.zeros(len(open_), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=none), pa.array(found)], names=["a", "b", "n"])
-
-    return met.mapInArrow(run, "a long, b long, n long")
-
-
-def degrees(members: DataFrame, said: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """rep, n_links: how many texts of its class each text is linked to. ``members``: rep, class, size.
-
-    Linked texts are of one class, so the pairs of each class are all there are.
-    A class of up to BLOCK texts is settled with them in one task. In larger ones the distances
-    to a few pivots go to the tasks in place of the texts; only pairs that they leave open are aligned.
-    """
-    small = members.filter(f"size > 2 AND size <= {BLOCK}").join(said.select("rep", "text"), "rep")
-    met = small.groupBy("class").agg(F.collect_list(F.struct("rep", "text")).alias("m")).select("m")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m in batch.column("m"):
-                words, off = word_hashes(*packed(m.values.field("text")))
-                said = [words[a:b].tolist() for a, b in zip(off, off[1:], strict=False)]
-                found = link_counts(said, similarity)
-                yield pa.RecordBatch.from_arrays([m.values.field("rep"), pa.array(found)], names=["rep", "n_links"])
-
-    one = members.filter("size = 2").select("rep", F.lit(1).cast("long").alias("n_links"))
-    counted = met.mapInArrow(run, "rep long, n_links long").unionByName(one)
-    many = stage(members.filter(f"size > {BLOCK}"), "omh-many")
-    if many.isEmpty():
-        return counted
-    settled = stage(_settled(many, said, similarity), "omh-settled")
-    aligned = links(said, settled.filter("b IS NOT NULL").select("a", "b"), similarity)
-    ends = aligned.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n_links"))
-    proven = settled.filter("b IS NULL").select(F.col("a").alias("rep"), F.col("n").alias("n_links"))
-    return counted.unionByName(proven.unionByName(ends).groupBy("rep").agg(F.sum("n_links").alias("n_links")))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, class: the smallest node of its component, for all nodes of the edges (a, b).
 
@@ -421,37 +380,36 @@ def joined_classes(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return stage(known.join(to, "class", "left").select("node", F.coalesce("root", "class").alias("class")), "omh-found")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES, counted: bool = True) -> DataFrame:
-    """The class of every document: doc (key), class (key of its first document), n_links (of its text; null if not ``counted``).
+def extended(docs: DataFrame, labels: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The classes with those of the pairs (a, b) that align."""
+    more = stage(links(docs, stage(pairs, "omh-open"), similarity).select("a", "b"), "omh-links")
+    return labels if more.isEmpty() else joined_classes(labels, more)
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES) -> DataFrame:
+    """The class of every document whose text has words: doc (key), class (key of its first document).
 
     See ``near_duplicates`` for the cases of empty and repeated rows.
     """
-    found = stage(sketched(docs, n), "omh-sketches")
-    reps = found.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"))
-    reps = stage(reps, "omh-texts")
-    met = stage(buckets(reps.select("rep", "n_words", "sketch")), "omh-met")
-    said = stage(wanted_texts(docs, met), "omh-said")
-    labels = components(links(said, candidates(met, similarity), similarity))
-    crossed = stage(links(said, crossings(met, labels, said, similarity), similarity).select("a", "b"), "omh-links")
-    if not crossed.isEmpty():
-        labels = joined_classes(labels, crossed)
-    labels = labels.withColumnRenamed("node", "rep")
-    named = reps.select("d1", "d2", "rep").join(labels, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    if counted:
-        members = labels.join(labels.groupBy("class").agg(F.count("*").alias("size")), "class")
-        degree = degrees(stage(members, "omh-members"), said, similarity)
-        named = named.join(degree, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    else:
-        named = named.withColumn("n_links", F.lit(None).cast("long"))
-    named = stage(named.select("d1", "d2", "class", "n_links"), "omh-classes")
-    return found.select("doc", "d1", "d2").join(named, ["d1", "d2"]).select("doc", "class", "n_links").distinct()
+    with scratch(docs.sparkSession):
+        found = sketched(docs, n).groupBy("d1", "d2").agg(
+            F.min("doc").alias("rep"), F.first("n_words").alias("n_words"), F.first("sketch").alias("sketch"), F.first("bag").alias("bag")
+        )
+        members = stage(found, "omh-texts")
+        met = stage(buckets(members), "omh-met")
+        pairs = stage(likely(candidates(met, similarity), members, similarity), "omh-pairs")
+        labels = components(links(docs, nearest(pairs), similarity))
+        labels = extended(docs, labels, apart(pairs, labels), similarity)
+        labels = extended(docs, labels, crossings(met, labels, members, similarity), similarity)
+        named = members.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+        named = stage(named.select("d1", "d2", F.coalesce("class", "rep").alias("class")), "omh-classes", keep=True)
+    return digested(docs).join(named, ["d1", "d2"]).select("doc", "class").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES) -> DataFrame:
-    """Class of every document: doc_id, class_id (smallest doc_id of the class), n_links.
+    """Class of every document: doc_id, class_id (smallest doc_id of the class).
 
-    n_links counts the different texts of the class that the document's text
-    is linked to. Words are lower case; punctuation does not count. A text without
+    Words are lower case; punctuation does not count. A text without
     words (null, empty) is like no other and is its own class. Rows with one
     doc_id are one document and give one row; a null doc_id ranks first; an
     empty table gives no rows; other columns are ignored.
@@ -459,13 +417,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = SK
     found = classes(docs, similarity, n)
     ids = texts(docs).select(doc_key().alias("doc")).distinct()
     name = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    out = ids.join(found, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out.select(name("doc").alias("doc_id"), name("class").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
+    out = ids.join(found, "doc", "left").select("doc", F.coalesce("class", "doc").alias("class"))
+    return out.select(name("doc").alias("doc_id"), name("class").alias("class_id"))
 
 
 def first_rows(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that are the first of their class, with their own columns; texts without words stay."""
-    gone = classes(docs, similarity, counted=False).filter("doc <> class").select("doc")
+    gone = classes(docs, similarity).filter("doc <> class").select("doc")
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
     return docs.join(gone, key == gone["doc"], "left_anti")
 

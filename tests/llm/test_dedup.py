@@ -132,16 +132,13 @@ def test_near_duplicates_are_brute_force(spark):
             i = root[i]
         return i
 
-    degree = defaultdict(set)
     for i in range(len(docs)):
         for j in range(i):
             if abs(len(words[i]) - len(words[j])) < 20 and distance(words[i], words[j]) <= 0.2 * max(len(words[i]), len(words[j])) + 1e-9:
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-                degree[i].add(j)
     rows = order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in rows} == {i: find(i) for i in range(len(docs))}
-    assert all((r.n_links > 0) == bool({j for j in degree[r.doc_id] if words[j] != words[r.doc_id]} or any(r.doc_id in degree[k] and words[k] != words[r.doc_id] for k in degree)) for r in rows)
 
 
 def test_components(spark):
