@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from cohortlab.models.mllib import FittedMllib
-from cohortlab.session import shared_dir
+from cohortlab.models.boosting import FittedBoosting
+from cohortlab.models.histograms import array_sum
 
-MAX_NODES = 1_000_000
+#: Features on one path at most; a leaf's table has a row for each of their subsets.
+MOST_FEATURES = 14
 
 
 def linear_attribution(
@@ -31,108 +32,120 @@ def linear_attribution(
 
 @dataclass(frozen=True)
 class Leaf:
-    """A leaf as its value and, per feature on its path, the interval
-    ``low < x <= high`` with the share of training rows that follow it."""
+    """A leaf as its value and, per feature on its path, the interval ``low <= x < high``."""
 
     value: float
     features: tuple[int, ...]
     low: tuple[float, ...]
     high: tuple[float, ...]
-    cover: tuple[float, ...]
 
 
-def tree_leaves(fitted: FittedMllib, df: DataFrame) -> list[Leaf]:
-    """All leaves of a boosted model, values on the log-odds scale.
-
-    Reads the node table MLlib saves. Its size depends on rounds and depth
-    only, not on the data.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/trees-{uuid.uuid4().hex}"
-    fitted.model.write().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.rawCount", "nodeData.leftChild",
-        "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    )
-    rows = nodes.limit(MAX_NODES + 1).collect()
-    if len(rows) > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} tree nodes")
-    trees: dict[int, dict] = {}
-    for r in rows:
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
-    weights = fitted.model.treeWeights
-    return [leaf for t, table in sorted(trees.items()) for leaf in _paths(table, 2.0 * weights[t])]
-
-
-def _paths(nodes: Mapping, weight: float) -> Iterator[Leaf]:
-    """Walk one tree; a feature met twice narrows its interval and multiplies its share."""
-    todo = [(0, {})]
-    while todo:
-        at, path = todo.pop()
-        node = nodes[at]
-        if node["leftChild"] < 0:
-            order = tuple(path)
-            yield Leaf(
-                weight * node["prediction"], order, *(tuple(path[f][i] for f in order) for i in range(3))
-            )
-            continue
-        f, t = node["featureIndex"], node["threshold"]
-        low, high, cover = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, a, b in ((node["leftChild"], low, min(high, t)), (node["rightChild"], max(low, t), high)):
-            share = nodes[child]["rawCount"] / node["rawCount"]
-            todo.append((child, {**path, f: (a, b, cover * share)}))
-
-
-def shapley(leaves: Sequence[Leaf], x: np.ndarray) -> tuple[float, np.ndarray]:
-    """(base, attributions): exact Shapley values of a sum of leaves.
-
-    A feature left out of a coalition sends a row to both children in
-    proportion to their training rows (Lundberg et al., 2018). In one leaf a
-    coalition is a product over the path's features, so summing over all
-    coalitions of one size is a polynomial product.
+def tree_leaves(fitted: FittedBoosting) -> list[Leaf]:
+    """All leaves of a boosted model, values on the log-odds scale. A feature met twice on a path narrows its interval."""
+    out = []
+    for tree in fitted.trees:
+        todo = [(0, {})]
+        while todo:
+            at, path = todo.pop()
+            node = tree.nodes[at]
+            if node.feature < 0:
+                out.append(Leaf(node.value, tuple(path), tuple(a for a, _ in path.values()), tuple(b for _, b in path.values())))
+                continue
+            low, high = path.get(node.feature, (-np.inf, np.inf))
+            todo.append((node.left, {**path, node.feature: (low, min(high, node.threshold))}))
+            todo.append((node.right, {**path, node.feature: (max(low, node.threshold), high)}))
+    wide = max((len(leaf.features) for leaf in out), default=0)
+    if wide > MOST_FEATURES:
+        raise ValueError(f"a path of {wide} features; {MOST_FEATURES} at most can be explained")
+    return out
+
+
+def patterns(leaf: Leaf, x: np.ndarray) -> np.ndarray:
+    """Per row, the features of the path whose interval holds it, as bits."""
+    bits = np.zeros(len(x), np.int64)
+    for j, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+        bits |= ((x[:, f] >= low) & (x[:, f] < high)).astype(np.int64) << j
+    return bits
+
+
+def pattern_table(leaf: Leaf, count: np.ndarray) -> np.ndarray:
+    """Attributions of the leaf's value to its features, for every pattern of an explained row.
+
+    ``count``: background rows by pattern. A coalition takes its features from
+    the explained row and the others from a background row (Lundberg et al.
+    2020); it ends in the leaf exactly if it holds all features that only the explained row
+    fulfils and none that only the background row does. So a background row adds
+    a!(b-1)!/(a+b)!-like weights that depend on the sizes of these two sets only.
     """
-    phi, base = np.zeros(x.shape), 0.0
+    m = len(leaf.features)
+    bits = np.arange(1 << m)
+    size = np.array([bin(b).count("1") for b in bits])
+    fact = np.array([factorial(i) for i in range(m + 1)], float)
+    table, total = np.zeros((1 << m, m)), count.sum()
+    for z in np.flatnonzero(count):
+        mine, other = bits & ~z, z & ~bits
+        reach = (bits | z) == (1 << m) - 1
+        a, b = size[mine], size[other]
+        share = np.where(reach, leaf.value * count[z] / total, 0.0) / fact[a + b]
+        more, less = share * fact[np.maximum(a - 1, 0)] * fact[b], share * fact[a] * fact[np.maximum(b - 1, 0)]
+        for j in range(m):
+            table[:, j] += np.where(mine >> j & 1, more, 0.0) - np.where(other >> j & 1, less, 0.0)
+    return table
+
+
+def background_counts(leaves: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
+    """Rows by pattern, for all leaves end to end."""
+    return np.concatenate([np.bincount(patterns(leaf, x), minlength=1 << len(leaf.features)) for leaf in leaves]).astype(float)
+
+
+def explainer(leaves: Sequence[Leaf], counts: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(base, tables): the mean score of the background rows, and the table of each leaf."""
+    base, tables, at = 0.0, [], 0
     for leaf in leaves:
-        m = len(leaf.features)
-        base += leaf.value * float(np.prod(leaf.cover))
-        if not m:
-            continue
-        inside = [
-            ((x[:, f] > lo) & (x[:, f] <= hi)).astype(float)
-            for f, lo, hi in zip(leaf.features, leaf.low, leaf.high)
-        ]
-        for i, f in enumerate(leaf.features):
-            sizes = [np.ones(len(x))]  # sizes[s]: summed products of coalitions with s members
-            for j in range(m):
-                if j == i:
-                    continue
-                out, with_j = leaf.cover[j], inside[j]
-                grown = [s * out for s in sizes] + [np.zeros(len(x))]
-                for s, value in enumerate(sizes):
-                    grown[s + 1] = grown[s + 1] + value * with_j
-                sizes = grown
-            total = sum(
-                value * (factorial(s) * factorial(m - 1 - s) / factorial(m)) for s, value in enumerate(sizes)
-            )
-            phi[:, f] += leaf.value * total * (inside[i] - leaf.cover[i])
-    return base, phi
-
-
-def tree_attribution(fitted: FittedMllib, df: DataFrame, row_id: str) -> DataFrame:
-    """(row, base, attributions array): base plus the attributions is the
-    model's log-odds. Rows stay in their partitions; the leaves travel with the task."""
-    leaves = tree_leaves(fitted, df)
-    names = list(fitted.features)
-
-    def explain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            base, phi = shapley(leaves, frame[names].to_numpy(dtype=float))
-            yield pd.DataFrame({row_id: frame[row_id], "base": base, "attributions": list(phi)})
-
-    table = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in names])
-    kind = dict(table.dtypes)[row_id]
-    return table.mapInPandas(explain, f"`{row_id}` {kind}, base double, attributions array<double>")
+        own = counts[at : at + (1 << len(leaf.features))]
+        at += len(own)
+        base += leaf.value * own[-1] / own.sum()
+        tables.append(pattern_table(leaf, own))
+    return base, tables
+
+
+def shapley(leaves: Sequence[Leaf], tables: Sequence[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Attributions of every row: one lookup per leaf."""
+    phi = np.zeros((x.shape[1], len(x)))
+    for leaf, table in zip(leaves, tables):
+        found = table[patterns(leaf, x)].T
+        for j, f in enumerate(leaf.features):
+            phi[f] += found[j]
+    return phi.T
+
+
+def tree_attribution(fitted: FittedBoosting, df: DataFrame, row_id: str, background: DataFrame | None = None) -> DataFrame:
+    """(row, base, attributions array): base plus the attributions is the model's log-odds.
+
+    Features left out of a coalition take the values of the rows of
+    ``background`` (the explained rows themselves, if not given), all of which are counted, by
+    pattern and leaf, in one pass. Then every row looks its attributions up;
+    rows stay in their partitions, the tables travel with the task.
+    """
+    leaves, names = tree_leaves(fitted), list(fitted.features)
+    values = lambda t, *more: t.select(*more, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    size = sum(1 << len(leaf.features) for leaf in leaves)
+    matrix = lambda batch: np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(len(names))])
+    counts = array_sum(values(df if background is None else background), lambda batch: background_counts(leaves, matrix(batch)), size)
+    if not counts.any():
+        raise ValueError("no background rows")
+    base, tables = explainer(leaves, counts)
+    start = fitted.start + base
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phi = shapley(leaves, tables, matrix(batch))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, max(phi.shape[1], 1)), pa.int32()), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(phi), start)), rows], names=[row_id, "base", "attributions"])
+
+    table = values(df, row_id)
+    schema = table.select(row_id).schema.add("base", "double").add("attributions", ArrayType(DoubleType()))
+    return table.mapInArrow(explain, schema)
 
 
 def attribution_long(explained: DataFrame, row_id: str, features: Sequence[str]) -> DataFrame:

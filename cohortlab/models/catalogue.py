@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlab.models import mllib
 from cohortlab.models.adaboost import AdaBoost
 from cohortlab.models.base import Model
+from cohortlab.models.boosting import BoostedTrees, by_leaf, by_level, symmetric
 from cohortlab.models.gaussian_nb import GaussianNB
 from cohortlab.models.kernel_svm import KernelSVM
 from cohortlab.models.knn import KNN
@@ -29,14 +30,17 @@ class Entry:
     iterations: int = 8
 
 
+def _boosted(shape):
+    return lambda params, seed: BoostedTrees(shape, params, seed)
+
+
 def _mllib(build):
     return lambda params, seed: MllibModel(build, params, seed)
 
 
 # Names, default parameters and search grids. Left out are thread
 # counts, verbosity and solver names, and what MLlib has no counterpart for:
-# min_samples_split, l2_leaf_reg, and the MLP's alpha, learning rate and early
-# stopping.
+# min_samples_split, and the MLP's alpha, learning rate and early stopping.
 CATALOGUE: dict[str, Entry] = {
     "logistic_regression": Entry(
         "Logistic Regression", LogisticRegression,
@@ -51,16 +55,16 @@ CATALOGUE: dict[str, Entry] = {
         "equivalent",
     ),
     "xgboost": Entry(
-        "XGBoost", _mllib(mllib.xgboost),
+        "XGBoost", _boosted(by_level),
         {"n_estimators": 120, "max_depth": 4, "learning_rate": 0.1, "subsample": 1.0, "colsample_bytree": 1.0},
         {
             "n_estimators": [80, 120, 180, 240], "max_depth": [3, 4, 5, 6], "learning_rate": [0.03, 0.05, 0.1, 0.2],
             "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0],
         },
-        "approximate",
+        "equivalent",
     ),
     "lightgbm": Entry(
-        "LightGBM", _mllib(mllib.lightgbm),
+        "LightGBM", _boosted(by_leaf),
         {
             "n_estimators": 200, "learning_rate": 0.05, "num_leaves": 31, "max_depth": -1, "min_child_samples": 20,
             "subsample": 1.0, "colsample_bytree": 1.0,
@@ -70,7 +74,7 @@ CATALOGUE: dict[str, Entry] = {
             "max_depth": [-1, 4, 6, 8], "min_child_samples": [10, 20, 30], "subsample": [0.8, 1.0],
             "colsample_bytree": [0.8, 1.0],
         },
-        "approximate",
+        "equivalent",
     ),
     "svm": Entry(
         "Support Vector Machine (SVM)", KernelSVM,
@@ -103,9 +107,12 @@ CATALOGUE: dict[str, Entry] = {
         "exact", iterations=5,
     ),
     "catboost": Entry(
-        "CatBoost", _mllib(mllib.catboost),
-        {"iterations": 200, "depth": 6, "learning_rate": 0.05},
-        {"iterations": [120, 200, 320], "depth": [4, 6, 8], "learning_rate": [0.03, 0.05, 0.1]},
+        "CatBoost", _boosted(symmetric),
+        {"iterations": 200, "depth": 6, "learning_rate": 0.05, "l2_leaf_reg": 3.0},
+        {
+            "iterations": [120, 200, 320], "depth": [4, 6, 8], "learning_rate": [0.03, 0.05, 0.1],
+            "l2_leaf_reg": [1.0, 3.0, 5.0, 7.0],
+        },
         "approximate",
     ),
     "adaboost": Entry(

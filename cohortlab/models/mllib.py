@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
@@ -16,12 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.models.base import with_probability
-from cohortlab.session import shared_dir
 
 VECTOR = "_features"
 DEEPEST = 30  # MLlib's limit, for trees without one
 BINS = 256
-CHECKPOINT_EVERY = 10
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
@@ -37,10 +34,6 @@ class FittedMllib:
         scored = with_probability(self.model.transform(assembler(self.features).transform(df)))
         return scored.select(*df.columns, F.col("prediction").cast("int"), "probability")
 
-    @property
-    def importances(self) -> list[float]:
-        return [float(v) for v in self.model.featureImportances.toArray()]
-
 
 @dataclass(frozen=True)
 class MllibModel:
@@ -51,7 +44,6 @@ class MllibModel:
     seed: int
 
     def fit(self, train: DataFrame, features: Sequence[str], label: str, row_id: str = "row_id") -> FittedMllib:
-        shared_dir(train.sparkSession)  # boosted trees cut their lineage there
         table = assembler(features).transform(train).select(F.col(label).cast("double").alias("label"), VECTOR)
         estimator = self.build(self.params, self.seed, len(features))
         return FittedMllib(estimator.fit(table), tuple(features))
@@ -72,32 +64,6 @@ def random_forest(p, seed, width):
     )
 
 
-def _boosted(rounds, depth, rate, seed, leaf=1, rows=1.0, columns=1.0):
-    return GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, subsamplingRate=rows,
-        featureSubsetStrategy="all" if columns >= 1.0 else str(columns), checkpointInterval=CHECKPOINT_EVERY,
-        seed=seed, **_columns(),
-    )
-
-
-def xgboost(p, seed, width):
-    return _boosted(p["n_estimators"], _depth(p["max_depth"]), p["learning_rate"], seed,
-                    rows=p["subsample"], columns=p["colsample_bytree"])
-
-
-def lightgbm(p, seed, width):
-    # a depth-limited tree with about as many leaves
-    depth = max(1, p["num_leaves"].bit_length())
-    if p["max_depth"] > 0:
-        depth = min(depth, p["max_depth"])
-    return _boosted(p["n_estimators"], depth, p["learning_rate"], seed, leaf=p["min_child_samples"],
-                    rows=p["subsample"], columns=p["colsample_bytree"])
-
-
-def catboost(p, seed, width):
-    return _boosted(p["iterations"], p["depth"], p["learning_rate"], seed)
-
-
 def mlp(p, seed, width):
     return MultilayerPerceptronClassifier(
         layers=[width, *p["hidden_layer_sizes"], 2], maxIter=p["max_iter"], seed=seed, **_columns()

@@ -130,22 +130,33 @@ def test_tree_attributions_add_up(spark, sides):
 
 
 def test_shapley_equals_the_definition():
-    """One tree of two splits, all coalitions spelled out."""
-    leaves = [
-        attribution.Leaf(1.0, (0,), (-np.inf,), (0.5,), (0.25,)),
-        attribution.Leaf(2.0, (0, 1), (0.5, -np.inf), (np.inf, 3.0), (0.75, 0.4)),
-        attribution.Leaf(5.0, (0, 1), (0.5, 3.0), (np.inf, np.inf), (0.75, 0.6)),
-    ]
-    below = lambda one: 1.0 if one else 0.4 * 2 + 0.6 * 5
-    known = {  # value of each coalition for the row (0.9, 4.0)
-        frozenset(): 0.25 * 1 + 0.75 * (0.4 * 2 + 0.6 * 5), frozenset({0}): below(False),
-        frozenset({1}): 0.25 * 1 + 0.75 * 5, frozenset({0, 1}): 5.0,
-    }
-    first = 0.5 * (known[frozenset({0})] - known[frozenset()]) + 0.5 * (known[frozenset({0, 1})] - known[frozenset({1})])
-    second = 0.5 * (known[frozenset({1})] - known[frozenset()]) + 0.5 * (known[frozenset({0, 1})] - known[frozenset({0})])
-    base, phi = attribution.shapley(leaves, np.array([[0.9, 4.0]]))
-    assert base == pytest.approx(known[frozenset()])
-    assert phi[0] == pytest.approx([first, second])
+    """Random leaves, rows and background, all coalitions spelled out."""
+    rand = np.random.default_rng(3)
+    leaves = []
+    for _ in range(40):
+        some = tuple(rand.permutation(4)[: rand.integers(0, 5)].tolist())
+        low = tuple(float(v) if v > -0.5 else -np.inf for v in rand.uniform(-1, 0.4, len(some)))
+        leaves.append(attribution.Leaf(float(rand.normal()), some, low, tuple(a + 0.8 if np.isfinite(a) else 0.3 for a in low)))
+    x, z = rand.uniform(-1, 1, (12, 4)), rand.uniform(-1, 1, (9, 4))
+
+    def score(rows):
+        return sum(leaf.value * (attribution.patterns(leaf, rows) == (1 << len(leaf.features)) - 1) for leaf in leaves)
+
+    def value(row, members):  # mean score with the members' features of the row, the others of the background
+        return score(np.where(np.isin(np.arange(4), members), row, z)).mean()
+
+    base, tables = attribution.explainer(leaves, attribution.background_counts(leaves, z))
+    phi = attribution.shapley(leaves, tables, x)
+    assert base == pytest.approx(score(z).mean())
+    for row, got in zip(x, phi):
+        for j in range(4):
+            others = [k for k in range(4) if k != j]
+            want = 0.0
+            for bits in range(8):
+                members = [k for i, k in enumerate(others) if bits >> i & 1]
+                weight = math.factorial(len(members)) * math.factorial(3 - len(members)) / math.factorial(4)
+                want += weight * (value(row, [*members, j]) - value(row, members))
+            assert got[j] == pytest.approx(want, abs=1e-12)
 
 
 def test_linear_attributions(spark):
