@@ -30,15 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortlab.llm.common import longs, packed, slices, table, texts
+from cohortlab.llm.common import SLICE_BYTES, longs, packed, slices, table, texts
 from cohortlab.llm.firsts import doc_key
 from cohortlab.llm.words import mix, word_hashes
 from cohortlab.session import scratch, stage
 
-#: Words of a k-mer, sketches of a text, and the similarity of a link.
-K, SKETCHES, SIMILARITY = 2, 64, 0.8
-#: Texts of a block that a task compares with another one; counters of a bag of words.
-BLOCK, BAG = 4096, 256
+#: Words of a k-mer, sketches of a text of up to SHORT words (short texts have few k-mers in common) and of a longer one, and the similarity of a link.
+K, SKETCHES, SHORT, LONG_SKETCHES, SIMILARITY = 2, 64, 16, 40, 0.8
+#: Texts of a block that a task compares with another one.
+BLOCK = 4096
+#: Counters of a bag of words by the words of the text, and of the coarse one that is looked at first.
+BAGS, COARSE = ((1024, 1024), (8192, 4096), (1 << 62, 16384)), 64
 _PLACE = (1 << 24) - 1
 
 
@@ -88,11 +90,34 @@ def sketches(labels: np.ndarray, off: np.ndarray, n: int = SKETCHES) -> np.ndarr
 
 
 def _bags_of(words: np.ndarray, off: np.ndarray) -> pa.Array:
-    """Per text, how often its words fall on each of BAG counters by their hashes; 255 stands for more."""
-    n = len(off) - 1
-    at = np.repeat(np.arange(n), np.diff(off)) * BAG + (words % np.uint64(BAG)).astype(np.int64)
-    bags = np.minimum(np.bincount(at, minlength=n * BAG), 255).astype(np.uint8)
-    return pa.array([x.tobytes() for x in bags.reshape(-1, BAG)], pa.binary())
+    """Per text, how often its words fall on each counter by their hashes; 255 stands for more. Longer texts have more counters."""
+    n, out, least = np.diff(off), [b""] * (len(off) - 1), 0
+    for most, width in BAGS:
+        rows = np.flatnonzero((n >= least) & (n < most))
+        least = most
+        if len(rows):
+            at = np.repeat(np.arange(len(rows)), n[rows]) * width
+            mine = np.concatenate([words[off[i] : off[i + 1]] for i in rows.tolist()])
+            bags = np.bincount(at + (mine % np.uint64(width)).astype(np.int64), minlength=len(rows) * width)
+            for i, bag in zip(rows.tolist(), np.minimum(bags, 255).astype(np.uint8).reshape(-1, width), strict=True):
+                out[i] = bag.tobytes()
+    return pa.array(out, pa.binary())
+
+
+def _folded(bag: np.ndarray, width: int) -> np.ndarray:
+    """Bags (one a row) on fewer counters, as they would have been counted on these."""
+    return np.minimum(bag.reshape(len(bag), -1, width).sum(1, dtype=np.int32), 255).astype(np.int16)
+
+
+def _bags(column: pa.Array) -> list[np.ndarray]:
+    flat, off = packed(column)
+    return [flat[a:b] for a, b in zip(off, off[1:], strict=False)]
+
+
+def _least_edits(more: np.ndarray) -> np.ndarray:
+    """Edits that differences of counts (one pair a row) need: no edit changes more than one word on each side."""
+    new = np.maximum(more, 0).sum(1, dtype=np.int64)
+    return np.maximum(new, new - more.sum(1, dtype=np.int64))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,10 +146,11 @@ def sketched(docs: DataFrame, n: int = SKETCHES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, words, off, d1, d2 in _hashed(batches):
-            found = sketches(*kmers(words, off), n)
-            offsets = pa.array(np.arange(0, found.size + 1, n), pa.int32())
+            found, size = sketches(*kmers(words, off), n), np.where(np.diff(off) <= SHORT, n, min(n, LONG_SKETCHES))
+            found = found[np.arange(n) < size[:, None]]  # row by row, the first of each
+            offsets = pa.array(np.append(0, np.cumsum(size)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(np.diff(off)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(offsets, pa.array(found.ravel())), _bags_of(words, off)],
+                [doc, pa.array(np.diff(off)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(offsets, pa.array(found)), _bags_of(words, off)],
                 names=["doc", "n_words", "d1", "d2", "sketch", "bag"],
             )
 
@@ -185,9 +211,14 @@ def likely(pairs: DataFrame, members: DataFrame, similarity: float = SIMILARITY)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-            more = _bags(batch.column("bag_b"))[0] - _bags(batch.column("bag_a"))[0]
-            new = np.maximum(more, 0).sum(1, dtype=np.int64)
-            keep = np.maximum(new, new - more.sum(1, dtype=np.int64)) <= (1 - similarity) * n + 1e-9
+            one, two = _bags(batch.column("bag_a")), _bags(batch.column("bag_b"))
+            keep = np.zeros(batch.num_rows, bool)
+            width = np.array([min(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                for part in np.array_split(at, -(-len(at) * w // SLICE_BYTES)):
+                    x, y = (np.concatenate([_folded(b[i][None], w) for i in part.tolist()]) for b in (one, two))
+                    keep[part] = _least_edits(y - x) <= (1 - similarity) * n[part] + 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
@@ -241,7 +272,10 @@ def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity:
                 order = np.argsort(row.field("n_words").to_numpy(zero_copy_only=False), kind="stable")
                 rep, n, kind = (row.field(c).to_numpy(zero_copy_only=False)[order] for c in ("rep", "n_words", "class"))
                 side = m.values.field("side").to_numpy()[order]
-                bag, coarse = (b[order] for b in _bags(row.field("bag")))
+                bags = _bags(row.field("bag"))
+                bags = [bags[i] for i in order.tolist()]
+                bag = np.concatenate([_folded(b[None], BAGS[0][1]) for b in bags])
+                coarse = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int16)
                 reach = np.searchsorted(n, n / similarity + 1e-6, "right")  # longer texts beyond allow no link
                 found = []
                 for i in range(len(rep) - 1):
@@ -251,7 +285,11 @@ def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity:
                         ask &= side[i + 1 : last] != side[i]
                     at = i + 1 + np.flatnonzero(ask)
                     if len(at):
-                        at = _allowed_by_bags(bag, coarse, i, at, (1 - similarity) * n[at] + 1e-9)
+                        allowed = (1 - similarity) * n[at] + 1e-9
+                        for counts in (coarse, bag):
+                            ok = _least_edits(counts[at] - counts[i]) <= allowed
+                            at, allowed = at[ok], allowed[ok]
+                        at = np.array([k for k, most in zip(at.tolist(), allowed.tolist(), strict=True) if _may_align(bags[i], bags[k], most)], np.int64)
                         found.append(np.column_stack([np.full(len(at), rep[i]), rep[at]]))
                 if found:
                     pairs = np.sort(np.concatenate(found), axis=1)
@@ -290,12 +328,21 @@ def aligned_within(x: list[int], y: list[int], allowed: int) -> int | None:
     return None
 
 
+def _may_align(one: np.ndarray, two: np.ndarray, allowed: float) -> bool:
+    """Whether the counts of two bags leave the allowed edits open, on as many counters as both have."""
+    width = min(len(one), len(two))
+    if width == BAGS[0][1]:
+        return True  # looked at already
+    return _least_edits(_folded(two[None], width) - _folded(one[None], width))[0] <= allowed
+
+
 def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of the pairs (a, b) of document keys, those whose texts align: a, b, distance, similarity."""
-    both = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "a", "b")
-    sides = texts(docs).select(doc_key().alias("rep"), "text").join(both, "rep")
-    side = lambda c: F.when(F.col("rep") == F.col(c), F.col("text"))
-    met = sides.groupBy("a", "b").agg(F.max(side("a")).alias("x"), F.max(side("b")).alias("y"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    said = texts(docs).select(doc_key().alias("rep"), "text").join(wanted, "rep", "left_semi")
+    said = said.groupBy("rep").agg(F.max("text").alias("text"))
+    side = lambda c, name: said.select(F.col("rep").alias(c), F.col("text").alias(name))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "x"):
@@ -315,21 +362,6 @@ def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
     return met.mapInArrow(run, "a long, b long, distance long, similarity double")
 
 
-def _allowed_by_bags(bag: np.ndarray, coarse: np.ndarray, one: int, others: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """Those of ``others`` whose counts of words do not rule the allowed edits out, by a few sums of the counts first."""
-    for counts in (coarse, bag):
-        more = counts[others] - counts[one]
-        new = np.maximum(more, 0).sum(1, dtype=np.int64)
-        keep = np.maximum(new, new - more.sum(1, dtype=np.int64)) <= allowed
-        others, allowed = others[keep], allowed[keep]
-    return others
-
-
-def _bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    bag = packed(column)[0].reshape(-1, BAG).astype(np.int16)
-    return bag, bag.reshape(len(bag), -1, 16).sum(2, dtype=np.int16)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, class: the smallest node of its component, for all nodes of the edges (a, b).
 
