@@ -134,16 +134,22 @@ class FittedBoosting:
         return [m / sum(mean) if sum(mean) else 0.0 for m in mean]
 
     def node_rows(self) -> list[tuple]:
-        """tree, node, depth, feature (null: leaf), threshold, left, right, gain, gradient, curvature, rows, value."""
-        return [
-            (t, i, n.depth, self.features[n.feature] if n.feature >= 0 else None, None if n.feature < 0 else n.threshold,
-             n.left, n.right, n.gain, float(n.sums[G]), float(n.sums[H]), int(n.sums[N]), n.value)
-            for t, tree in enumerate(self.trees) for i, n in enumerate(tree.nodes)
-        ]
+        """tree, path (0: left, 1: right), depth, feature (null: leaf), threshold, gain, gradient, curvature, rows, value."""
+        out = []
+        for t, tree in enumerate(self.trees):
+            todo = [(0, "")]
+            while todo:
+                at, path = todo.pop()
+                n = tree.nodes[at]
+                name, threshold = (self.features[n.feature], n.threshold) if n.feature >= 0 else (None, None)
+                out.append((t, path, n.depth, name, threshold, n.gain, float(n.sums[G]), float(n.sums[H]), int(n.sums[N]), n.value))
+                if n.feature >= 0:
+                    todo += [(n.left, path + "0"), (n.right, path + "1")]
+        return out
 
 
 NODE_SCHEMA = (
-    "tree int, node int, depth int, feature string, threshold double, left int, right int, gain double,"
+    "tree int, path string, depth int, feature string, threshold double, gain double,"
     " gradient double, curvature double, rows long, value double"
 )
 
@@ -334,7 +340,7 @@ class Grower:
                 return
             column, border = divmod(int(total.argmax()), total.shape[1])
             for node in level:
-                self.split(node, float(total.max()) / len(level), column, border)
+                self.split(node, float(total.max()), column, border)  # the gain of the whole level
             parents, level = level, [c for p in level for c in (self.tree.nodes[p].left, self.tree.nodes[p].right)]
             if depth + 1 < (self.shape.max_depth or 6):
                 self.count_children(parents)

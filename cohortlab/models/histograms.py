@@ -24,12 +24,35 @@ BINS, RANK_ERROR, FAN_IN = 256, 1e-3, 64
 def cuts(train: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
     """Ascending borders per feature; a value's bin is the number of borders up to it.
 
-    Borders are values: all but the smallest where there are few, else
-    quantiles and always the largest, so that a rare 1 in a 0/1 column keeps its own bin.
+    Of a feature with at most ``bins`` values, all but the smallest are borders; else quantiles, and always the largest.
     """
+    few = _values(train, features, bins)
+    many = [c for c in features if c not in few]
     steps = [i / (bins - 1) for i in range(bins)]
-    found = train.approxQuantile(list(features), steps, RANK_ERROR)
-    return [np.array(sorted({v for v in q if v > q[0]})) for q in found]
+    found = dict(zip(many, train.approxQuantile(many, steps, RANK_ERROR) if many else []))
+    return [np.array(sorted(few[c])[1:] if c in few else sorted({v for v in found[c] if v > found[c][0]})) for c in features]
+
+
+def _values(train: DataFrame, features: Sequence[str], most: int) -> dict[str, list[float]]:
+    """All values of the features that have at most ``most``. A task gives up on a feature at the first value too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [np.zeros(0) for _ in features]
+        for batch in batches:
+            for i in range(len(features)):
+                if len(seen[i]) <= most:
+                    seen[i] = np.unique(np.concatenate([seen[i], batch.column(i).drop_null().to_numpy()]))[: most + 1]
+        place = np.concatenate([np.full(1 if len(v) > most else len(v), i) for i, v in enumerate(seen)])
+        value = np.concatenate([np.array([np.nan]) if len(v) > most else v for v in seen])
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(value)], names=["place", "value"])
+
+    found = train.select(*features).mapInArrow(run, "place int, value double").distinct()
+    sizes = found.groupBy("place").agg(F.count("*").alias("n"), F.bool_or(F.isnan("value")).alias("over"))
+    small = [r["place"] for r in sizes.collect() if r["n"] <= most and not r["over"]]
+    out: dict[str, list[float]] = {features[i]: [] for i in small}
+    for r in found.filter(F.col("place").isin(small)).collect() if small else []:
+        out[features[r["place"]]].append(r["value"])
+    return out
 
 
 @dataclass(frozen=True)

@@ -61,6 +61,18 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+CODES = ("bal", "price", "month", "prio", "near")
+
+
+def order_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order in coarse steps, so that each feature has few values."""
+    return orders(spark, sf).select(
+        "row_id", F.floor(F.round("acctbal", 2) / 100).cast("double").alias("bal"), F.floor(F.round("totalprice", 2) / 4000).cast("double").alias("price"),
+        F.floor(F.col("order_days") / 30).cast("double").alias("month"), F.col("prio").cast("double").alias("prio"),
+        F.col("near").cast("double").alias("near"), "label",
+    )
+
+
 def orders_by_cohort(spark: SparkSession, sf: str) -> DataFrame:
     return assign_cohort(orders(spark, sf), "acctbal", ORDERS.cutoffs, COHORTS, "cohort")
 

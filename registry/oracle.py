@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from registry.fixtures import LINE_COLUMNS, MODELS, STRATEGIES
+from registry.boosting_sql import Growth
+from registry.fixtures import CODES, LINE_COLUMNS, MODELS, STRATEGIES
 
 SEED = 42
 FEATURES = ("acctbal", "totalprice", "order_days", "prio_2", "prio_3", "prio_4", "near")
@@ -562,10 +563,13 @@ ORACLE["tune_nb"] = with_(
 ) + f"SELECT CAST(row_number() OVER (ORDER BY roc_auc DESC) AS INTEGER) AS position, var_smoothing, {r('roc_auc')} FROM auc"
 
 
-# ---- invariants of fitted models, row sets and sides -----------------------------
+# ---- invariants of fitted models -------------------------------------------------
 
-for _name in ("logreg", "dt", "rf", "gbt", "leafwise", "symmetric", "mlp", "svm", "adaboost"):
-    ORACLE[f"score_{_name}"] = with_(*NB) + "SELECT row_id, label, TRUE AS valid FROM te"
+_SEARCHED = ("decision_tree", "random_forest", "xgboost", "lightgbm", "catboost", "mlp", "svm", "adaboost")
+ORACLE["fit_checks"] = " UNION ALL ".join(
+    [f"SELECT '{k}' AS model_key, TRUE AS below_prior, TRUE AS ranks, TRUE AS follows, {'TRUE' if k == 'decision_tree' else 'NULL::BOOLEAN'} AS shares" for k in _SEARCHED]
+    + ["SELECT 'logistic_regression', TRUE, NULL, TRUE, NULL"]
+)
 ORACLE["logreg_gradient"] = " UNION ALL ".join(
     f"SELECT '{c}' AS feature, TRUE AS flat" for c in (*FEATURES, "intercept")
 )
@@ -589,3 +593,59 @@ ORACLE["refit_flipped"] = with_(
 )
 ORACLE["clean_raw_headers"] = with_(ORD) + "SELECT DISTINCT acctbal, totalprice, order_days, prio, near, label FROM ord"
 ORACLE["tree_attribution_sums"] = with_(*NB) + "SELECT row_id, TRUE AS adds_up FROM te"
+
+
+# ---- boosted trees grown again ---------------------------------------------------
+
+_codes = """codes AS (SELECT row_id, floor(round(acctbal, 2) / 100) AS bal, floor(round(totalprice, 2) / 4000) AS price,
+  floor(order_days / 30) AS month, CAST(prio AS DOUBLE) AS prio, CAST(near AS DOUBLE) AS near, CAST(label AS DOUBLE) AS y FROM ord)"""
+_grown = [
+    Growth("level", "codes", CODES, "level", 3, 0.1, 1.0, 1, 1.0, True), Growth("leaf", "codes", CODES, "leaf", 5, 0.05, 0.0, 20, 1e-3, True),
+    Growth("symmetric", "codes", CODES, "symmetric", 3, 0.05, 3.0, 1, 0.0, False),
+]
+for _g in _grown:
+    for _t in range(2):
+        _g.tree(_t)
+ORACLE["boosted_nodes"] = with_(ORD, _codes, *[c.replace(" AS (", " AS MATERIALIZED (", 1) for g in _grown for c in g.parts]) + f"""
+  SELECT model AS growth, CAST(tree AS INTEGER) AS tree, node AS path, CAST(depth AS INTEGER) AS depth, feature, threshold,
+         {r('gain')}, {r('g', 'gradient', 4)}, {r('h', 'curvature', 4)}, {big('n', 'rows')}, {r('value')}
+  FROM ({" UNION ALL ".join(n for g in _grown for n in g.nodes)})"""
+
+# Mean gain per feature over the two trees grown by level.
+_gains = f"""level_nodes AS ({" UNION ALL ".join(_grown[0].nodes)}),
+  mean AS (SELECT feature, avg(gain) AS gain FROM level_nodes WHERE feature IS NOT NULL GROUP BY feature),
+  share AS (SELECT feature, gain / (SELECT sum(gain) FROM mean) AS importance FROM mean),
+  best AS (SELECT *, row_number() OVER (ORDER BY importance DESC) - 1 AS position FROM share QUALIFY position < 3)"""
+_level = with_(ORD, _codes, *[c.replace(" AS (", " AS MATERIALIZED (", 1) for c in _grown[0].parts], _gains)
+ORACLE["feature_importance_gains"] = _level + f"SELECT 'overall' AS scope, TRUE AS applied, 'top_k_selected' AS reason, CAST(position AS INTEGER) AS position, feature, {r('importance')} FROM best"
+ORACLE["importance_panels"] = _level + f"SELECT 'overall' AS scope, CAST(row_number() OVER (ORDER BY importance) AS INTEGER) AS place, feature, {r('importance')} FROM best"
+# Keys and names of the models, in catalogue order, and the points of their search.
+_models = (
+    ("logistic_regression", "Logistic Regression", 8), ("random_forest", "Random Forest", 8), ("xgboost", "XGBoost", 8), ("lightgbm", "LightGBM", 8),
+    ("svm", "Support Vector Machine (SVM)", 8), ("mlp", "Artificial Neural Network (MLP)", 8), ("knn", "K-Nearest Neighbors (KNN)", 8),
+    ("decision_tree", "Decision Tree", 8), ("naive_bayes", "Naive Bayes", 5), ("catboost", "CatBoost", 8), ("adaboost", "AdaBoost", 8),
+)
+ORACLE["catalogue"] = with_(ORD) + " UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS position, '{k}' AS model_key, '{n}' AS model_name, {t}::INTEGER AS search_iterations, TRUE AS available,"
+    " TRUE AS all_defaults, (SELECT count(*) FROM ord WHERE label = 1) AS rare_rows"
+    for i, (k, n, t) in enumerate(_models)
+)
+ORACLE["params_texts"] = with_(ORD) + """SELECT row_id, 'max_depth=' || label || CASE WHEN near = 1 THEN ', learning_rate=' || near ELSE '' END || ', zone=' || prio AS params,
+  'N/A' AS no_params FROM ord"""
+ORACLE["table_round_trip"] = f"SELECT o_orderkey, o_custkey, o_orderstatus, {r('round(o_totalprice, 2)', 'o_totalprice', 2)} FROM orders"
+_contract = lambda t: f"""SELECT '{t}' AS name,
+  (SELECT string_agg(column_name, ', ' ORDER BY column_index) FROM cols WHERE table_name = '{t}'
+    AND column_name NOT IN ('l_orderkey', 'l_partkey', 'p_partkey', 'n_nationkey', 'event_id')) AS features,
+  (SELECT string_agg(column_name, ', ' ORDER BY column_index) FROM cols WHERE table_name = '{t}' AND column_name <> 'l_quantity'
+    AND regexp_matches(data_type, 'INT|DOUBLE|FLOAT|DECIMAL')) AS numeric,
+  (SELECT coalesce(string_agg(c, ', ' ORDER BY c), '') FROM (VALUES ('l_orderkey'), ('l_quantity'), ('l_discount'), ('p_name')) w(c)
+    WHERE c NOT IN (SELECT column_name FROM cols WHERE table_name = '{t}')) AS missing"""
+ORACLE["column_contracts"] = with_("cols AS (SELECT table_name, column_name, column_index, data_type FROM duckdb_columns())") + " UNION ALL ".join(
+    _contract(t) for t in ("lineitem", "part", "nation", "events")
+)
+ORACLE["smote_minority_of_one"] = with_(
+    CUS, "kept AS (SELECT * FROM cus WHERE label = 0 OR row_id = (SELECT min(row_id) FROM cus WHERE label = 1))",
+    "last AS (SELECT max(row_id) AS last FROM kept)", "slots AS (SELECT unnest(range((SELECT count(*) FROM kept WHERE label = 0) - 1)) AS slot)",
+    f"made AS (SELECT last + 1 + slot AS row_id, {', '.join(f'k.{c}' for c in CUST)}, label FROM slots, last, kept k WHERE label = 1)",
+    f"balanced AS (SELECT row_id, {', '.join(CUST)}, label FROM kept UNION ALL SELECT * FROM made)",
+) + "SELECT row_id, " + ", ".join(r(c) for c in CUST) + ", CAST(label AS INTEGER) AS label, 0::INTEGER AS k_used FROM balanced"

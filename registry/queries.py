@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from cohortlab.functions.text import delta_text, metric_text, params_text
 from cohortlab.models import attribution as att
 from cohortlab.models.base import with_probability
-from cohortlab.models.catalogue import make_model
+from cohortlab.models.boosting import NODE_SCHEMA
+from cohortlab.models.catalogue import CATALOGUE, make_model, models_catalogue
 from cohortlab.operators import clean, compare, importance, metrics, preprocess, profile, sampling
 from cohortlab.operators.allocate import allocate
 from cohortlab.operators.augment import LABELS, resize
@@ -30,7 +31,7 @@ from cohortlab.plans.pipeline import Settings, fill_scores, fit_score, specialis
 from cohortlab.plans.report import report_tables, strategy_document
 from cohortlab.plans.studies import compare_smote, compare_strategies, explain_cohorts, run_variant, variant_result
 from cohortlab.plans.tuning import tune
-from cohortlab.session import shared_dir
+from cohortlab.session import shared_dir, side_by_side, stage
 from cohortlab.sources import tables
 from registry import fixtures as fx
 from registry.fixtures import COHORTS, CUSTOMERS, ORDERS, SEED
@@ -356,14 +357,40 @@ def score_knn(spark, sf):
     return _scores(model.score(test))
 
 
-def _valid(scores: DataFrame, follows: bool = True) -> DataFrame:
-    """Every test row once, and whether its score is a probability that the prediction follows.
+@query
+def fit_checks(spark, sf):
+    """What a wrong model breaks, for each model fitted by search or descent, on its own training rows.
+
+    ``below_prior``: its mean log-loss is below that of the class shares (AdaBoost, whose
+    squashed margins are no shares: its error is not above theirs). ``ranks``: its ROC-AUC is above 0.55.
+    ``follows``: predictions follow the scores. ``shares``: for the decision tree, every
+    score is the share of label 1 among the rows that have it, in at most 2**5 leaves.
+    """
+    train, _ = _sides(spark, sf)
+    train = stage(train, "fit-checks")
+    prior = F.expr("-(avg(label) * ln(avg(label)) + (1 - avg(label)) * ln(1 - avg(label)))")
+
+    def check(key: str) -> tuple:
+        scored = stage(make_model(key, None, SEED).fit(train, ORDERS.features, "label", "row_id").score(train), "fit-checks")
+        p = F.least(F.greatest("probability", F.lit(1e-12)), F.lit(1 - 1e-12))
+        loss = F.avg(-F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))
+        wrong = F.avg((F.col("prediction") != F.col("label")).cast("int"))
+        below = wrong <= F.least(F.avg("label"), 1 - F.avg("label")) if key == "adaboost" else loss < prior
+        apart = (F.col("probability") > 0.5) == (F.col("prediction") == 1)
+        follows = F.lit(True) if key == "svm" else F.bool_and(apart | (F.col("probability") == 0.5))
+        row = scored.agg(below.alias("below_prior"), follows.alias("follows")).first()
+        ranks = metrics.roc_auc(scored).first()["roc_auc"] > 0.55 if key != "logistic_regression" else None
+        shares = None
+        if key == "decision_tree":
+            leaves = scored.groupBy("probability").agg(F.avg("label").alias("share"))
+            shares = leaves.agg((F.bool_and(F.abs(F.col("share") - F.col("probability")) < 1e-9) & (F.count("*") <= 32)).alias("v")).first()["v"]
+        return key, row["below_prior"], ranks, row["follows"], shares
+
+    found = side_by_side(spark, check, ("logistic_regression", *SEARCHED))
+    return spark.createDataFrame(found, "model_key string, below_prior boolean, ranks boolean, follows boolean, shares boolean")
+
 
-    What SQL can decide about a model that it cannot fit: an invariant, not a proof."""
-    p = F.col("probability")
-    side = F.when(p > 0.5, 1).when(p < 0.5, 0).otherwise(F.col("prediction"))
-    agrees = F.col("prediction") == side if follows else F.col("prediction").isin(0, 1)
-    return scores.select("row_id", "label", F.coalesce(p.between(0, 1) & agrees, F.lit(False)).alias("valid"))
+SEARCHED = ("decision_tree", "random_forest", "xgboost", "lightgbm", "catboost", "mlp", "svm", "adaboost")
 
 
 @query
@@ -383,64 +410,171 @@ def logreg_gradient(spark, sf):
 @query
 def score_logreg(spark, sf):
     model, test = _fitted(spark, sf, "logistic_regression")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
 
 
 @query
 def score_dt(spark, sf):
     model, test = _fitted(spark, sf, "decision_tree")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
 
 
 @query
 def score_rf(spark, sf):
     model, test = _fitted(spark, sf, "random_forest")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
 
 
 @query
 def score_gbt(spark, sf):
     model, test = _fitted(spark, sf, "xgboost")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
 
 
 @query
 def score_leafwise(spark, sf):
     model, test = _fitted(spark, sf, "lightgbm")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
 
 
 @query
 def score_symmetric(spark, sf):
     model, test = _fitted(spark, sf, "catboost")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
 
 
 @query
 def score_mlp(spark, sf):
     model, test = _fitted(spark, sf, "mlp")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
 
 
 @query
 def score_svm(spark, sf):
     model, test = _fitted(spark, sf, "svm")
-    return _valid(model.score(test), follows=False)  # the calibrated probability need not cross 1/2 with the margin
+    return _scores(model.score(test))
 
 
 @query
 def score_adaboost(spark, sf):
     model, test = _fitted(spark, sf, "adaboost")
-    return _valid(model.score(test))
+    return _scores(model.score(test))
+
+
+#: Small models whose every split and leaf SQL finds again: key, parameters.
+GROWN = {
+    "level": ("xgboost", {"n_estimators": 2, "max_depth": 3}),
+    "leaf": ("lightgbm", {"n_estimators": 2, "num_leaves": 6}),
+    "symmetric": ("catboost", {"iterations": 2, "depth": 3}),
+}
+
+
+@query
+def boosted_nodes(spark, sf):
+    """All nodes that hold rows, of two trees of each kind of growth."""
+    rows = fx.order_codes(spark, sf)
+    out = []
+    for growth, (key, params) in GROWN.items():
+        fitted = make_model(key, params, SEED).fit(rows, fx.CODES, "label", "row_id")
+        out += [(growth, *row) for row in fitted.node_rows()]
+    table = spark.createDataFrame(out, "growth string, " + NODE_SCHEMA)
+    value = F.when(F.col("feature").isNull(), F.col("value"))
+    return table.filter("rows > 0").select(
+        "growth", "tree", "path", "depth", "feature", "threshold", r("gain"), r("gradient", digits=4), r("curvature", digits=4), "rows", r(value, "value")
+    )
 
 
 @query
 def feature_importance(spark, sf):
+    """The five features of the largest mean gain in the catalogue's 120 rounds."""
     train, _ = _sides(spark, sf)
-    choice = importance.choose_features(train, ORDERS.features, "label", 5, SEED, {"n_estimators": 20})
+    choice = importance.choose_features(train, ORDERS.features, "label", 5, SEED)
     return importance.choice_table(spark, {"overall": choice}).select("scope", "position", "feature", r("importance"))
 
 
+def _chosen(spark, sf):
+    key, params = GROWN["level"]
+    choice = importance.choose_features(fx.order_codes(spark, sf), fx.CODES, "label", 3, SEED, params)
+    return importance.choice_table(spark, {"overall": choice})
+
+
+@query
+def feature_importance_gains(spark, sf):
+    """The same choice from two trees, whose gains SQL finds again."""
+    return _chosen(spark, sf).select("scope", "applied", "reason", "position", "feature", r("importance"))
+
+
+@query
+def importance_panels(spark, sf):
+    """The chosen features from least to most important, as a chart takes them."""
+    series = importance.importance_series(_chosen(spark, sf))
+    return series.select("scope", F.row_number().over(Window.partitionBy("scope").orderBy("importance")).alias("place"), "feature", r("importance"))
+
+
+@query
+def catalogue(spark, sf):
+    """The models that can be made, and whether each was, with its defaults, over the training rows' features."""
+    made = {key: len(make_model(key).params) for key in CATALOGUE}
+    rows = models_catalogue(spark).select("position", "model_key", "model_name", "search_iterations", "available", F.size("defaults").cast("int").alias("n_defaults"))
+    sizes = spark.createDataFrame([(k, n) for k, n in made.items()], "model_key string, n_params int")
+    rare = fx.orders(spark, sf).filter("label = 1").count()
+    return rows.join(sizes, "model_key").select(
+        "position", "model_key", "model_name", "search_iterations", "available", (F.col("n_defaults") == F.col("n_params")).alias("all_defaults"),
+        F.lit(rare).cast("long").alias("rare_rows"),
+    )
+
+
+@query
+def params_texts(spark, sf):
+    """Parameter texts of maps whose values come from the rows; leading keys first, whatever their order in the map."""
+    text = lambda c: F.col(c).cast("string")
+    some = F.map_filter(
+        F.create_map(F.lit("zone"), text("prio"), F.lit("learning_rate"), text("near"), F.lit("max_depth"), text("label")),
+        lambda k, v: (F.col("near") == 1) | (k != "learning_rate"),
+    )
+    none = F.map_filter(some, lambda k, v: F.lit(False))
+    return fx.orders(spark, sf).select("row_id", params_text(some).alias("params"), params_text(none).alias("no_params"))
+
+
+@query
+def table_round_trip(spark, sf):
+    """Orders written as CSV and as parquet, over a table that was there before, and read again."""
+    base = f"{shared_dir(spark)}/staged/round-trip-{uuid.uuid4().hex}"
+    rows = fx.source(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+    tables.write_table(rows.limit(3), f"{base}/a.csv", "csv")
+    tables.write_table(rows, f"{base}/a.csv", "csv")
+    back = tables.read_table(spark, f"{base}/a.csv", rows.schema)
+    tables.write_table(back, f"{base}/b")
+    return tables.read_table(spark, f"{base}/b").select("o_orderkey", "o_custkey", "o_orderstatus", r("o_totalprice", digits=2))
+
+
+@query
+def column_contracts(spark, sf):
+    """Per table: its columns but for the keys, its numeric ones, and what the contract of line items finds missing."""
+    wanted = ("l_orderkey", "l_quantity", "l_discount", "p_name")
+    found = []
+    for name in ("lineitem", "part", "nation", "events"):
+        table = fx.source(spark, sf, name)
+        try:
+            tables.require_columns(table, wanted)
+            missing = ""
+        except ValueError as e:
+            missing = str(e).split(": ", 1)[1].strip("[]").replace("'", "")
+        rest = clean.feature_columns(table, ("l_orderkey", "l_partkey", "p_partkey", "n_nationkey", "event_id"))
+        found.append((name, ", ".join(rest), ", ".join(clean.numeric_columns(table, "l_quantity")), missing))
+    return spark.createDataFrame(found, "name string, features string, numeric string, missing string")
+
+
+@query
+def smote_minority_of_one(spark, sf):
+    """All customers but for the minority, of which the one with the smallest key stays: it is repeated."""
+    table = fx.customers(spark, sf)
+    first = table.filter("label = 1").agg(F.min("row_id")).first()[0]
+    kept = table.filter((F.col("label") == 0) | (F.col("row_id") == first))
+    out, info = _smote(kept, CUSTOMERS)
+    return _rounded(out, CUSTOMERS).withColumn("k_used", F.lit(info.k_neighbors_used))
+
+
 @query
 def tune_dt(spark, sf):
     train, _ = _sides(spark, sf)
@@ -555,7 +689,7 @@ def attribution_importance(spark, sf):
 @query
 def tree_attribution(spark, sf):
     train, test = _sides(spark, sf)
-    model = make_model("xgboost", {"n_estimators": 10}, SEED).fit(train, ORDERS.features, "label")
+    model = make_model("xgboost", None, SEED).fit(train, ORDERS.features, "label")
     explained = att.tree_attribution(model, test, "row_id")
     return att.attribution_long(explained, "row_id", ORDERS.features).select("row_id", "feature", r("attribution"))
 
@@ -564,7 +698,7 @@ def tree_attribution(spark, sf):
 def tree_attribution_sums(spark, sf):
     """Base plus attributions is the log-odds of every test row."""
     train, test = _sides(spark, sf)
-    model = make_model("xgboost", {"n_estimators": 10}, SEED).fit(train, ORDERS.features, "label")
+    model = make_model("xgboost", None, SEED).fit(train, ORDERS.features, "label")
     explained = att.tree_attribution(model, model.score(test), "row_id")
     odds = model.score(test).select("row_id", F.log(F.col("probability") / (1 - F.col("probability"))).alias("odds"))
     total = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda acc, x: acc + x)
