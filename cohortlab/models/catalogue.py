@@ -18,6 +18,7 @@ from cohortlab.models.kernel_svm import KernelSVM
 from cohortlab.models.knn import KNN
 from cohortlab.models.logistic import LogisticRegression
 from cohortlab.models.mllib import MllibModel
+from cohortlab.models.mlp import MLP
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ def _mllib(build):
 
 # Names, default parameters and search grids. Left out are thread
 # counts, verbosity and solver names, and what MLlib has no counterpart for:
-# min_samples_split, and the MLP's alpha, learning rate and early stopping.
+# min_samples_split.
 CATALOGUE: dict[str, Entry] = {
     "logistic_regression": Entry(
         "Logistic Regression", LogisticRegression,
@@ -83,10 +84,13 @@ CATALOGUE: dict[str, Entry] = {
         "approximate",
     ),
     "mlp": Entry(
-        "Artificial Neural Network (MLP)", _mllib(mllib.mlp),
-        {"hidden_layer_sizes": (64, 32), "max_iter": 1200},  # L-BFGS steps at most, not epochs
-        {"hidden_layer_sizes": [(32,), (64,), (64, 32), (128, 64)]},
-        "approximate",
+        "Artificial Neural Network (MLP)", MLP,
+        {"hidden_layer_sizes": (64, 32), "alpha": 1e-4, "learning_rate_init": 1e-3, "max_iter": 1200, "early_stopping": True, "n_iter_no_change": 30},
+        {
+            "hidden_layer_sizes": [(32,), (64,), (64, 32), (128, 64)], "alpha": [1e-5, 1e-4, 1e-3, 1e-2],
+            "learning_rate_init": [1e-4, 5e-4, 1e-3, 1e-2],
+        },
+        "equivalent",
     ),
     "knn": Entry(
         "K-Nearest Neighbors (KNN)", KNN,

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -64,12 +63,6 @@ def random_forest(p, seed, width):
     )
 
 
-def mlp(p, seed, width):
-    return MultilayerPerceptronClassifier(
-        layers=[width, *p["hidden_layer_sizes"], 2], maxIter=p["max_iter"], seed=seed, **_columns()
-    )
-
-
 def decision_tree(p, seed, width):
     return DecisionTreeClassifier(
         maxDepth=_depth(p["max_depth"]), minInstancesPerNode=p["min_samples_leaf"], maxBins=BINS,

@@ -649,3 +649,15 @@ ORACLE["smote_minority_of_one"] = with_(
     f"made AS (SELECT last + 1 + slot AS row_id, {', '.join(f'k.{c}' for c in CUST)}, label FROM slots, last, kept k WHERE label = 1)",
     f"balanced AS (SELECT row_id, {', '.join(CUST)}, label FROM kept UNION ALL SELECT * FROM made)",
 ) + "SELECT row_id, " + ", ".join(r(c) for c in CUST) + ", CAST(label AS INTEGER) AS label, 0::INTEGER AS k_used FROM balanced"
+
+# Forward and backward through two hidden units.
+_w = (0.5, -0.25, 0.125, 0.75, -0.5, 0.25, 0.1, -0.2, 1.5, -1.0, 0.05)
+_hidden = ", ".join(f"x0 * {_w[k]}::DOUBLE + x1 * {_w[2 + k]}::DOUBLE + x2 * {_w[4 + k]}::DOUBLE + {_w[6 + k]}::DOUBLE AS z{k}" for k in (0, 1))
+_terms = {
+    "loss": "ln(1 + exp(m)) - y * m", **{f"w{2 * i + k}": f"e * {_w[8 + k]}::DOUBLE * x{i} * CAST(z{k} > 0 AS INTEGER)" for i in range(3) for k in (0, 1)},
+    **{f"w{6 + k}": f"e * {_w[8 + k]}::DOUBLE * CAST(z{k} > 0 AS INTEGER)" for k in (0, 1)}, **{f"w{8 + k}": f"e * greatest(z{k}, 0)" for k in (0, 1)}, "w10": "e",
+}
+ORACLE["mlp_gradient"] = with_(
+    ORD, _codes, "inp AS (SELECT bal / 50 - 1 AS x0, price / 40 - 1 AS x1, month / 40 AS x2, y FROM codes)", f"hid AS (SELECT *, {_hidden} FROM inp)",
+    f"mar AS (SELECT *, greatest(z0, 0) * {_w[8]}::DOUBLE + greatest(z1, 0) * {_w[9]}::DOUBLE + {_w[10]}::DOUBLE AS m FROM hid)", "err AS (SELECT *, 1 / (1 + exp(-m)) - y AS e FROM mar)",
+) + " UNION ALL ".join(f"SELECT '{k}' AS name, {r(f'avg({v})', 'value')} FROM err" for k, v in _terms.items())

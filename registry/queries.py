@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.functions.text import delta_text, metric_text, params_text
 from cohortlab.models import attribution as att
+from cohortlab.models import mlp
 from cohortlab.models.base import with_probability
 from cohortlab.models.boosting import NODE_SCHEMA
 from cohortlab.models.catalogue import CATALOGUE, make_model, models_catalogue
@@ -407,6 +409,22 @@ def logreg_gradient(spark, sf):
     return sums.select(F.inline(flat))
 
 
+#: A perceptron of three inputs, two hidden units and one output: weights, then biases, layer by layer.
+MLP_SIZES, MLP_WEIGHTS = (3, 2, 1), (0.5, -0.25, 0.125, 0.75, -0.5, 0.25, 0.1, -0.2, 1.5, -1.0, 0.05)
+
+
+@query
+def mlp_gradient(spark, sf):
+    """Mean log-loss of a perceptron over all orders, and its gradient for every weight and bias."""
+    rows = fx.order_codes(spark, sf).select(
+        (F.col("bal") / 50 - 1).alias("x0"), (F.col("price") / 40 - 1).alias("x1"), (F.col("month") / 40).alias("x2"), F.col("label").cast("double").alias("y")
+    )
+    sums = mlp.gradient_sums(rows, np.array(MLP_WEIGHTS), MLP_SIZES)
+    names = ["loss", *[f"w{i}" for i in range(len(MLP_WEIGHTS))]]
+    found = [(n, float(v)) for n, v in zip(names, [sums[1], *sums[3:]] / sums[0])]
+    return spark.createDataFrame(found, "name string, value double").select("name", r("value"))
+
+
 @query
 def score_logreg(spark, sf):
     model, test = _fitted(spark, sf, "logistic_regression")
