@@ -1,8 +1,7 @@
 """AdaBoost over one-split trees.
 
-Features are cut into at most 32 bins once. A round is then a single
-aggregate, class weight per (feature, bin), from which the driver reads the
-best split and its error: at most features x 32 rows.
+Features are cut into bins once. A round is then one pass that adds up class
+weight per (feature, bin), from which the driver reads the best split and its error.
 """
 
 from __future__ import annotations
@@ -10,17 +9,16 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.models.base import class_totals, sigmoid
-from cohortlab.session import stage
+from cohortlab.models.histograms import BINS, Binned, advanced, binned, summed
+from cohortlab.session import scratch
 
-BINS = 32
-STAGE_EVERY = 10
+STAGE_EVERY = 16
 
 
 @dataclass(frozen=True)
@@ -56,92 +54,74 @@ class FittedAdaBoost:
 
 @dataclass(frozen=True)
 class AdaBoost:
+    """``bins``: bins of a feature at most; with as many as it has values, every split is tried."""
+
     params: Mapping
+    bins: int = BINS
 
     def fit(self, train: DataFrame, features: Sequence[str], label: str, row_id: str = "row_id") -> FittedAdaBoost:
         rows = sum(class_totals(train, label).values())
         rate, rounds = self.params["learning_rate"], self.params["n_estimators"]
-        outputs = [f"_b{i}" for i in range(len(features))]
-        edges = _edges(train, features)
-        binner = Bucketizer(splitsArray=edges, inputCols=list(features), outputCols=outputs, handleInvalid="error")
-        bins = F.array(*[F.col(c).cast("int") for c in outputs])
-        table = binner.transform(train).select(F.col(label).cast("int").alias("y"), bins.alias("bins"))
-        current = stage(table.withColumn("lw", F.lit(-math.log(rows))), "adaboost")
-
         stumps: list[Stump] = []
-        pending: list[Stump] = []  # not yet part of the staged weights
-        shift = 0.0  # keeps the weights adding up to one
-        for _ in range(rounds):
-            log_weight = _log_weight(pending)
-            weight = F.exp(log_weight - F.lit(shift))
-            best, error, total = _best_split(current.select("y", "bins", weight.alias("w")), edges)
-            if error >= 0.5:
-                break
-            perfect = error <= 0
-            alpha = 1.0 if perfect else rate * math.log((1 - error) / error)
-            stump = Stump(*best, alpha)
-            stumps.append(stump)
-            if perfect:
-                break
-            pending.append(stump)
-            shift += math.log(total * (1 - error + error * math.exp(alpha)))
-            if len(pending) == STAGE_EVERY and len(stumps) < rounds:
-                current = stage(current.withColumn("lw", _log_weight(pending) - F.lit(shift)), "adaboost")
-                pending, shift = [], 0.0
+        pending: list[Stump] = []  # not yet part of the written weights
+        shift = math.log(rows)  # keeps the weights adding up to one
+        with scratch(train.sparkSession):
+            data = binned(train, features, label, row_id, self.bins, "adaboost")
+            for _ in range(rounds):
+                best, error, total = _best_split(data, pending, shift)
+                if error >= 0.5:
+                    break
+                perfect = error <= 0
+                alpha = 1.0 if perfect else rate * math.log((1 - error) / error)
+                stump = Stump(*best, alpha)
+                stumps.append(stump)
+                if perfect:
+                    break
+                pending.append(stump)
+                shift += math.log(total * (1 - error + error * math.exp(alpha)))
+                if len(pending) == STAGE_EVERY and len(stumps) < rounds:
+                    done, by = tuple(pending), shift
+                    data = advanced(data, lambda bins, y, margin, key, done=done, by=by: _log_weight(done, bins, y, margin) - by, "adaboost")
+                    pending, shift = [], 0.0
         if not stumps:
             raise ValueError("no split is better than chance")
         return FittedAdaBoost(tuple(features), tuple(stumps))
 
 
-def _edges(train: DataFrame, features: Sequence[str]) -> list[list[float]]:
-    """Bin borders per feature: quantiles above the smallest value, and always
-    the largest, so a rare 1 in a 0/1 column keeps its own bin."""
-    steps = [i / BINS for i in range(BINS + 1)]
-    found = train.approxQuantile(list(features), steps, 1e-3)
-    return [[float("-inf"), *sorted({v for v in q if v > q[0]} | {q[-1]}), float("inf")] for q in found]
-
-
-def _log_weight(stumps: Sequence[Stump]) -> Column:
-    total = F.col("lw")
+def _log_weight(stumps: Sequence[Stump], bins: np.ndarray, y: np.ndarray, margin: np.ndarray) -> np.ndarray:
     for s in stumps:
-        predicted = F.when(F.col("bins")[s.feature] <= s.last_bin, s.low).otherwise(s.high)
-        total = total + F.when(predicted != F.col("y"), s.alpha).otherwise(0.0)
-    return total
-
-
-def _best_split(weighted: DataFrame, edges) -> tuple[tuple, float, float]:
-    """The split with the least weighted Gini impurity, its error rate, the total weight."""
-    rows = (
-        weighted.select("y", "w", F.posexplode("bins").alias("feature", "bin"))
-        .groupBy("feature", "bin")
-        .agg(F.sum(F.when(F.col("y") == 0, F.col("w")).otherwise(0.0)).alias("w0"),
-             F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("w1"))
-        .collect()
-    )
-    by_feature: dict[int, dict[int, tuple[float, float]]] = {}
-    for r in rows:
-        by_feature.setdefault(r["feature"], {})[r["bin"]] = (r["w0"], r["w1"])
-    best = None
-    for feature, histogram in sorted(by_feature.items()):
-        bins = sorted(histogram)
-        below = list(accumulate((histogram[b] for b in bins), _add))
-        above = list(accumulate((histogram[b] for b in reversed(bins)), _add))[::-1]
-        for i, b in enumerate(bins[:-1]):
-            (low0, low1), (high0, high1) = below[i], above[i + 1]
-            impurity = _gini(low0, low1) + _gini(high0, high1)
-            if best is None or impurity < best[0] - 1e-15:
-                low, high = int(low1 > low0), int(high1 > high0)
-                wrong = (low0 if low else low1) + (high0 if high else high1)
-                total = sum(below[-1])
-                best = (impurity, (feature, b, edges[feature][b + 1], low, high), wrong / total, total)
-    if best is None:
+        predicted = np.where(bins[:, s.feature] <= s.last_bin, s.low, s.high)
+        margin = margin + np.where(predicted != y, s.alpha, 0.0)
+    return margin
+
+
+def _best_split(data: Binned, pending: Sequence[Stump], shift: float) -> tuple[tuple, float, float]:
+    """The split with the least weighted Gini impurity, its error rate, the total weight. Of equal splits the first."""
+    stumps, width, bins = tuple(pending), len(data.cuts), data.bins
+
+    def add(x: np.ndarray, y: np.ndarray, margin: np.ndarray, key: np.ndarray) -> np.ndarray:
+        weight = np.exp(_log_weight(stumps, x, y, margin) - shift)
+        out = np.empty((width, 2 * bins))
+        for f in range(width):
+            out[f] = np.bincount(x[:, f] + bins * y.astype(np.int64), weight, 2 * bins)
+        return out.ravel()
+
+    found = summed(data, add, width * 2 * bins).reshape(width, 2, bins)
+    low = np.cumsum(found, axis=2)[:, :, :-1]
+    high = np.cumsum(found[:, :, ::-1], axis=2)[:, :, ::-1][:, :, 1:]  # added from above, so that nothing stays exactly nothing
+    seen = np.cumsum(found.sum(axis=1) > 0, axis=1)  # bins with rows: a split has some on either side
+    able = (seen[:, :-1] > 0) & (seen[:, :-1] < seen[:, -1:])
+    if not able.any():
         raise ValueError("all features are constant")
-    return best[1], best[2], best[3]
-
-
-def _add(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float]:
-    return a[0] + b[0], a[1] + b[1]
-
-
-def _gini(a: float, b: float) -> float:
-    return 2 * a * b / (a + b) if a + b > 0 else 0.0
+    impurity = np.where(able, _gini(low) + _gini(high), np.inf)
+    feature, border = divmod(int(np.argmax(impurity <= impurity.min() + 1e-15)), impurity.shape[1])
+    (low0, low1), (high0, high1) = low[feature, :, border], high[feature, :, border]
+    left, right = int(low1 > low0), int(high1 > high0)
+    wrong = (low0 if left else low1) + (high0 if right else high1)
+    total = float(found[feature].sum())
+    return (feature, border, float(data.cuts[feature][border]), left, right), float(max(wrong, 0.0) / total), total
+
+
+def _gini(sides: np.ndarray) -> np.ndarray:
+    a, b = np.maximum(sides[:, 0], 0.0), np.maximum(sides[:, 1], 0.0)
+    return 2 * a * b / np.maximum(a + b, 1e-300)

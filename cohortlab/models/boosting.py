@@ -179,7 +179,7 @@ class BoostedTrees:
                 pending.append((tree.arrays(), tree.depth()))
                 if len(pending) == STAGE_EVERY and k + 1 < shape.rounds:
                     done = pending
-                    data = advanced(data, lambda bins, margin, key, done=done: added(done, bins, margin))
+                    data = advanced(data, lambda bins, y, margin, key, done=done: added(done, bins, margin))
                     pending = []
         return FittedBoosting(tuple(features), tuple(data.cuts), start, tuple(trees))
 

@@ -82,7 +82,7 @@ def binned(train: DataFrame, features: Sequence[str], label: str, row_id: str, b
         for batch in batches:
             x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
             if not np.isfinite(x).all():
-                raise ValueError("features of a boosted model must not be missing or infinite")
+                raise ValueError("features of a model grown on histograms must not be missing or infinite")
             yield pa.RecordBatch.from_arrays(
                 [as_bytes(bins_of(x, borders)), batch.column("y"), pa.array(np.zeros(batch.num_rows)), batch.column("key")],
                 names=["bins", "y", "margin", "key"],
@@ -145,15 +145,14 @@ def summed(data: Binned, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.n
     return array_sum(data.table, lambda batch: add(*_columns(batch, width)), size, data.parts)
 
 
-def advanced(data: Binned, margin: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str = "binned") -> Binned:
-    """The table with ``margin(bins, margin, key)`` as new margins, written, so later passes start from there."""
+def advanced(data: Binned, margin: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], name: str = "binned") -> Binned:
+    """The table with ``margin(bins, y, margin, key)`` as new margins, written, so later passes start from there."""
     width = len(data.cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                old, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("margin", "key"))
-                new = pa.array(margin(from_bytes(batch.column("bins"), width), old, key))
+                new = pa.array(margin(*_columns(batch, width)))
                 yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("y"), new, batch.column("key")], names=["bins", "y", "margin", "key"])
 
     return Binned(stage(data.table.mapInArrow(run, data.table.schema), name), data.cuts, data.parts)

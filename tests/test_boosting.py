@@ -151,3 +151,25 @@ def test_odd_tables(spark):
         make_model("xgboost").fit(table.filter("y = 0"), ["flag"], "y", "id")
     with pytest.raises(Exception, match="missing or infinite"):
         make_model("xgboost", LEVEL).fit(spark.createDataFrame([(1, None, 0), (2, 1.0, 1)], "id long, x double, y int"), ["x"], "y", "id")
+
+
+def test_adaboost_tries_every_split(spark, made):
+    """Rounds spelled out over all values of all features."""
+    x, y, table = made
+    stumps = make_model("adaboost", {"n_estimators": 4, "learning_rate": 0.5}).fit(table, ["a", "b", "c"], "y", "id").stumps
+    w = np.full(len(y), 1 / len(y))
+    for stump in stumps:
+        best = []
+        for f in range(3):
+            for t in np.unique(x[:, f])[1:]:
+                left = x[:, f] < t
+                sums = [[w[m & (y == c)].sum() for c in (0, 1)] for m in (left, ~left)]
+                best.append((sum(2 * a * b / (a + b) for a, b in sums), f, t))
+        impurity = {(f, t): v for v, f, t in best}
+        assert impurity[stump.feature, stump.threshold] == pytest.approx(min(impurity.values()))
+        left = x[:, stump.feature] < stump.threshold
+        wrong = np.where(left, stump.low, stump.high) != y
+        error = w[wrong].sum() / w.sum()
+        assert stump.alpha == pytest.approx(0.5 * np.log((1 - error) / error))
+        w = w * np.exp(stump.alpha * wrong)
+        w /= w.sum()
