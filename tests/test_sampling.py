@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.keyed import keyed_hash, pick, uniform
 from cohortlab.operators.allocate import allocate, largest_remainder
-from cohortlab.operators.sampling import below, downsample, hash_cuts, number_rows, split_quotas, stratified_split
+from cohortlab.operators.sampling import below, class_quotas, downsample, hash_cuts, number_rows, stratified_split
 
 
 def test_remainder_ties_keep_order():
@@ -15,14 +15,37 @@ def test_remainder_ties_keep_order():
             largest_remainder(bad, 5)
 
 
-def test_split_quotas():
-    assert split_quotas({0: 7, 1: 3}, 0.3) == {0: 2, 1: 1}
-    published = split_quotas({0: 410, 1: 507}, 0.3)  # 917 rows
+def split_quotas(spark, counts, test_size):
+    sizes = spark.createDataFrame([(str(g), n) for g, n in counts.items()], "g string, n bigint")
+    return {int(r["g"]): r["quota"] for r in class_quotas(sizes, test_size).collect()}
+
+
+def test_split_quotas(spark):
+    assert split_quotas(spark, {0: 7, 1: 3}, 0.3) == {0: 2, 1: 1}
+    published = split_quotas(spark, {0: 410, 1: 507}, 0.3)  # 917 rows
     assert sum(published.values()) == 276
-    with pytest.raises(ValueError):
-        split_quotas({0: 5, 1: 1}, 0.3)
-    with pytest.raises(ValueError):
-        split_quotas({0: 2, 1: 2}, 0.1)
+    with pytest.raises(ValueError, match="two rows"):
+        split_quotas(spark, {0: 5, 1: 1}, 0.3)
+    with pytest.raises(ValueError, match="both sides"):
+        split_quotas(spark, {0: 2, 1: 2}, 0.1)
+
+
+def test_quotas_of_many_and_of_huge_classes(spark):
+    """The same as one largest remainder on the driver, ties by name."""
+    for counts in ({i: 2 + i * i % 37 for i in range(900)}, {0: 10**17, 1: 3 * 10**16 + 1, 2: 2}):
+        names = sorted(counts, key=lambda c: (len(str(c)), str(c)))
+        n = sum(counts.values())
+        n_test = -(-3 * n // 10) if n < 10**15 else __import__("math").ceil(0.3 * n)
+        train = largest_remainder([counts[c] for c in names], n - n_test)
+        assert split_quotas(spark, counts, 0.3) == {c: counts[c] - t for c, t in zip(names, train)}
+
+
+def test_split_by_a_label_of_very_many_classes(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 20_000).cast("int").alias("y"))
+    train, test = stratified_split(df, "id", "y", 0.4)
+    assert test.count() == 24_000 and train.count() == 36_000
+    sizes = test.groupBy("y").count().groupBy("count").count().collect()
+    assert {r[0]: r[1] for r in sizes} == {1: 16_000, 2: 4_000}
 
 
 def test_uniform_and_pick(spark):
