@@ -175,7 +175,7 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = row[new][np.cumsum(new) - 1] if len(key) else row
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.where(new, key, mix(rep[row].view(np.uint64)).view(np.int64))), pa.array(key), pa.array(rep[row]), pa.array(n[row]),
+                pa.array(np.where(new, key, mix(rep[row].view(np.uint64)).view(np.int64))), pa.array(key, mask=new), pa.array(rep[row]), pa.array(n[row]),
                 pa.array(rep[lead], mask=new), pa.array(n[lead], mask=new),
             ],
             names=["spot", "key", "rep", "n_words", "lead", "lead_n"],
@@ -191,7 +191,7 @@ def buckets(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("settled", F.col("lead").isNotNull())
     first = F.first(F.struct("rep", "n_words")).over(Window.partitionBy("spot", "settled").orderBy("n_words", "rep"))
     led = rows.withColumn("first", first).select(
-        "key", "rep", "n_words", F.coalesce("lead", "first.rep").alias("lead"), F.coalesce("lead_n", "first.n_words").alias("lead_n"), "settled"
+        F.coalesce("key", "spot").alias("key"), "rep", "n_words", F.coalesce("lead", "first.rep").alias("lead"), F.coalesce("lead_n", "first.n_words").alias("lead_n"), "settled"
     )
     return led.filter("rep <> lead")
 
@@ -242,7 +242,7 @@ def _paired_blocks(rows: DataFrame, keys: list[str], what: Column, block: int) -
     dealt = rows.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     way = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "side").alias("x"), F.greatest(i, "side").alias("y")))
     spread = dealt.select(*keys, "side", what.alias("row"), F.explode(way).alias("way"))
-    return spread.groupBy(*keys, "way").agg(F.collect_list(F.struct("row", "side")).alias("m")).select("way.x", "way.y", "m")
+    return spread.groupBy(*keys, "way").agg(F.collect_list(F.struct("row", "side")).alias("m")).select(*keys, "way.x", "way.y", "m")
 
 
 def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -251,7 +251,9 @@ def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity:
     ``labels``: node, class. ``members``: rep, n_words, bag. Only buckets in
     which classes still meet beside the leader are looked at, since the leader has met all
     members; where members were led inside batches, leaders count too. Their pairs are
-    compared inside the tasks, by blocks, so that no table holds them.
+    compared inside the tasks, by blocks, so that no table holds them. A pair that shares several
+    sketches is looked at in the bucket of the first of them only; if classes do not meet there, one of
+    the pair is its leader, and the pair has been aligned already.
     """
     of = lambda c, name: labels.select(F.col("node").alias(c), F.col("class").alias(name))
     named = met.join(of("rep", "own"), "rep", "left").join(of("lead", "led"), "lead", "left")
@@ -262,12 +264,12 @@ def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity:
     mixed = sums.filter("low < high OR (deep AND least(low, low_led) < greatest(high, high_led))").select("key")
     ends = met.join(stage(mixed, "omh-mixed"), "key").select("key", F.explode(F.array("rep", "lead")).alias("rep")).distinct()
     ends = stage(ends.join(of("rep", "class"), "rep", "left").select("key", "rep", F.coalesce("class", "rep").alias("class")), "omh-ends")
-    rows = ends.join(ends.groupBy("key").agg(F.count("*").alias("size")), "key").join(members.select("rep", "n_words", "bag"), "rep")
-    blocks = _paired_blocks(rows, ["key"], F.struct("rep", "n_words", "class", "bag"), BLOCK)
+    rows = ends.join(ends.groupBy("key").agg(F.count("*").alias("size")), "key").join(members.select("rep", "n_words", "bag", "sketch"), "rep")
+    blocks = _paired_blocks(rows, ["key"], F.struct("rep", "n_words", "class", "bag", "sketch"), BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, m in zip(*(batch.column(c) for c in ("x", "y", "m")), strict=True):
+            for key, x, y, m in zip(*(batch.column(c).to_pylist() if c != "m" else batch.column(c) for c in ("key", "x", "y", "m")), strict=True):
                 row = m.values.field("row")
                 order = np.argsort(row.field("n_words").to_numpy(zero_copy_only=False), kind="stable")
                 rep, n, kind = (row.field(c).to_numpy(zero_copy_only=False)[order] for c in ("rep", "n_words", "class"))
@@ -276,18 +278,21 @@ def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity:
                 bags = [bags[i] for i in order.tolist()]
                 bag = np.concatenate([_folded(b[None], BAGS[0][1]) for b in bags])
                 coarse = bag.reshape(len(bag), -1, COARSE).sum(1, dtype=np.int16)
+                sketch, size = _rows_of(row.field("sketch"), order)
                 reach = np.searchsorted(n, n / similarity + 1e-6, "right")  # longer texts beyond allow no link
                 found = []
                 for i in range(len(rep) - 1):
                     last = reach[i]
                     ask = kind[i + 1 : last] != kind[i]
-                    if x.as_py() != y.as_py():
+                    if x != y:
                         ask &= side[i + 1 : last] != side[i]
                     at = i + 1 + np.flatnonzero(ask)
                     if len(at):
                         allowed = (1 - similarity) * n[at] + 1e-9
                         for counts in (coarse, bag):
                             ok = _least_edits(counts[at] - counts[i]) <= allowed
+                            if counts is coarse:
+                                ok[ok] = _first_common(sketch, size, i, at[ok]) == key
                             at, allowed = at[ok], allowed[ok]
                         at = np.array([k for k, most in zip(at.tolist(), allowed.tolist(), strict=True) if _may_align(bags[i], bags[k], most)], np.int64)
                         found.append(np.column_stack([np.full(len(at), rep[i]), rep[at]]))
@@ -295,7 +300,23 @@ def crossings(met: DataFrame, labels: DataFrame, members: DataFrame, similarity:
                     pairs = np.sort(np.concatenate(found), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _rows_of(lists: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of longs as a matrix in the given order, filled up with zeros, and their sizes."""
+    off, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    size = np.diff(off)[order]
+    out = np.zeros((len(order), int(size.max(initial=1))), np.int64)
+    for row, i in enumerate(order.tolist()):
+        out[row, : size[row]] = values[off[i] : off[i + 1]]
+    return out, size
+
+
+def _first_common(sketch: np.ndarray, size: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """The first sketch that a text shares with each of the others, all of which share one."""
+    same = (sketch[others] == sketch[one]) & (np.arange(sketch.shape[1]) < np.minimum(size[others], size[one])[:, None])
+    return sketch[one][same.argmax(1)]
 
 
 def aligned_within(x: list[int], y: list[int], allowed: int) -> int | None:
@@ -338,7 +359,8 @@ def _may_align(one: np.ndarray, two: np.ndarray, allowed: float) -> bool:
 
 def links(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Of the pairs (a, b) of document keys, those whose texts align: a, b, distance, similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    pairs = stage(pairs, "omh-pairs")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "omh-wanted")  # written, so that its size is known before texts move
     said = texts(docs).select(doc_key().alias("rep"), "text").join(wanted, "rep", "left_semi")
     said = said.groupBy("rep").agg(F.max("text").alias("text"))
     side = lambda c, name: said.select(F.col("rep").alias(c), F.col("text").alias(name))
@@ -414,7 +436,7 @@ def joined_classes(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def extended(docs: DataFrame, labels: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The classes with those of the pairs (a, b) that align."""
-    more = stage(links(docs, stage(pairs, "omh-open"), similarity).select("a", "b"), "omh-links")
+    more = stage(links(docs, pairs, similarity).select("a", "b"), "omh-links")
     return labels if more.isEmpty() else joined_classes(labels, more)
 
 
