@@ -66,7 +66,7 @@ class AdaBoost:
         pending: list[Stump] = []  # not yet part of the written weights
         shift = math.log(rows)  # keeps the weights adding up to one
         with scratch(train.sparkSession):
-            data = binned(train, features, label, row_id, self.bins, "adaboost")
+            data = binned(train, features, label, row_id, rows, self.bins, "adaboost")
             for _ in range(rounds):
                 best, error, total = _best_split(data, pending, shift)
                 if error >= 0.5:

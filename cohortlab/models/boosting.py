@@ -168,7 +168,7 @@ class BoostedTrees:
         totals = class_totals(train, label)
         start = math.log(totals[1] / totals[0]) if shape.prior else 0.0
         with scratch(train.sparkSession):
-            data = binned(train, features, label, row_id, shape.bins)
+            data = binned(train, features, label, row_id, sum(totals.values()), shape.bins)
             trees, pending = [], []
             for k in range(shape.rounds):
                 draw = random.Random(f"{self.seed}|{k}")

@@ -19,6 +19,13 @@ from cohortlab.session import stage
 
 #: Bins of a feature at most (one byte each), rank error of their borders, and arrays that the driver adds itself.
 BINS, RANK_ERROR, FAN_IN = 256, 1e-3, 64
+#: Rows below which a task of a pass is not worth its start, and rows of a task at most.
+LEAST_ROWS, MOST_ROWS = 20_000, 2_000_000
+
+
+def tasks(train: DataFrame, rows: int) -> int:
+    """Tasks of a pass over so many rows: as many as there are cores, if each has enough to do; more for very many rows."""
+    return max(1, min(rows // LEAST_ROWS, train.sparkSession.sparkContext.defaultParallelism), rows // MOST_ROWS)
 
 
 def cuts(train: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
@@ -68,9 +75,8 @@ class Binned:
         return max((len(c) + 1 for c in self.cuts), default=1)
 
 
-def binned(train: DataFrame, features: Sequence[str], label: str, row_id: str, bins: int = BINS, name: str = "binned") -> Binned:
-    """``train`` cut into bins and written, margins 0; rows with another label than 0 or 1 take no part."""
-    spark = train.sparkSession
+def binned(train: DataFrame, features: Sequence[str], label: str, row_id: str, rows: int, bins: int = BINS, name: str = "binned") -> Binned:
+    """``train``, of about so many ``rows``, cut into bins and written, margins 0; rows with another label than 0 or 1 take no part."""
     wide = train.select(
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y"),
         (F.xxhash64(F.col(row_id)) if row_id in train.columns else F.xxhash64(*[F.col(c) for c in features])).alias("key"),
@@ -88,7 +94,7 @@ def binned(train: DataFrame, features: Sequence[str], label: str, row_id: str, b
                 names=["bins", "y", "margin", "key"],
             )
 
-    parts = spark.sparkContext.defaultParallelism
+    parts = tasks(train, rows)
     table = wide.repartition(parts).mapInArrow(run, "bins binary, y double, margin double, key long")
     return Binned(stage(table, name), borders, parts)
 

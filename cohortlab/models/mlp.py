@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.models.base import class_totals
-from cohortlab.models.histograms import array_sum
+from cohortlab.models.histograms import array_sum, tasks
 from cohortlab.session import scratch, stage
 
 # Adam's decay rates and its small constant; the rise of accuracy that counts; the share held back.
@@ -69,9 +69,9 @@ def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return x, batch.column("y").to_numpy(zero_copy_only=False)
 
 
-def gradient_sums(table: DataFrame, flat: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+def gradient_sums(table: DataFrame, flat: np.ndarray, sizes: Sequence[int], parts: int | None = None) -> np.ndarray:
     """``gradient`` over a table with columns x0, x1, ... and y."""
-    return array_sum(table, lambda batch: gradient(unpacked(flat, sizes), *_matrix(batch, sizes[0])), 3 + len(flat), table.sparkSession.sparkContext.defaultParallelism)
+    return array_sum(table, lambda batch: gradient(unpacked(flat, sizes), *_matrix(batch, sizes[0])), 3 + len(flat), parts)
 
 
 def penalty(flat: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
@@ -130,11 +130,12 @@ class MLP:
             *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y"), batch.alias("batch")
         )
         with scratch(train.sparkSession):
-            table = stage(table.repartition(train.sparkSession.sparkContext.defaultParallelism), "mlp", by="batch")
+            parts = tasks(train, rows)
+            table = stage(table.repartition(parts), "mlp", by="batch")
             batches = [table.filter(F.col("batch") == i) for i in range(count)]
-            return self._descend(batches, table.filter("batch = -1"), tuple(features), sizes)
+            return self._descend(batches, table.filter("batch = -1"), tuple(features), sizes, parts)
 
-    def _descend(self, batches: list[DataFrame], held: DataFrame, features: tuple[str, ...], sizes: tuple[int, ...]) -> FittedMLP:
+    def _descend(self, batches: list[DataFrame], held: DataFrame, features: tuple[str, ...], sizes: tuple[int, ...], parts: int) -> FittedMLP:
         p, order = self.params, list(range(len(batches)))
         weights = first_weights(sizes, self.seed)
         first, second, steps = np.zeros_like(weights), np.zeros_like(weights), 0
@@ -143,7 +144,7 @@ class MLP:
             random.Random(f"{self.seed}|{epoch}").shuffle(order)
             loss = np.zeros(2)
             for i in order:
-                sums = gradient_sums(batches[i], weights, sizes)
+                sums = gradient_sums(batches[i], weights, sizes, parts)
                 if not sums[0]:
                     continue
                 slope = (sums[3:] + p["alpha"] * penalty(weights, sizes)) / sums[0]
@@ -153,7 +154,7 @@ class MLP:
                 weights = weights - rate * first / (np.sqrt(second) + EPSILON)
                 loss += sums[:2]
             if p["early_stopping"]:
-                sums = gradient_sums(held, weights, sizes)
+                sums = gradient_sums(held, weights, sizes, parts)
                 score = sums[2] / sums[0] if sums[0] else -loss[1] / loss[0]
             else:
                 score = -loss[1] / loss[0]

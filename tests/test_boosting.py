@@ -135,6 +135,8 @@ def test_shares_of_rows_and_columns(spark, made):
 def test_many_tasks_add_up_in_the_cluster(spark, made, monkeypatch):
     x, y, table = made
     monkeypatch.setattr(histograms, "FAN_IN", 2)
+    monkeypatch.setattr(histograms, "LEAST_ROWS", 100)
+    assert histograms.tasks(table, 900) > 4 and histograms.tasks(table, 10**9) == 500
     fitted = make_model("xgboost", {**LEVEL, "n_estimators": 1}).fit(table, ["a", "b", "c"], "y", "id")
     check(fitted, x, y, 1.0, 1, 1.0, 0.3)
 
