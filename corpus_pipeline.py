@@ -26,7 +26,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet in the shared folder and read by the next."""
+    """All stages over ``documents``; each result is written as Parquet in the shared folder and read by the next.
+
+    Null texts and texts of fewer than 50 words end at the first stage; an empty
+    table gives an empty result with the columns of the last. Rows that share a
+    doc_id are one document to the stages that compare documents.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/staged/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
