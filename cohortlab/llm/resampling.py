@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import slices, table, texts
+from cohortlab.llm.common import packed, slices, table, texts
 from cohortlab.operators.numbering import numbered
 
 #: Bytes that are no part of a word; words of the longest feature; buckets; share drawn of documents with enough words.
@@ -30,7 +30,9 @@ ORDER, BUCKETS, PERCENT, MIN_WORDS = 3, 10_000, 5, 20
 
 def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-case words of all texts end to end, and the offsets of the texts; null has none."""
-    parts = pc.split_pattern_regex(pc.fill_null(pc.ascii_lower(column.cast(pa.large_string())), ""), NO_WORD)
+    flat, at = packed(column)  # ascii_lower misreads a slice that does not begin with its buffers
+    whole = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(flat))
+    parts = pc.split_pattern_regex(pc.ascii_lower(whole), NO_WORD)
     off = parts.offsets.to_numpy()
     flat = pc.list_flatten(parts)
     full = pc.not_equal(flat, "")  # a separator at either end of a text leaves an empty part

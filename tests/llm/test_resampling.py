@@ -3,6 +3,8 @@ import math
 import re
 import zlib
 
+import pyarrow as pa
+
 from cohortlab.llm import resampling
 from tests.llm.conftest import SF
 
@@ -60,3 +62,25 @@ def test_ties_go_to_the_smaller_id(spark):
     got = {(r.doc_id, r["rank"]) for r in resampling.resample(docs, docs.select("text")).collect() if r["rank"]}
     assert len(got) == 5 and sorted(r for _, r in got) == [1, 2, 3, 4, 5]
     assert all(abs(a[1] - b[1]) == 1 for a in got for b in got if a != b and a[0] == b[0])
+
+
+def test_slices_of_a_batch_give_the_words_of_their_rows():
+    said = ["x Y", None, "A b c", "", "é 日Z9 d\x00E"] * 3
+    column = pa.array(said)
+    for kind in (pa.string(), pa.large_string()):
+        for first in range(len(said)):
+            for n in (1, 4, len(said) - first):
+                rows = said[first : first + n]
+                bucket, of, words = resampling.features(column.cast(kind).slice(first, n))
+                want = [feats(x) for x in rows]
+                assert words.tolist() == [w for w, _ in want]
+                assert [sorted(bucket[of == i].tolist()) for i in range(len(rows))] == [sorted(zlib.crc32(f.encode()) % 10_000 for f in found) for _, found in want]
+
+
+def test_batches_over_a_slice_equal_brute_force(spark, monkeypatch):
+    docs = [(i, f"Word{i % 7} and MORE of {i % 13} " * (i % 11)) for i in range(400)]
+    cut = resampling.slices
+    monkeypatch.setattr(resampling, "slices", lambda batches, column: cut(batches, column, 2000))
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(r) for r in resampling.resample(table, table.select("text")).collect()), key=str)
+    assert got == brute(docs, [x for _, x in docs])
