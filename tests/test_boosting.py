@@ -238,3 +238,60 @@ def test_tasks_of_many_rows_leave_no_core_waiting():
     """As many tasks as cores, or a whole multiple while there are few rounds."""
     train = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=12)))
     assert [histograms.tasks(train, rows) for rows in (0, 50_000, 6_300_000, 37_800_000, 10**9)] == [1, 2, 12, 24, 500]
+
+
+def _same_trees(one, two):
+    assert len(one.trees) == len(two.trees)
+    for a, b in zip(one.trees, two.trees):
+        for found, want in zip(a.arrays(), b.arrays()):
+            assert found.tolist() == pytest.approx(want.tolist())
+        assert [n.sums.tolist() for n in a.nodes] == [pytest.approx(n.sums.tolist()) for n in b.nodes]
+
+
+@pytest.mark.parametrize("params", [
+    ("xgboost", {**LEVEL, "subsample": 0.7, "colsample_bytree": 0.67}), ("lightgbm", {"n_estimators": 3, "num_leaves": 9, "min_child_samples": 5}),
+    ("catboost", {"iterations": 3, "depth": 4}),
+])
+def test_few_rows_take_no_job_for_a_pass(spark, made, monkeypatch, params):
+    """One task holds few rows and grows trees by itself; they are those of the passes over many rows."""
+    _, _, table = made
+    passes, summed = [], boosting.summed
+    monkeypatch.setattr(boosting, "summed", lambda *args: passes.append(1) or summed(*args))
+    fit = lambda: make_model(*params).fit(table, ["a", "b", "c"], "y", "id")
+    few = fit()
+    assert not passes
+    monkeypatch.setattr(histograms, "ALONE_ROWS", 0)
+    monkeypatch.setattr(histograms, "FAN_IN", 2)
+    monkeypatch.setattr(histograms, "LEAST_ROWS", 100)
+    _same_trees(few, fit())
+    assert len(passes) >= 9
+
+
+@pytest.mark.parametrize("same_all_over", [True, False])
+def test_levels_with_one_split_are_read_as_digits(same_all_over):
+    """A full tree with one split per level looks at each level once, and only such a tree."""
+    rand = np.random.default_rng(3)
+    nodes, level = [boosting.Node(0, np.zeros(3))], [0]
+    for depth in range(5):
+        for at in level:
+            node = nodes[at]
+            node.feature, node.border, node.left, node.right = depth % 3, 40 * depth + 20 + (not same_all_over and at == 4), len(nodes), len(nodes) + 1
+            nodes += [boosting.Node(depth + 1, np.zeros(3)) for _ in range(2)]
+        level = [c for at in level for c in (nodes[at].left, nodes[at].right)]
+    arrays = boosting.Tree(nodes).arrays()
+    assert (boosting._levels(*(part.tolist() for part in arrays[:4])) is not None) == same_all_over
+    bins = rand.integers(0, 256, (2000, 3)).astype(np.uint8)
+    found = boosting.reached(arrays, np.asfortranarray(bins))
+    for row, end in zip(bins, found):
+        at = 0
+        while nodes[at].feature >= 0:
+            at = nodes[at].right if row[nodes[at].feature] > nodes[at].border else nodes[at].left
+        assert at == end
+
+
+def test_features_of_few_bins_are_counted_together():
+    groups = boosting.joined([256, 2, 2, 1, 200, 64, 3, 2])
+    assert sorted(i for g in groups for i in g) == list(range(8))
+    assert groups == [[0, 3], [1, 2, 5], [4], [6, 7]]
+    x = np.asfortranarray(np.random.default_rng(1).integers(0, 2, (50, 3)).astype(np.uint8))
+    assert boosting.cells_of(x, [(0, 2), (2, 3)]).tolist() == (x[:, 0] * 3 + x[:, 2]).tolist()
