@@ -202,3 +202,16 @@ def test_linear_attributions(spark):
 def test_tuning(sides):
     table = tune(sides[0], FEATURES, "target", "row_id", "naive_bayes", iterations=2).collect()
     assert len(table) == 2 and table[0]["roc_auc"] >= table[1]["roc_auc"]
+
+
+def test_patterns_are_bytes_of_the_definition():
+    """A byte for up to 8 features on a path, two for more; sides without a bound are not compared."""
+    rand = np.random.default_rng(8)
+    x = np.asfortranarray(rand.uniform(-1, 1, (300, 14)))
+    for wide, size in ((0, 1), (3, 1), (8, 1), (9, 2), (14, 2)):
+        some = tuple(rand.permutation(14)[:wide].tolist())
+        low = tuple(-np.inf if j % 3 == 0 else -0.5 for j in range(wide))
+        high = tuple(np.inf if j % 3 == 1 else 0.6 for j in range(wide))
+        found = attribution.patterns(attribution.Leaf(1.0, some, low, high), x)
+        want = [sum((a <= row[f] < b) << j for j, (f, a, b) in enumerate(zip(some, low, high))) for row in x]
+        assert found.itemsize == size and found.tolist() == want
